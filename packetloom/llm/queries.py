@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lang_id, packing, quality, toxicity
+from . import chat_format, fingerprints, lang_id, packing, quality, toxicity
 from ._common import id_crc, table
 
 
@@ -45,5 +45,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op8_fingerprints)}
 ORACLES: dict[str, str] = {}
