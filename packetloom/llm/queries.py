@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, lang_id, packing, quality, toxicity
+from . import chat_format, fingerprints, lang_id, line_dedup, mixing, packing, quality, toxicity
 from ._common import id_crc, table
 
 
@@ -49,5 +49,23 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op8_fingerprints)}
+def mix_levels() -> dict[str, Column]:
+    """Domain (sources dealt to four by a hash), language and source: the tree's levels from the root on."""
+    return {"domain": F.concat(F.lit("d"), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 4).cast("string")), "language": F.col("lang"), "source": F.col("source")}
+
+
+#: Weights of nodes by path; the others weigh 1.
+MIX_WEIGHTS = {("d0",): 4.0, ("d1",): 3.0, ("d2",): 2.0, ("d3",): 1.0} | {(f"d{i}", "en"): 2.0 for i in range(4)}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, 0.8, mixing.word_tokens(), max_epochs=3, seed=42)
+    return mixed.select("doc_id", "epoch", "n_tokens", "lang", "source")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op8_fingerprints, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
