@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, lang_id, line_dedup, mixing, packing, quality, toxicity
+from . import chat_format, fingerprints, lang_id, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from ._common import id_crc, table
 
 
@@ -19,6 +19,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 #: Says its own control strings back.
 ADVERSARIAL = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 
@@ -67,5 +71,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op8_fingerprints, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_join, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op8_fingerprints, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
