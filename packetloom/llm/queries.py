@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, lang_id, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import chat_format, embedding_dedup, fingerprints, lang_id, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from ._common import id_crc, table
 
 
@@ -49,6 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -71,5 +75,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_join, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op8_fingerprints, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_join, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op7_embedding_dedup, op8_fingerprints, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
