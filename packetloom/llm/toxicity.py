@@ -246,19 +246,20 @@ def _curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def weigh(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None) -> DataFrame:
-    """The keep columns (doc_id unless given) and the weight of each text."""
+def weigh(docs: DataFrame, grammar: Grammar, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """The keep columns (doc_id unless given; text among them if with_text) and the weight of each text."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    read = keep if with_text else [*keep, "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", weight double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         for batch in batches:
-            weights = [scanner.weight(x.as_py() or "") for x in batch.column(len(keep))]
+            weights = [scanner.weight(x.as_py() or "") for x in batch.column(read.index("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(weights, pa.float64())], names=[*keep, "weight"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def curve(grammar: Grammar):
