@@ -120,32 +120,47 @@ def fit(train: DataFrame, n_words: int = N_WORDS, n_grams: int = N_GRAMS) -> Mod
 
 
 class _Scores(dict):
-    """Row of each word in a table of scores; unseen words are scored once and kept for a while."""
+    """Row of each word in a table of scores.  An unseen word gets the next row; its n-grams are looked up at once, and
+    the rows of a batch are summed together.  Unseen words are kept for a while."""
 
     def __init__(self, model: Model):
         super().__init__(model.words)
-        self.model, self.extra, self.base = model, [], len(model.words)
+        self.model, self.known = model, len(model.words)
+        self.table = np.zeros((self.known + 1024, len(model.langs)), np.float32)
+        self.table[: self.known] = model.word_logp
+        self.rows, self.new, self.taken = self.known, [], []
 
     def __missing__(self, word: str) -> int:
-        model, marked, total, taken = self.model, f"^{word}$", 0.0, 0
+        marked, grams, before = f"^{word}$", self.model.grams, len(self.new)
         for i in range(len(marked)):
-            for size in range(min(LONGEST, len(marked) - i), 0, -1):
-                row = model.grams.get(marked[i : i + size])
+            for size in range(LONGEST, 0, -1):  # at the end a slice is shorter, and is found as what it is
+                row = grams.get(marked[i : i + size])
                 if row is not None:
-                    total, taken = total + model.gram_logp[row], taken + 1
+                    self.new.append(row)
                     break
-        score = total / taken if taken else np.zeros(len(model.langs), np.float32)
-        self.extra.append(score)
-        self[word] = at = self.base + len(self.extra) - 1
+        self.taken.append(len(self.new) - before)
+        self[word] = at = self.rows
+        self.rows += 1
         return at
 
-    def table(self) -> np.ndarray:
-        return np.concatenate([self.model.word_logp, np.array(self.extra, np.float32).reshape(-1, len(self.model.langs))])
+    def settled(self) -> np.ndarray:
+        """The table with the rows of all words so far."""
+        if self.taken:
+            taken = np.array(self.taken, np.int64)
+            first, some = self.rows - len(taken), taken > 0
+            if self.rows > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(self.rows, len(self.table)), self.table.shape[1]), np.float32)])
+            self.table[first : self.rows] = 0
+            if some.any():
+                begins = (np.cumsum(taken) - taken)[some]
+                self.table[first : self.rows][some] = np.add.reduceat(self.model.gram_logp[np.array(self.new)], begins, axis=0) / taken[some, None]
+            self.new, self.taken = [], []
+        return self.table
 
     def forget(self) -> None:
         self.clear()
         self.update(self.model.words)
-        self.extra = []
+        self.rows = self.known
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -169,13 +184,13 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 names, best = np.full(len(counts), "und", object), np.zeros(len(counts))
                 if some.any():
                     begins = np.append(0, np.cumsum(counts))[:-1][some]
-                    sums = np.add.reduceat(scores.table().astype(np.float64)[np.array(ids)], begins, axis=0)
+                    sums = np.add.reduceat(scores.settled()[np.array(ids)].astype(np.float64), begins, axis=0)
                     sums -= sums.max(axis=1, keepdims=True)
                     share = np.exp(sums)
                     share /= share.sum(axis=1, keepdims=True)
                     names[some] = np.array(model.langs, object)[share.argmax(axis=1)]
                     best[some] = share.max(axis=1)
-                if len(scores.extra) > 100_000:
+                if scores.rows - scores.known > 200_000:
                     scores.forget()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(best)], names=[key, "lang_pred", "score"])
 
