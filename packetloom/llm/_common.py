@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -39,3 +39,27 @@ def id_crc(column: str = "doc_id"):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Words of 64 bits of a membership filter: its size is bounded whatever it knows.
+FILTER_WORDS = 1 << 18
+
+
+def _bit_of(hash_: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hash_, 58).cast("int"))
+
+
+def known_words(hashes: DataFrame, column: str) -> DataFrame:
+    """_word, _bits: a filter that knows all 64-bit hashes of a column (and some others); FILTER_WORDS rows at most."""
+    return hashes.groupBy(F.pmod(F.col(column), F.lit(FILTER_WORDS)).cast("long").alias("_word")).agg(F.bit_or(_bit_of(F.col(column))).alias("_bits"))
+
+
+def maybe_known(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """Rows of df whose hash a filter may know.  It spares most others a shuffle; what it lets pass is joined exactly."""
+    near = df.withColumn("_at", F.pmod(F.col(column), F.lit(FILTER_WORDS)).cast("long")).join(F.broadcast(words), F.col("_at") == F.col("_word"))
+    return near.where(F.col("_bits").bitwiseAND(_bit_of(F.col(column))) != 0).select(*df.columns)

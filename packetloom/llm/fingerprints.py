@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, shuffle_partitions
+from ._common import let, materialize, shuffle_partitions
 
 #: Words of a k-mer and of its inner substrings; K - S + 1 is a power of two.
 K, S = 9, 2
@@ -29,11 +29,6 @@ SKETCH = 128
 _NULL_ID = -(2**63)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
@@ -48,7 +43,7 @@ def anchor_positions(words: Column) -> Column:
     def minima(inner: Column) -> Column:
         out, width = inner, 1
         while width < WINDOW:
-            out = _let(out, lambda m, w=width: F.zip_with(m, _from(m, w), lambda a, b: F.least(a, b)))
+            out = let(out, lambda m, w=width: F.zip_with(m, _from(m, w), lambda a, b: F.least(a, b)))
             width *= 2
         return out
 
@@ -58,7 +53,7 @@ def anchor_positions(words: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(inner) - WINDOW), at_edge)
 
     inner = F.slice(F.zip_with(words, _from(words, S - 1), lambda a, b: F.xxhash64(a, b)), 1, F.size(words) - (S - 1))
-    return _let(inner, lambda g: _let(F.struct(g.alias("inner"), minima(g).alias("least")), chosen))
+    return let(inner, lambda g: let(F.struct(g.alias("inner"), minima(g).alias("least")), chosen))
 
 
 def anchors(text: Column) -> Column:
@@ -70,7 +65,7 @@ def anchors(text: Column) -> Column:
         none = F.filter(whole, lambda x: F.lit(False))
         return F.when(F.size(words) >= K, each).when(F.size(words) > 0, whole).otherwise(none)
 
-    return _let(word_hashes(text), of)
+    return let(word_hashes(text), of)
 
 
 def sketch(text: Column) -> Column:
@@ -88,10 +83,10 @@ def likeness(a: Column, b: Column) -> Column:
     def of(both: Column) -> Column:
         smallest = F.slice(F.array_sort(F.array_union(both["a"], both["b"])), 1, SKETCH)
         common = F.array_intersect(both["a"], both["b"])
-        share = _let(smallest, lambda s: F.size(F.array_intersect(s, common)).cast("double") / F.size(s))
+        share = let(smallest, lambda s: F.size(F.array_intersect(s, common)).cast("double") / F.size(s))
         return F.when((F.size(both["a"]) == 0) & (F.size(both["b"]) == 0), F.lit(1.0)).when((F.size(both["a"]) == 0) | (F.size(both["b"]) == 0), F.lit(0.0)).otherwise(share)
 
-    return _let(F.struct(a.alias("a"), b.alias("b")), of)
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -108,7 +103,7 @@ def shared_anchors(a: Column, b: Column) -> Column:
 
 
 def successors(keys: DataFrame, partitions: int) -> DataFrame:
-    """id, text_hash, copies, before: of each document of keys, the key and length of the document before it in
+    """id, text_hash, before: of each document of keys, the key and length of the document before it in
     ascending order (before the first: the last).  Only ids, hashes and lengths are sorted."""
     ranged = materialize(keys.repartitionByRange(partitions, "id", "text_hash").withColumn("part", F.spark_partition_id()), "fingerprint-keys")
     entry = F.struct("id", "text_hash", "n_chars")
@@ -116,7 +111,7 @@ def successors(keys: DataFrame, partitions: int) -> DataFrame:
     ends = ranged.groupBy("part").agg(F.max(entry).alias("last"))  # a row for each partition
     ends = ends.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.max("last").over(Window.partitionBy(F.lit(0)))).alias("last_before"))
     joined = within.join(F.broadcast(ends), "part", "left")
-    return joined.select("id", "text_hash", "copies", F.coalesce("before", "last_before").alias("before"))
+    return joined.select("id", "text_hash", F.coalesce("before", "last_before").alias("before"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -124,23 +119,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     document), and how alike they are."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    keys = rows.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).cast("long").alias("n_chars"))
+    keys = rows.groupBy("id", "text_hash").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
     order = successors(keys, shuffle_partitions(docs.sparkSession))
-    known = rows.join(order, ["id", "text_hash"]).withColumn("sketch", sketch(F.col("text")))
+    known = rows.join(order, ["id", "text_hash"])  # one shuffle of the texts; both sides below read it
     n = F.length("text")
-    own = F.struct(F.col("id"), F.col("text_hash"), F.lit(True).alias("own"), F.left(F.col("text"), n - F.floor(n / 2).cast("int")).alias("part"), n.alias("n"), F.col("copies"), F.col("sketch"))
-    given = F.struct(F.col("before.id").alias("id"), F.col("before.text_hash").alias("text_hash"), F.lit(False).alias("own"), F.left(F.col("text"), F.floor(F.col("before.n_chars") / 2).cast("int")).alias("part"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("copies"), F.col("sketch"))
-    dealt = known.select(F.inline(F.array(own, given))).repartition("id", "text_hash")
-    mine = lambda c: F.max(F.when(F.col("own"), F.col(c)))
-    met = dealt.groupBy("id", "text_hash").agg(
-        mine("n").alias("n_chars"), mine("copies").alias("copies"), mine("part").alias("first_half"), mine("sketch").alias("sketch"),
-        F.max(F.when(~F.col("own"), F.col("part"))).alias("beginning"), F.max(F.when(~F.col("own"), F.col("sketch"))).alias("next_sketch"),
-    )
-    edited = met.withColumn("edited", F.concat("first_half", "beginning"))
+    given = known.select(
+        F.col("before.id").alias("id"), F.col("before.text_hash").alias("text_hash"), F.left(F.col("text"), F.floor(F.col("before.n_chars") / 2).cast("int")).alias("beginning"), sketch(F.col("text")).alias("next_sketch")
+    ).dropDuplicates(["id", "text_hash"])
+    met = rows.join(given, ["id", "text_hash"])  # sketches are made after the shuffle, so that it is the one above
+    edited = met.withColumn("sketch", sketch(F.col("text"))).withColumn("edited", F.concat(F.left(F.col("text"), n - F.floor(n / 2).cast("int")), "beginning"))
     marked = edited.withColumn("edited_sketch", sketch(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
     return marked.select(
-        F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256",
+        F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), "edited_sha256",
         as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    )
