@@ -166,7 +166,7 @@ def links(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                (na, wa), (nb, wb) = ((np.frombuffer(row[f"{k}_{c}"], np.int64) for k in ("nodes", "weights")) for c in "ab")
+                na, wa, nb, wb = (np.frombuffer(row[f"{k}_{c}"], np.int64) for c in "ab" for k in ("nodes", "weights"))
                 va, vb = (np.frombuffer(row[f"vectors_{c}"], np.float64).reshape(-1, row["dimension"]) for c in "ab")
                 same = row["a"] == row["b"]
                 i, j = compare(va, vb, same)
