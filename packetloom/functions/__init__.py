@@ -13,8 +13,6 @@ FLAG_BITS = {"fin": 0x01, "syn": 0x02, "rst": 0x04, "psh": 0x08, "ack": 0x10, "u
 SERVICE_PORTS = {"HTTP": (80,), "HTTPS": (443,), "DNS": (53,), "Telnet": (23,), "SMTP": (25,), "SSH": (22,)}
 LIVE_SERVICE_PORTS = SERVICE_PORTS | {"HTTP": (80, 8080), "SMTP": (25, 587), "IRC": (6667,), "DHCP": (67, 68)}
 
-_ZERO = F.lit(0.0)
-
 
 # --- DNS text ------------------------------------------------------------------------------------
 def entropy(text: Column) -> Column:
@@ -113,7 +111,7 @@ def to_feature(c: Column) -> Column:
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0 or either is null."""
-    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), _ZERO)
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
 def row_digest(*columns: str) -> Column:

@@ -67,7 +67,7 @@ def predict(df: DataFrame, pre: Preprocessor, model: PipelineModel) -> DataFrame
         total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
         p = F.transform(p, lambda x: x / total)
     out = out.withColumns({"probabilities": p, "predicted_local": F.col("prediction").cast("int")}).withColumn("confidence", F.array_max("probabilities"))
-    return out.select(*df.columns, "probabilities", "predicted_local", "confidence")
+    return out.select(*[f"`{c}`" for c in df.columns], "probabilities", "predicted_local", "confidence")
 
 
 def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel, label: str) -> dict[str, float]:

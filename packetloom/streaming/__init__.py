@@ -69,7 +69,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idl
 
 
 def capped_flows(packets: DataFrame, idle: float = flow_ops.IDLE_SECONDS, cap: int = flow_ops.MAX_PACKETS) -> DataFrame:
-    """Live flow table: state is one open flow's counters for each key, flushed by event time."""
+    """Live flow table: state is one open flow's counters for each key, flushed by event time.  Micro-batches are expected in
+    order of time, as from a sensor; within one, packets are sorted."""
     keyed = flow_ops.with_flow_key(packets.where(F.col("proto") != flow_ops.ARP))
     rows = keyed.select(*flow_ops.KEY, *_PACKET, "event_time")
     advance = lambda key, batches, state: _advance(key, batches, state, idle, cap)
