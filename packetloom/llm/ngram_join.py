@@ -1,8 +1,8 @@
 """Exact Jaccard self-join of documents on word shingles, by token-combination prefixes.
 
-Tokens (shingles) are in one global order: rare ones first, then frequent ones by their number of documents.  A
-pair of similarity t shares its smallest common token within both prefixes of n - ceil(t n) + 1 tokens.  If
-that token is rare, it is an index entry on its own.  If it is frequent, so are all common tokens; prefixes that
+Tokens (shingles) are in one global order: those of one document first, then rare ones, then frequent ones by their
+number of documents.  A pair of similarity t shares its smallest common token within both prefixes of
+n - ceil(t n) + 1 tokens.  If that token is rare, it is an index entry on its own.  If it is frequent, so are all common tokens; prefixes that
 are longer by c tokens then share c + 1 of them, so with frequent tokens dealt into c classes two of one class are
 common: such pairs of tokens are the index entries of the frequent classes.  c grows with the length of a set,
 which keeps the entries of a set in proportion to its length; sets enter under their own and the next smaller length class, as
@@ -12,8 +12,8 @@ Which tokens count as frequent never decides a result, only its cost: a table of
 travels to the executors.
 
 Entries never give all pairs of a group.  First each set meets the smallest member of its entries; what
-is linked becomes a component; only entries that then hold several components give pairs, and only
-between components.  Equal sets are one node from the start.
+is linked becomes a component; only entries that then hold several components are looked at again, in blocks, and only
+pairs between components that pass a bound on their difference leave them.  Equal sets are one node from the start.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; repeated rows are nodes of their text; a null doc_id takes part
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, shuffle_partitions
+from ._common import known_words, materialize, maybe_known, shuffle_partitions
 from .components import components
 from .shingles import mix, set_hash, sets_of, slices
 
@@ -43,10 +43,14 @@ FREQUENT, MAX_FREQUENT = 32, 1_000_000
 CLASS_TOKENS = 8
 #: Bits of a token by which sets are counted, and of the slices into which they are dealt.
 COUNT_BITS, SLICE_BITS = 42, 10
-#: Tokens that a task holds before it hands its counts on; bytes of a set's parity sketch; bits of a membership filter.
-HELD, PARITY, FILTER_BITS = 4_000_000, 128, 26
-#: Entries of a batch that leaves Python.
-OUT = 200_000
+#: Bits of the filter of repeated tokens.  Tokens of one document alone are no index entries; a full filter only saves less.
+REPEATED_BITS = 28
+#: Tokens that a task holds before it hands its counts on; bytes of a set's parity sketch; nodes that a task remembers.
+HELD, PARITY, SEEN = 2_000_000, 128, 500_000
+#: Places whose closest members lead an entry: the first few at once, the others where components then still meet.
+PLACES, FIRST_LEADERS = [((i * 0x9E3779B97F4A7C15) % 2**64) - 2**63 for i in range(1, 13)], 4
+#: Rows of a batch that leaves Python; sets of a block when the rest of an entry is compared.
+OUT, BLOCK = 200_000, 1_000
 
 
 def _batches(rows: dict[str, tuple[np.ndarray, pa.DataType]]) -> Iterator[pa.RecordBatch]:
@@ -69,22 +73,25 @@ def parity(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def documents_as_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty), parity."""
+    """doc_id, text_hash, n_shingles, node (hash of the set, null if empty), parity."""
+    schema = "doc_id long, text_hash long, n_shingles long, node long, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, offsets in slices(batch.column(1)):
+            for begin, end, data, offsets in slices(batch.column(2)):
                 tokens, ends = sets_of(data, offsets)
                 sizes = np.diff(np.append(0, ends))
                 sketches = parity(tokens, ends)
                 nodes = pa.array(_signed(set_hash(tokens, ends)), pa.int64(), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[begin:end], pa.array(sizes, pa.int64()), nodes, pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "n_shingles", "node", "parity"])
+                own = [batch.column(k)[begin:end] for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), nodes, pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
-def frequent_tokens(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens (their first COUNT_BITS bits, sorted) and their counts over all documents."""
+def token_counts(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all documents: the most frequent tokens (their first COUNT_BITS bits, sorted), their counts, and a filter of
+    2 ** REPEATED_BITS bits that knows every token of more than one document."""
     low = np.uint64(COUNT_BITS - SLICE_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +116,13 @@ def frequent_tokens(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.nd
     def total(_, pdf: pd.DataFrame) -> pd.DataFrame:
         tokens, counts = np.unique(np.frombuffer(b"".join(pdf["tokens"]), np.uint32), return_counts=True)
         often = counts >= FREQUENT
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "tokens": [tokens[often].tobytes()], "counts": [counts[often].astype(np.int64).tobytes()]})
+        bits = np.zeros(1 << (REPEATED_BITS - SLICE_BITS), np.uint8)
+        bits[_bit_in_slice(tokens[counts > 1])] = 1
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "tokens": [tokens[often].tobytes()], "counts": [counts[often].astype(np.int64).tobytes()], "repeated": [np.packbits(bits).tobytes()]})
 
     dealt = docs.select("text").mapInArrow(count, "slice long, tokens binary").repartition(partitions, "slice")
-    counted = materialize(dealt.groupBy("slice").applyInPandas(lambda k, pdf: total(k, pdf), "slice long, tokens binary, counts binary"), "frequent-tokens")
-    powers = counted.mapInPandas(_by_power, "power int, n long").groupBy("power").agg(F.sum("n").alias("n")).collect()
+    counted = materialize(dealt.groupBy("slice").applyInPandas(lambda k, pdf: total(k, pdf), "slice long, tokens binary, counts binary, repeated binary"), "token-counts")
+    powers = counted.select("counts").mapInPandas(_by_power, "power int, n long").groupBy("power").agg(F.sum("n").alias("n")).collect()
     least, room = 63, MAX_FREQUENT
     for r in sorted(powers, key=lambda r: -r["power"]):
         if (room := room - r["n"]) < 0:
@@ -130,10 +139,26 @@ def frequent_tokens(docs: DataFrame, partitions: int) -> tuple[np.ndarray, np.nd
                 out.append((whole.tobytes(), counts[often].tobytes()))
             yield pd.DataFrame(out, columns=["tokens", "counts"])
 
-    rows = counted.mapInPandas(kept, "tokens binary, counts binary").collect()  # at most MAX_FREQUENT tokens
+    rows = counted.select("slice", "tokens", "counts").mapInPandas(kept, "tokens binary, counts binary").collect()  # at most MAX_FREQUENT tokens
     tokens, counts = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in (("tokens", np.uint64), ("counts", np.int64)))
     order = np.argsort(tokens)
-    return tokens[order], counts[order]
+    size = 1 << (REPEATED_BITS - SLICE_BITS - 3)
+    repeated = np.zeros(size << SLICE_BITS, np.uint8)
+    for r in counted.select("slice", "repeated").toLocalIterator():
+        repeated[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["repeated"], np.uint8)
+    return tokens[order], counts[order], repeated
+
+
+def _bit_in_slice(tokens: np.ndarray) -> np.ndarray:
+    """Bit of a token's low bits in its slice of the filter of repeated tokens."""
+    return (tokens.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(32 - (REPEATED_BITS - SLICE_BITS))).astype(np.int64)
+
+
+def is_repeated(short: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Which tokens (their first COUNT_BITS bits) a filter knows."""
+    low = COUNT_BITS - SLICE_BITS
+    bit = ((short >> np.uint64(low)).astype(np.int64) << (REPEATED_BITS - SLICE_BITS)) + _bit_in_slice(short & np.uint64((1 << low) - 1))
+    return (repeated[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _by_power(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,31 +176,33 @@ def length_classes(longest: int) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def entries_of(tokens: np.ndarray, ends: np.ndarray, nodes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def entries_of(tokens: np.ndarray, ends: np.ndarray, nodes: np.ndarray, known_counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(entries, nodes): index entries of the sets."""
     begins = np.append(0, ends[:-1]).astype(np.int64)
     sizes = ends - begins
     text = np.repeat(np.arange(len(ends)), sizes)
-    known, counts = frequent
+    known, counts, repeated = known_counts
     short = tokens >> np.uint64(64 - COUNT_BITS)
     at = np.minimum(np.searchsorted(known, short), max(len(known) - 1, 0))
-    count = np.where(known[at] == short, counts[at], 0) if len(known) else np.zeros(len(tokens), np.int64)
+    count = is_repeated(short, repeated).astype(np.int64)  # 0: of one document only, 1: rare, else its documents
+    if len(known):
+        count = np.where(known[at] == short, counts[at], count)
     order = np.lexsort((tokens, count, text))
     tokens, count = tokens[order], count[order]
     rank = np.arange(len(tokens)) - begins[text]
     overlap = -(-sizes * SIMILARITY // 100)
     short_prefix = sizes - overlap + 1
-    single = (count == 0) & (rank < short_prefix[text])
+    single = (count == 1) & (rank < short_prefix[text])
     out_entries, out_nodes = [mix(tokens[single] + np.uint64(1))], [nodes[text[single]]]
     has_frequent = np.zeros(len(ends), bool)
-    has_frequent[text[(count > 0) & (rank < short_prefix[text])]] = True
+    has_frequent[text[(count > 1) & (rank < short_prefix[text])]] = True
     if has_frequent.any():
         classes = length_classes(int(sizes.max()))
         own = np.searchsorted(classes, sizes, side="right") - 1
         for down in (0, 1):
             tag = np.maximum(own - down, 0)
             n_classes = np.maximum(classes[tag] // CLASS_TOKENS, 1)
-            chosen = has_frequent[text] & (count > 0) & (rank < (short_prefix + n_classes)[text]) & (own >= down)[text]
+            chosen = has_frequent[text] & (count > 1) & (rank < (short_prefix + n_classes)[text]) & (own >= down)[text]
             t, d = tokens[chosen], text[chosen]
             c = ((t >> np.uint64(8)) % n_classes[d].astype(np.uint64)).astype(np.int64)
             by_class = np.lexsort((t, c, d))
@@ -191,20 +218,30 @@ def entries_of(tokens: np.ndarray, ends: np.ndarray, nodes: np.ndarray, frequent
     return np.concatenate(out_entries), np.concatenate(out_nodes)
 
 
-def index_entries(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def index_entries(docs: DataFrame, known_counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """entry, node."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(known_counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 tokens, ends = sets_of(data, offsets)
-                entries, nodes = entries_of(tokens, ends, set_hash(tokens, ends), shared.value)
-                yield from _batches({"entry": (_signed(entries), pa.int64()), "node": (_signed(nodes), pa.int64())})
+                nodes = set_hash(tokens, ends)
+                new = [not (x in seen or seen.add(x)) for x in nodes.tolist()]  # copies give the same entries
+                entries, of = entries_of(*_chosen(tokens, ends, np.array(new, bool)), nodes[new], shared.value)
+                yield from _batches({"entry": (_signed(entries), pa.int64()), "node": (_signed(of), pa.int64())})
+            if len(seen) > SEEN:
+                seen.clear()
 
     return docs.select("text").mapInArrow(run, "entry long, node long")
 
 
+def _chosen(tokens: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(np.append(0, ends))
+    return tokens[np.repeat(which, sizes)], np.cumsum(sizes[which])
+
+
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and parity sketches allow the similarity; none that has it is lost."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
@@ -224,93 +261,136 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
 
 
-def membership(nodes: DataFrame) -> np.ndarray:
-    """A filter of 2 ** FILTER_BITS bits that knows all nodes of a table (and some others)."""
-    per_slice = FILTER_BITS - 8
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets, which are made again from the texts: those take less
+    room on their way than sets of hashes."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.join(wanted, "node", "left_semi").select("node", "text_hash"), "ngram-wanted")
+    hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    texts = maybe_known(hashed, "text_hash", known_words(wanted, "text_hash")).join(wanted, "text_hash").dropDuplicates(["text_hash"])
+    texts = materialize(texts.select("node", "text"), "ngram-texts")
 
-    def build(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << per_slice, np.uint8)
-        bits[pdf["bit"].to_numpy() & ((1 << per_slice) - 1)] = 1
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 200) for i in range(0, whole.num_rows, 200)):
+                ok = []
+                sides = [[t for _, _, data, offsets in slices(batch.column(k)) for t in np.split(*_ends(*sets_of(data, offsets)))] for k in (2, 3)]
+                for x, y in zip(*sides, strict=True):
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    common = int((x[at] == y).sum())
+                    ok.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("of_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("of_b")), "b")
+    return materialize(met.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "ngram-links")
 
-    bit = F.shiftrightunsigned("node", 64 - FILTER_BITS)
-    rows = nodes.select(bit.alias("bit")).distinct().withColumn("slice", F.shiftright("bit", per_slice)).groupBy("slice").applyInPandas(lambda k, pdf: build(k, pdf), "slice long, bits binary").collect()
-    whole = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    size = 1 << (per_slice - 3)
-    for r in rows:
-        whole[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return whole
 
+def _ends(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return tokens, ends[:-1]
 
-def token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, tokens (sorted, as bytes) of the given nodes, one row each."""
-    shared = docs.sparkSession.sparkContext.broadcast(membership(nodes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                tokens, ends = sets_of(data, offsets)
-                hashes = set_hash(tokens, ends)
-                bit = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                begins = np.append(0, ends[:-1])
-                wanted = (ends > begins) & (known[bit >> 3] >> (7 - (bit & 7)) & 1).astype(bool)
-                rows = []
-                for i in np.flatnonzero(wanted).tolist():
-                    if (node := int(_signed(hashes[i : i + 1])[0])) not in seen:
-                        seen.add(node)
-                        rows.append((node, tokens[begins[i] : ends[i]].tobytes()))
-                if len(seen) > 500_000:
-                    seen.clear()
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "node long, tokens binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked, by their whole sets."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(token_sets(docs, nodes), "token-sets")
+def _near(places: list[int]) -> list:
+    """Of a group: its members closest to fixed places, as distances."""
+    return [F.min(F.col("node").bitwiseXOR(F.lit(c))).alias(f"l{k}") for k, c in enumerate(places)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                ok.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
-    return materialize(met.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "ngram-links")
+
+def star_pairs(met: DataFrame, places: list[int]) -> DataFrame:
+    """(a, b): each node with the closest leader of its entries for each place.  met: node, l0, l1 ..."""
+    closest = met.groupBy("node").agg(*[F.min(f"l{k}").bitwiseXOR(F.lit(c)).alias(f"l{k}") for k, c in enumerate(places)])
+    pairs = closest.select("node", F.explode(F.array(*[f"l{k}" for k in range(len(places))])).alias("leader")).where("leader <> node")
+    return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
 
 
 def node_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, component of every set that is linked with another."""
-    frequent = frequent_tokens(docs, shuffle_partitions(docs.sparkSession))
-    entries = materialize(index_entries(docs, frequent), "ngram-entries")
-    heads = entries.groupBy("entry").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
+    known_counts = token_counts(docs, shuffle_partitions(docs.sparkSession))
+    entries = materialize(index_entries(docs, known_counts), "ngram-entries")
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+    nodes = materialize(nodes, "ngram-nodes")
+    places, later = PLACES[:FIRST_LEADERS], PLACES[FIRST_LEADERS:]
+    heads = entries.groupBy("entry").agg(*_near(places), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").drop("lo", "hi")
     met = materialize(entries.join(heads, "entry").distinct(), "ngram-groups")
-    nodes = sets.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
-    star = met.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    star = materialize(possible(star, nodes), "ngram-pairs")
-    nearest = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(nearest, docs)
-    placed = _placed(met, components(links))
+    seen = materialize(possible(star_pairs(met, places), nodes), "ngram-pairs")
+    found = components(verified(seen, docs, nodes))
+    members = mixed_members(met.select("entry", "node"), found)
+    # what is left of large groups is nearly always linked with one of more leaders
+    heads = members.groupBy("entry").agg(*_near(later))
+    again = star_pairs(members.join(heads, "entry").drop("entry", "component"), later)
+    again = materialize(possible(again.join(seen, ["a", "b"], "left_anti"), nodes), "ngram-pairs")
+    found = components(_flat(found).unionByName(verified(again, docs, nodes)))
+    pairs = between_components(mixed_members(members.select("entry", "node"), found), nodes)
+    pairs = materialize(pairs.join(seen.unionByName(again), ["a", "b"], "left_anti"), "ngram-pairs")
+    return components(_flat(found).unionByName(verified(pairs, docs, nodes)))
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    """Components as links, which need no more rounds of their own."""
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def mixed_members(met: DataFrame, found: DataFrame) -> DataFrame:
+    """entry, node, component of the entries with nodes of several components."""
+    placed = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry")
-    members = placed.join(mixed, "entry", "left_semi").select("entry", "node", "component")
-    x, y = members.alias("x"), members.alias("y")
-    between = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    pairs = between.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = materialize(possible(pairs, nodes).join(nearest, ["a", "b"], "left_anti"), "ngram-pairs")
-    return components(links.unionByName(verified(pairs, docs)))
+    return materialize(placed.join(mixed, "entry", "left_semi").select("entry", "node", "component"), "ngram-mixed")
+
 
+def between_components(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share an entry and whose sizes and parity sketches allow the similarity.
 
-def _placed(met: DataFrame, found: DataFrame) -> DataFrame:
-    return met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    Members of an entry are dealt to blocks of about BLOCK; each two blocks meet in one bounded group, in which numpy
+    compares all sketches, and only the pairs that are possible leave it."""
+    parts = members.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = members.join(parts, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    groups = dealt.select("entry", "node", "component", "block", F.inline(meets)).join(nodes.select("node", "n_shingles", "parity"), "node")
+    group = F.xxhash64("entry", "i", "j")
+    rows = groups.select(group.alias("group"), (F.col("i") == F.col("j")).alias("same"), (F.col("block") == F.col("i")).alias("first"), "node", "component", "n_shingles", "parity")
+    rows = rows.repartition("group").sortWithinPartitions("group")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group_of = batch.column(0).to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(group_of, group_of[-1]))  # the last group may go on
+            if last or held and held[-1].column(0)[-1].as_py() != group_of[0]:
+                if last:
+                    held.append(batch.slice(0, last))
+                yield from _possible_pairs(held)
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+        yield from _possible_pairs(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _possible_pairs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Possible pairs within whole groups, rows sorted by group: each row against the one k places on, for k = 1, 2 ..."""
+    if not batches:
+        return
+    group, same, first, node, component, n = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(6))
+    sketch = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint64).reshape(len(group), PARITY // 8)
+    found: list[np.ndarray] = []
+    k = 1
+    while k < len(group):
+        at = np.flatnonzero(group[k:] == group[:-k])
+        if not len(at):
+            break
+        to = at + k
+        ok = (component[at] != component[to]) & (same[at] | (first[at] != first[to])) & (n[at] * 100 >= n[to] * SIMILARITY) & (n[to] * 100 >= n[at] * SIMILARITY)
+        at, to = at[ok], to[ok]
+        differ = np.bitwise_count(sketch[at] ^ sketch[to]).sum(axis=1, dtype=np.int64)
+        ok = 100 * (n[at] + n[to] - differ) >= SIMILARITY * (n[at] + n[to] + differ)
+        if ok.any():
+            pair = np.stack([node[at[ok]], node[to[ok]]])
+            found.append(np.sort(pair, axis=0))
+        k += 1
+    if found:
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield from _batches({"a": (pairs[0], pa.int64()), "b": (pairs[1], pa.int64())})
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
