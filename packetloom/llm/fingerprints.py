@@ -40,11 +40,13 @@ def _from(array: Column, begin: int) -> Column:
 def anchor_positions(words: Column) -> Column:
     """First word (from 0) of each closed syncmer; words has K entries or more."""
 
+    def least_of_two(width: int):
+        return lambda m: F.zip_with(m, _from(m, width), lambda a, b: F.least(a, b))
+
     def minima(inner: Column) -> Column:
         out, width = inner, 1
         while width < WINDOW:
-            out = let(out, lambda m, w=width: F.zip_with(m, _from(m, w), lambda a, b: F.least(a, b)))
-            width *= 2
+            out, width = let(out, least_of_two(width)), 2 * width
         return out
 
     def chosen(both: Column) -> Column:
