@@ -36,7 +36,7 @@ SEEDS = {
     "report": "said says claimed claims wrote reported quoted called".split(),
 }
 SEED_WEIGHT = 3.0
-#: A learned entry has this many different contexts in toxic texts, at least this balanced precision, and the
+#: A learned entry is in this many toxic texts in different contexts, has at least this balanced precision, and the
 #: lexicon this many entries at most; beginnings of words have these lengths.
 LEAST_CONTEXTS, PRECISION, MAX_ENTRIES, BEGINNINGS = 5, 0.97, 20_000, (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -177,7 +177,8 @@ class Scanner:
 
 
 def entry_counts(texts: DataFrame) -> DataFrame:
-    """entry (a word, or a beginning and '*'), contexts: different neighbours in toxic texts, clean: clean texts with it."""
+    """entry (a word, or a beginning and '*'), contexts: toxic texts with it, those where it has the same neighbours once;
+    clean: clean texts with it.  Of its places in a text one speaks for all, so neither copies nor repetition count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,10 +188,12 @@ def entry_counts(texts: DataFrame) -> DataFrame:
                 words = _WORD.findall((text.as_py() or "").lower())
                 if label:
                     padded = ["", *words, ""]
+                    first: dict[str, int] = {}
                     for i, w in enumerate(words):
                         near = hash_text(f"{padded[i]} {padded[i + 2]}")
-                        toxic.add((w, near))
-                        toxic.update((f"{w[:n]}*", near) for n in BEGINNINGS if len(w) >= n)
+                        for entry in (w, *(f"{w[:n]}*" for n in BEGINNINGS if len(w) >= n)):
+                            first[entry] = min(near, first.get(entry, near))
+                    toxic.update(first.items())
                 else:
                     distinct = set(words)
                     clean.update(distinct)
@@ -215,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     from ._common import materialize
 
     sample = F.broadcast(labelled_sample(labels, "toxic", fit_rows))
-    texts = materialize(docs.join(sample, "doc_id").select("text", "label").repartition(F.xxhash64("text")), "toxic-sample")
+    texts = materialize(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "label"), "toxic-sample")
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     grammar = Grammar(seeds(), {})
     n_toxic, n_clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
@@ -230,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
             grammar.beginnings[r["entry"][:-1]] = weight
         elif r["entry"] not in grammar.words:
             grammar.words[r["entry"]] = ("insult", weight)
-    weighed = weigh(texts.withColumn("doc_id", F.lit(0)), grammar, ["label"]).groupBy("label", F.round("weight", 1).alias("weight")).agg(F.count(F.lit(1)).alias("n")).orderBy("label", "weight").toPandas()
+    weighed = weigh(texts, grammar, ["label"]).groupBy("label", F.round("weight", 1).alias("weight")).agg(F.count(F.lit(1)).alias("n")).orderBy("label", "weight").toPandas()
     grammar.slope, grammar.bias = _curve(np.log1p(weighed["weight"].to_numpy(float)), weighed["label"].to_numpy(float), weighed["n"].to_numpy(float))
     return grammar
 
