@@ -46,7 +46,7 @@ COUNT_BITS, SLICE_BITS = 42, 10
 #: Bits of the filter of repeated tokens.  Tokens of one document alone are no index entries; a full filter only saves less.
 REPEATED_BITS = 28
 #: Tokens that a task holds before it hands its counts on; bytes of a set's parity sketch; nodes that a task remembers.
-HELD, PARITY, SEEN = 2_000_000, 128, 500_000
+HELD, PARITY, SEEN = 2_000_000, 512, 500_000
 #: Places whose closest members lead an entry: the first few at once, the others where components then still meet.
 PLACES, FIRST_LEADERS = [((i * 0x9E3779B97F4A7C15) % 2**64) - 2**63 for i in range(1, 13)], 4
 #: Rows of a batch that leaves Python; sets of a block when the rest of an entry is compared.
