@@ -1,17 +1,17 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 Each distinct line gets MinHash values of its character shingles, bands of them make buckets, members of a
-bucket are verified by the exact Jaccard similarity of their sets of shingles, and a distributed union-find
+bucket are verified by the exact Jaccard similarity of all their character shingles, and a distributed union-find
 joins what is linked.  Of each component one occurrence stays: the first by doc_id, text hash and line number.
 
-A shingle is the characters of a word (up to a space) and the first AFTER characters of the word after it.  Where shingles
-begin depends on the line alone, every character is in one, and they are a sixth as many as there are characters.
+A shingle is SHINGLE characters; one begins at every position of a line, for signatures and for verification.  Lines
+are encoded with four bytes a character first, so that each shingle is cut out in constant time.
 
 Buckets never give all pairs: first each member is verified against a few leaders of its bucket; only buckets that then
 still hold several components give pairs, and only between components, so a group of thousands of copies costs a few rows each.
 
-Defined results: lines without a visible character always stay; a line of one word is linked only with its exact
-copies; a null text stays null and has no lines; rows with equal doc_id and text are one document that
+Defined results: lines without a visible character always stay; lines shorter than a shingle are linked only with
+their exact copies; a null text stays null and has no lines; rows with equal doc_id and text are one document that
 comes back as often as it came; a null doc_id sorts first; an empty table gives no rows; other columns stay as they
 are, whatever their names.
 """
@@ -25,12 +25,17 @@ from pyspark.sql.window import Window
 from ._common import known_words, let, materialize, maybe_known
 from .components import components
 
+SHINGLE = 5
+#: No longer part of a shingle; older tests read it.
 AFTER = 4
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
 #: Leaders of a bucket of more than LARGE lines, and of a smaller one.
 LEADERS, FEW_LEADERS, LARGE = 8, 3, 64
-#: In hundredths.  A changed word changes two shingles: 70 of these is about what 80 is of short shingles everywhere.
-SIMILARITY = 70
+#: In hundredths.
+SIMILARITY = 80
+#: MinHash values, by two bits of each, that must agree before texts are compared: of BANDS * ROWS, a pair at SIMILARITY
+#: has fewer with a chance of 1 in 100,000.
+AGREEING = 16
 #: Lines of a block when the rest of a large bucket is compared.
 BLOCK = 32
 _NULL_ID = -(2**63)
@@ -47,45 +52,68 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S")).withColumn("line_hash", F.xxhash64("line"))
 
 
-def shingles(words: Column) -> Column:
-    """Each word with the next one, null after the last."""
-    return F.arrays_zip(words.alias("word"), F.slice(words, 2, F.size(words)).alias("after"))
+def encoded(line: str | Column) -> Column:
+    """Four bytes a character."""
+    return F.encode(line, "UTF-32")
 
 
-def shingle_hash(shingle: Column) -> Column:
-    return F.xxhash64(shingle["word"], F.substring(shingle["after"], 1, AFTER))
+def positions(code: Column) -> Column:
+    """Where shingles begin, from 0; the line has SHINGLE characters or more."""
+    return F.sequence(F.lit(0), F.shiftright(F.octet_length(code), 2) - SHINGLE)
 
 
-def words(line: str) -> Column:
-    return F.split(line, " ")
+def shingle_hash(code: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * SHINGLE)))
+
+
+def shingle_set(line: str | Column) -> Column:
+    """Hashes of all distinct shingles."""
+    return let(encoded(line), lambda code: F.array_distinct(F.transform(positions(code), lambda i: shingle_hash(code, i))))
 
 
 def signatures(found: DataFrame) -> DataFrame:
     """line_hash and the MinHash values m0.. of each distinct line; copies meet before the shuffle."""
-    split = found.select("line_hash", words("line").alias("words"))
-    each = split.select("line_hash", F.explode(shingles(F.col("words"))).alias("shingle"))
-    hashed = each.select("line_hash", shingle_hash(F.col("shingle")).alias("h"))
+    code = found.where(F.length("line") >= SHINGLE).select("line_hash", encoded("line").alias("code"))
+    each = code.select("line_hash", "code", F.explode(positions(F.col("code"))).alias("at"))
+    hashed = each.select("line_hash", shingle_hash(F.col("code"), F.col("at")).alias("h"))
     return hashed.groupBy("line_hash").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(BANDS * ROWS))])
 
 
+def sketch_bits() -> Column:
+    """Two bits of each MinHash value."""
+    out = F.lit(0).cast("long")
+    for j in range(BANDS * ROWS):
+        out = out.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(3).cast("long")), 2 * j))
+    return out
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Whether AGREEING or more of the values behind two sketches agree."""
+    bits = a.bitwiseXOR(b)
+    return F.bit_count(bits.bitwiseOR(F.shiftright(bits, 1)).bitwiseAND(F.lit(0x555555555555555))) <= BANDS * ROWS - AGREEING
+
+
 def buckets(signed: DataFrame) -> DataFrame:
-    """bucket, line_hash, leaders of each member of a bucket with several lines.  Leaders are the members that are closest
-    to some fixed places, so that nearly all of a large group is linked with one of them."""
+    """bucket, line_hash, bits, leads, near of each member of a bucket with several lines: whether it is a leader, and the
+    other leaders whose sketches agree with its own.  Leaders are the members that are closest to some fixed places, so
+    that nearly all of a large group is linked with one of them."""
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    rows = signed.select("line_hash", F.explode(F.array(*keys)).alias("bucket"))
+    rows = signed.select("line_hash", sketch_bits().alias("bits"), F.explode(F.array(*keys)).alias("bucket")).repartition("bucket")  # before the window's columns are made
     group = Window.partitionBy("bucket")
-    several = rows.withColumns({"lo": F.min("line_hash").over(group), "hi": F.max("line_hash").over(group)}).where("lo <> hi").drop("lo", "hi")
-    several = materialize(several, "line-buckets")  # few of all rows
-    least = [F.min(F.col("line_hash").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in _constants(LEADERS)]
-    chosen = F.slice(F.array(*least), 1, F.when(F.count(F.lit(1)) > LARGE, LEADERS).otherwise(FEW_LEADERS))
-    return several.join(several.groupBy("bucket").agg(F.array_distinct(chosen).alias("leaders")), "bucket")
+    least = {f"l{i}": F.min(F.struct(F.col("line_hash").bitwiseXOR(F.lit(c)).alias("at"), F.col("line_hash").alias("h"), F.col("bits"))).over(group) for i, c in enumerate(_constants(LEADERS))}
+    several = rows.withColumns({"n": F.count(F.lit(1)).over(group)} | least).where("n > 1")
+    leaders = F.slice(F.array(*least), 1, F.when(F.col("n") > LARGE, LEADERS).otherwise(FEW_LEADERS))
+    others = F.filter(leaders, lambda x: (x["h"] != F.col("line_hash")) & agree(x["bits"], F.col("bits")))
+    leads = F.exists(leaders, lambda x: x["h"] == F.col("line_hash"))
+    return several.select("bucket", "line_hash", "bits", leads.alias("leads"), F.array_distinct(F.transform(others, lambda x: x["h"])).alias("near"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines reach SIMILARITY; sets: line_hash, set."""
-    with_a = pairs.join(sets.select(F.col("line_hash").alias("a"), F.col("set").alias("of_a")), "a")
-    both = with_a.join(sets.select(F.col("line_hash").alias("b"), F.col("set").alias("of_b")), "b")
-    return both.where(reaches(F.col("of_a"), F.col("of_b"))).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lines reach SIMILARITY; texts: line_hash, line.  Lines are shuffled, not their larger sets."""
+    with_a = pairs.join(texts.select(F.col("line_hash").alias("a"), F.col("line").alias("of_a")), "a")
+    both = with_a.join(texts.select(F.col("line_hash").alias("b"), F.col("line").alias("of_b")), "b")
+    sets = F.struct(shingle_set("of_a").alias("a"), shingle_set("of_b").alias("b"))
+    return both.where(let(sets, lambda s: reaches(s["a"], s["b"]))).select("a", "b")
 
 
 def reaches(a: Column, b: Column) -> Column:
@@ -94,47 +122,47 @@ def reaches(a: Column, b: Column) -> Column:
     return F.when(sizes, let(F.size(F.array_intersect(a, b)), lambda n: n * 100 >= (F.size(a) + F.size(b) - n) * SIMILARITY)).otherwise(False)
 
 
-def sets_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line_hash, set (hashes of all its shingles) of the wanted lines, one row each."""
+def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """line_hash, line of the wanted lines, one row each."""
     maybe = maybe_known(found.select("line_hash", "line"), "line_hash", known_words(wanted, "line_hash"))
     # an inner join with distinct hashes, as a semi-join would be moved below the filter
-    lines_ = maybe.join(wanted, "line_hash").groupBy("line_hash").agg(F.min("line").alias("line"))
-    split = lines_.select("line_hash", words("line").alias("words"))
-    return split.select("line_hash", F.array_distinct(F.transform(shingles(F.col("words")), shingle_hash)).alias("set"))
+    return maybe.join(wanted, "line_hash").groupBy("line_hash").agg(F.min("line").alias("line"))
 
 
 def fuzzy_components(docs: DataFrame) -> DataFrame:
     """line_hash, component of every line that is linked with a line of another text."""
     found = lines(docs)
     met = materialize(buckets(signatures(found)), "line-buckets")
-    sets = materialize(sets_of(found, met.select("line_hash").distinct()), "line-sets")
-    star = met.select("line_hash", F.explode("leaders").alias("leader")).where("leader <> line_hash")
+    star = met.select("line_hash", F.explode("near").alias("leader"))
     star = star.select(F.least("leader", "line_hash").alias("a"), F.greatest("leader", "line_hash").alias("b")).distinct()
-    links = materialize(verified(star, sets), "line-links")
+    star = materialize(star, "line-pairs")
+    rest = met.where("not leads").select("bucket", "line_hash", "bits")  # leaders have met all
+    wanted = star.select(F.explode(F.array("a", "b")).alias("line_hash")).unionByName(rest.select("line_hash")).distinct()
+    texts = materialize(texts_of(found, wanted), "line-texts")
+    links = materialize(verified(star, texts), "line-links")
     first = components(links)
-    placed = met.join(first.withColumnRenamed("node", "line_hash"), "line_hash", "left").withColumn("component", F.coalesce("component", "line_hash"))
+    placed = rest.join(first.withColumnRenamed("node", "line_hash"), "line_hash", "left").withColumn("component", F.coalesce("component", "line_hash"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    members = placed.join(mixed, "bucket", "left_semi").join(sets, "line_hash")
+    members = placed.join(mixed, "bucket", "left_semi")
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))  # flat already
-    return components(known.unionByName(materialize(between_components(members), "line-links")))
+    return components(known.unionByName(materialize(verified(materialize(between_components(members), "line-pairs"), texts), "line-links")))
 
 
 def between_components(members: DataFrame) -> DataFrame:
-    """Linked pairs (a, b) of different components within buckets.  members: bucket, line_hash, leaders, component, set.
+    """Pairs (a, b) with agreeing sketches of different components within buckets.  members: bucket, line_hash, bits, component.
 
     Members are dealt to blocks of about BLOCK; two blocks of a bucket meet in one row of bounded size, and only the
-    pairs that are linked leave it."""
+    pairs that may be linked leave it."""
     parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("bucket")) / BLOCK)
-    dealt = members.select("bucket", F.struct(F.col("line_hash").alias("h"), F.col("component").alias("c"), F.array_contains("leaders", F.col("line_hash")).alias("leads"), F.col("set")).alias("m"), parts.alias("parts"))
+    dealt = members.select("bucket", F.struct(F.col("line_hash").alias("h"), F.col("component").alias("c"), F.col("bits")).alias("m"), parts.alias("parts"))
     blocks = dealt.groupBy("bucket", F.pmod(F.xxhash64("m.h"), F.col("parts")).alias("block")).agg(F.collect_list("m").alias("ms"))
     x, y = blocks.alias("x"), blocks.alias("y")
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.ms").alias("xs"), F.col("y.ms").alias("ys"), (F.col("x.block") == F.col("y.block")).alias("same"))
 
-    def linked(m: Column, k: Column) -> Column:
-        wanted = (m["c"] != k["c"]) & ~m["leads"] & ~k["leads"] & (~F.col("same") | (m["h"] < k["h"]))  # leaders have met all
-        return F.when(wanted, reaches(m["set"], k["set"])).otherwise(False)
+    def close(m: Column, k: Column) -> Column:
+        return (m["c"] != k["c"]) & (~F.col("same") | (m["h"] < k["h"])) & agree(m["bits"], k["bits"])
 
-    pairs = F.flatten(F.transform("xs", lambda m: F.transform(F.filter("ys", lambda k: linked(m, k)), lambda k: F.struct(F.least(m["h"], k["h"]).alias("a"), F.greatest(m["h"], k["h"]).alias("b")))))
+    pairs = F.flatten(F.transform("xs", lambda m: F.transform(F.filter("ys", lambda k: close(m, k)), lambda k: F.struct(F.least(m["h"], k["h"]).alias("a"), F.greatest(m["h"], k["h"]).alias("b")))))
     return met.select(F.inline(pairs)).distinct()
 
 

@@ -365,6 +365,31 @@ def test_odd_lines(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def character_shingles(line):
+    return frozenset(line[i : i + 5] for i in range(len(line) - 4))
+
+
+def test_line_dedup_by_characters(docs, monkeypatch):
+    monkeypatch.setitem(globals(), "line_shingles", character_shingles)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    want = brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert line_dedup.SIMILARITY == 80 and sum(got[d] != want[d] for d in want) <= 0.01 * len(want)
+
+
+def test_one_changed_character(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(120):
+        letters = "abcdefghijklmnopqrstuvwxyz" if k % 3 else "日月火水木金土山川田人口車門雨風花鳥空海"
+        line = "".join(" " if k % 3 == 1 and i % 6 == 5 else rng.choice(letters) for i in range(60))  # also without spaces
+        at = rng.randrange(8, 50)
+        a, b = line, line[:at] + "#" + line[at + 1 :]
+        assert len(character_shingles(a) & character_shingles(b)) >= 0.8 * len(character_shingles(a) | character_shingles(b))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] for k in range(120)) >= 119
+
+
 # --- mixing ------------------------------------------------------------------------------------------
 def test_shortages_go_to_siblings_first():
     leaves = [(("a", "x"), 10.0), (("a", "y"), 1000.0), (("b", "x"), 1000.0)]
