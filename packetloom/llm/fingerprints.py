@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text is its sequence of words (runs without white space).  A k-mer is K words, its inner substrings are its
-runs of S words.  A k-mer is chosen if its minimal inner substring (by hash) lies at either edge: a choice that
+A k-mer is CHARS characters, its inner substrings have INNER characters; one begins at every position.  Texts are encoded
+with four bytes a character first, so that each is cut out in constant time.  A k-mer is chosen if its minimal inner substring (by hash) lies at either edge: a choice that
 depends on the k-mer alone, so equal passages choose equal anchors whatever surrounds them.  Anchors have
 positions (`anchors`, `shared_anchors`); the fingerprint string holds the SKETCH smallest anchor hashes, and
 likeness is the share of common anchors among the SKETCH smallest of both.
@@ -9,7 +9,8 @@ likeness is the share of common anchors among the SKETCH smallest of both.
 Every array is bound once and walked in linear time; nothing indexes characters of a long text.
 
 Defined results: a null text counts as empty and has the empty fingerprint; two empty fingerprints have likeness
-1, an empty and another 0; with fewer than K words the whole sequence is the one anchor; rows with equal doc_id
+1, an empty and another 0; with fewer than CHARS characters the whole text is the one anchor;
+without a chosen k-mer the one with the smallest hash is it; rows with equal doc_id
 and text are one document that is returned as often as it came; a null doc_id sorts first; an empty table gives
 no rows; other columns are ignored, whatever their names.
 """
@@ -25,6 +26,8 @@ from ._common import let, materialize, shuffle_partitions
 #: Words of a k-mer and of its inner substrings; K - S + 1 is a power of two.
 K, S = 9, 2
 WINDOW = K - S + 1
+#: Characters of a k-mer and of its inner substrings; CHARS - INNER + 1 is a power of two.
+CHARS, INNER = 24, 9
 SKETCH = 128
 _NULL_ID = -(2**63)
 
@@ -37,29 +40,74 @@ def _from(array: Column, begin: int) -> Column:
     return F.slice(array, begin + 1, F.greatest(F.size(array) - begin, F.lit(0)))
 
 
-def anchor_positions(words: Column) -> Column:
-    """First word (from 0) of each closed syncmer; words has K entries or more."""
+def closed(inner: Column, window: int) -> Column:
+    """Positions (from 0) of windows of inner whose minimum lies at either edge; inner has window entries or more, and
+    window is a power of two."""
 
     def least_of_two(width: int):
         return lambda m: F.zip_with(m, _from(m, width), lambda a, b: F.least(a, b))
 
     def minima(inner: Column) -> Column:
         out, width = inner, 1
-        while width < WINDOW:
+        while width < window:
             out, width = let(out, least_of_two(width)), 2 * width
         return out
 
     def chosen(both: Column) -> Column:
         inner, least = both["inner"], both["least"]
-        at_edge = lambda i: (least[i] == inner[i]) | (least[i] == inner[i + (WINDOW - 1)])
-        return F.filter(F.sequence(F.lit(0), F.size(inner) - WINDOW), at_edge)
+        at_edge = lambda i: (least[i] == inner[i]) | (least[i] == inner[i + (window - 1)])
+        return F.filter(F.sequence(F.lit(0), F.size(inner) - window), at_edge)
 
-    inner = F.slice(F.zip_with(words, _from(words, S - 1), lambda a, b: F.xxhash64(a, b)), 1, F.size(words) - (S - 1))
     return let(inner, lambda g: let(F.struct(g.alias("inner"), minima(g).alias("least")), chosen))
 
 
+def anchor_positions(words: Column) -> Column:
+    """First word (from 0) of each closed syncmer of words; words has K entries or more."""
+    inner = F.slice(F.zip_with(words, _from(words, S - 1), lambda a, b: F.xxhash64(a, b)), 1, F.size(words) - (S - 1))
+    return closed(inner, WINDOW)
+
+
+def _hash_at(code: Column, at: Column, chars: int) -> Column:
+    return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * chars)))
+
+
+def _size(code: Column) -> Column:
+    return F.shiftright(F.octet_length(code), 2)
+
+
+def _anchor(position: Column, hash_: Column) -> Column:
+    return F.struct(position.alias("position"), hash_.alias("hash"))
+
+
+def chosen_anchors(text: Column) -> Column:
+    """array<struct<position:int, hash:bigint>> of the chosen k-mers of a text that isn't null, by position."""
+
+    def of(code: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(0), _size(code) - INNER), lambda i: _hash_at(code, i, INNER))
+        each = F.transform(closed(inner, CHARS - INNER + 1), lambda i: _anchor(i, _hash_at(code, i, CHARS)))
+        none = F.filter(F.array(_anchor(F.lit(0), F.xxhash64(code))), lambda x: F.lit(False))
+        return F.when(_size(code) >= CHARS, each).otherwise(none)
+
+    return let(F.encode(text, "UTF-32"), of)
+
+
+def or_other(chosen: Column, text: Column) -> Column:
+    """The chosen anchors of a text or, if there are none, one that stands for them; none for an empty text."""
+
+    def other(code: Column) -> Column:
+        least = F.array_min(F.transform(F.sequence(F.lit(0), _size(code) - CHARS), lambda i: F.struct(_hash_at(code, i, CHARS).alias("hash"), i.alias("position"))))
+        one = F.when(_size(code) >= CHARS, let(least, lambda x: _anchor(x["position"], x["hash"]))).otherwise(_anchor(F.lit(0), F.xxhash64(code)))
+        return F.array(one)
+
+    return let(chosen, lambda c: F.when((F.size(c) > 0) | (F.length(text) == 0), c).otherwise(let(F.encode(text, "UTF-32"), other)))
+
+
+def character_anchors(text: Column) -> Column:
+    return or_other(chosen_anchors(text), text)
+
+
 def anchors(text: Column) -> Column:
-    """array<struct<position:int, hash:bigint>> of a text that isn't null."""
+    """array<struct<position:int, hash:bigint>> by words, not by characters, of a text that isn't null."""
 
     def of(words: Column) -> Column:
         each = F.transform(anchor_positions(words), lambda i: F.struct(i.alias("position"), F.xxhash64(F.slice(words, i + 1, K)).alias("hash")))
@@ -72,7 +120,7 @@ def anchors(text: Column) -> Column:
 
 def sketch(text: Column) -> Column:
     """The smallest distinct anchor hashes of a text, in order."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text), lambda x: x["hash"]))), 1, SKETCH)
+    return F.slice(F.array_sort(F.array_distinct(F.transform(character_anchors(text), lambda x: x["hash"]))), 1, SKETCH)
 
 
 def as_string(hashes: Column) -> Column:
@@ -94,7 +142,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, anchors, fingerprint of each document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), anchors(text).alias("anchors"), as_string(sketch(text)).alias("fingerprint"))
+    return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), character_anchors(text).alias("anchors"), as_string(sketch(text)).alias("fingerprint"))
 
 
 def shared_anchors(a: Column, b: Column) -> Column:

@@ -298,6 +298,28 @@ def test_edited_fingerprints(docs, odd, empty):
     assert fingerprints.fingerprint(odd).count() == 12
 
 
+def test_character_anchors(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("日本語 abcdeé") for _ in range(n)) for n in (1, 23, 24, 25, 26, 27, 30, 38, 60, 500)] + ["", "a" * 40]
+    code = F.encode("text", "UTF-32")
+    inner = F.when(F.length("text") >= 9, F.transform(F.sequence(F.lit(0), F.length("text") - 9), lambda i: F.xxhash64(F.encode(F.substring("text", i + 1, F.lit(9)), "UTF-32"))))
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", inner.alias("inner"), F.xxhash64(code).alias("whole"), fingerprints.character_anchors(F.col("text")).alias("anchors"), fingerprints.sketch(F.col("text")).alias("sketch")).collect()
+    for r in rows:
+        n, got = len(r["text"]), [a["position"] for a in r["anchors"]]
+        want = [i for i in range(n - 23) if min(r["inner"][i : i + 16]) in (r["inner"][i], r["inner"][i + 15])]
+        assert got == want if want else len(got) == (n > 0)
+        assert bool(r["sketch"]) == (n > 0)
+        if 0 < n < 24:
+            assert [a["hash"] for a in r["anchors"]] == [r["whole"]]
+
+
+def test_an_edit_of_a_text_without_spaces_leaves_anchors(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("日月火水木金土山川田人口") for _ in range(300))
+    row = spark.createDataFrame([(text, text[:150] + "x" + text[151:])], "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b")).first()
+    assert len(set(row["a"]) & set(row["b"])) >= 0.7 * len(row["a"])
+
+
 # --- lines -------------------------------------------------------------------------------------------
 def line_shingles(line):
     words = line.split(" ")
