@@ -3,8 +3,12 @@
 A k-mer is CHARS characters, its inner substrings have INNER characters; one begins at every position.  Texts are encoded
 with four bytes a character first, so that each is cut out in constant time.  A k-mer is chosen if its minimal inner substring (by hash) lies at either edge: a choice that
 depends on the k-mer alone, so equal passages choose equal anchors whatever surrounds them.  Anchors have
-positions (`anchors`, `shared_anchors`); the fingerprint string holds the SKETCH smallest anchor hashes, and
-likeness is the share of common anchors among the SKETCH smallest of both.
+positions; the fingerprint string holds all of them by position, each as 8 hexadecimal digits of its position and 16 of
+its hash.  Likeness matches positions: the n-th of the anchors with one hash in one text with the n-th in the other, and
+is the share of matches among all anchors of both, a match counting once.
+
+An edited text consists of two beginnings, so its anchors are those of both that lie within them and the ones of the few
+k-mers across the seam: a choice depends on the k-mer alone.
 
 Every array is bound once and walked in linear time; nothing indexes characters of a long text.
 
@@ -28,7 +32,6 @@ K, S = 9, 2
 WINDOW = K - S + 1
 #: Characters of a k-mer and of its inner substrings; CHARS - INNER + 1 is a power of two.
 CHARS, INNER = 24, 9
-SKETCH = 128
 _NULL_ID = -(2**63)
 
 
@@ -118,31 +121,57 @@ def anchors(text: Column) -> Column:
     return let(word_hashes(text), of)
 
 
-def sketch(text: Column) -> Column:
-    """The smallest distinct anchor hashes of a text, in order."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(character_anchors(text), lambda x: x["hash"]))), 1, SKETCH)
+def as_string(found: Column) -> Column:
+    def digits(x: Column) -> Column:
+        return F.concat(F.lpad(F.hex(x["position"]), 8, "0"), F.lpad(F.hex(x["hash"]), 16, "0"))
+
+    return F.lower(F.array_join(F.transform(found, digits), ""))
+
+
+def occurrences(found: Column) -> Column:
+    """A distinct key of each anchor: its hash or, from the second anchor with this hash on, one of hash and number."""
 
+    def numbered(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i)))
 
-def as_string(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+        def runs(b: Column) -> Column:
+            ends = F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s)))
+            each = F.zip_with(b, ends, lambda x, y: F.transform(F.sequence(F.lit(0), y - x - 1), lambda j: F.when(j == 0, s[x]).otherwise(F.xxhash64(s[x], j))))
+            return F.flatten(each)
+
+        return let(begins, runs)
+
+    hashes = F.transform(found, lambda x: x["hash"])
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(let(F.array_sort(h), numbered)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common entries among the SKETCH smallest of both sketches."""
+    """Share of matches among all anchors of both; a, b: the occurrences of their anchors."""
 
     def of(both: Column) -> Column:
-        smallest = F.slice(F.array_sort(F.array_union(both["a"], both["b"])), 1, SKETCH)
-        common = F.array_intersect(both["a"], both["b"])
-        share = let(smallest, lambda s: F.size(F.array_intersect(s, common)).cast("double") / F.size(s))
-        return F.when((F.size(both["a"]) == 0) & (F.size(both["b"]) == 0), F.lit(1.0)).when((F.size(both["a"]) == 0) | (F.size(both["b"]) == 0), F.lit(0.0)).otherwise(share)
+        sizes = F.size(both["a"]) + F.size(both["b"])
+        share = let(F.size(F.array_intersect(both["a"], both["b"])), lambda n: n.cast("double") / (sizes - n))
+        return F.when(sizes == 0, F.lit(1.0)).otherwise(share)
 
     return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
+def joined_anchors(own: Column, kept: Column, after: Column, beginning: Column, edited: Column) -> Column:
+    """Anchors of edited: kept characters of a text with chosen anchors own, and the beginning of one with chosen anchors
+    after."""
+    start = F.greatest(kept - (CHARS - 1), F.lit(0))
+    seam = F.transform(chosen_anchors(F.substring(edited, start + 1, kept + (CHARS - 1) - start)), lambda x: _anchor(x["position"] + start, x["hash"]))
+    within = F.filter(own, lambda x: x["position"] + CHARS <= kept)
+    behind = F.transform(F.filter(after, lambda x: x["position"] + CHARS <= F.length(beginning)), lambda x: _anchor(x["position"] + kept, x["hash"]))
+    # a seam shorter than a k-mer has none, and none of its k-mers lies in one part alone
+    return or_other(F.concat(within, seam, behind), edited)
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, anchors, fingerprint of each document."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), character_anchors(text).alias("anchors"), as_string(sketch(text)).alias("fingerprint"))
+    found = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), character_anchors(text).alias("anchors"))
+    return found.withColumn("fingerprint", as_string(F.col("anchors")))
 
 
 def shared_anchors(a: Column, b: Column) -> Column:
@@ -174,13 +203,19 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     known = rows.join(order, ["id", "text_hash"])  # one shuffle of the texts; both sides below read it
     n = F.length("text")
     given = known.select(
-        F.col("before.id").alias("id"), F.col("before.text_hash").alias("text_hash"), F.left(F.col("text"), F.floor(F.col("before.n_chars") / 2).cast("int")).alias("beginning"), sketch(F.col("text")).alias("next_sketch")
+        F.col("before.id").alias("id"), F.col("before.text_hash").alias("text_hash"), F.floor(F.col("before.n_chars") / 2).cast("int").alias("taken"), F.col("text").alias("next")
     ).dropDuplicates(["id", "text_hash"])
-    met = rows.join(given, ["id", "text_hash"])  # sketches are made after the shuffle, so that it is the one above
-    edited = met.withColumn("sketch", sketch(F.col("text"))).withColumn("edited", F.concat(F.left(F.col("text"), n - F.floor(n / 2).cast("int")), "beginning"))
-    marked = edited.withColumn("edited_sketch", sketch(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
+    met = rows.join(given, ["id", "text_hash"])  # anchors are made after the shuffle: they are larger than texts
+    beginning, kept = F.left(F.col("next"), F.col("taken")), (n - F.floor(n / 2)).cast("int")
+    edited = met.withColumns({"kept": kept, "beginning": beginning}).withColumn("edited", F.concat(F.left(F.col("text"), F.col("kept")), F.col("beginning")))
+    chosen = edited.withColumns({"own": chosen_anchors(F.col("text")), "after": chosen_anchors(F.col("next"))})
+    found = chosen.withColumns({
+        "anchors": or_other(F.col("own"), F.col("text")), "next_anchors": or_other(F.col("after"), F.col("next")),
+        "edited_anchors": joined_anchors(F.col("own"), F.col("kept"), F.col("after"), F.col("beginning"), F.col("edited")),
+    })
+    marked = found.withColumns({f"{x}keys": occurrences(F.col(f"{x}anchors")) for x in ("", "next_", "edited_")})
     return marked.select(
-        F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), "edited_sha256",
-        as_string(F.col("sketch")).alias("fingerprint"), as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("keys"), F.col("edited_keys")).alias("near_edited"), likeness(F.col("keys"), F.col("next_keys")).alias("near_next"),
     )

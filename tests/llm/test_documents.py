@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -303,12 +303,11 @@ def test_character_anchors(spark):
     texts = ["".join(rng.choice("日本語 abcdeé") for _ in range(n)) for n in (1, 23, 24, 25, 26, 27, 30, 38, 60, 500)] + ["", "a" * 40]
     code = F.encode("text", "UTF-32")
     inner = F.when(F.length("text") >= 9, F.transform(F.sequence(F.lit(0), F.length("text") - 9), lambda i: F.xxhash64(F.encode(F.substring("text", i + 1, F.lit(9)), "UTF-32"))))
-    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", inner.alias("inner"), F.xxhash64(code).alias("whole"), fingerprints.character_anchors(F.col("text")).alias("anchors"), fingerprints.sketch(F.col("text")).alias("sketch")).collect()
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", inner.alias("inner"), F.xxhash64(code).alias("whole"), fingerprints.character_anchors(F.col("text")).alias("anchors")).collect()
     for r in rows:
         n, got = len(r["text"]), [a["position"] for a in r["anchors"]]
         want = [i for i in range(n - 23) if min(r["inner"][i : i + 16]) in (r["inner"][i], r["inner"][i + 15])]
         assert got == want if want else len(got) == (n > 0)
-        assert bool(r["sketch"]) == (n > 0)
         if 0 < n < 24:
             assert [a["hash"] for a in r["anchors"]] == [r["whole"]]
 
@@ -316,8 +315,30 @@ def test_character_anchors(spark):
 def test_an_edit_of_a_text_without_spaces_leaves_anchors(spark):
     rng = random.Random(9)
     text = "".join(rng.choice("日月火水木金土山川田人口") for _ in range(300))
-    row = spark.createDataFrame([(text, text[:150] + "x" + text[151:])], "a string, b string").select(fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b")).first()
-    assert len(set(row["a"]) & set(row["b"])) >= 0.7 * len(row["a"])
+    row = spark.createDataFrame([(text, text[:150] + "x" + text[151:])], "a string, b string").select(fingerprints.character_anchors(F.col("a")).alias("a"), fingerprints.character_anchors(F.col("b")).alias("b")).first()
+    a, b = ({x["hash"] for x in row[c]} for c in "ab")
+    assert len(a & b) >= 0.7 * len(a)
+
+
+def test_fingerprints_hold_every_anchor(spark, docs, odd):
+    for df in (docs, odd):
+        plain = sorted({(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()}, key=lambda x: (x[0] is not None, x[0] or 0))
+        texts = [(i, text, text[: len(text) - len(text) // 2] + after[: len(text) // 2]) for (i, text), (_, after) in zip(plain, plain[1:] + plain[:1], strict=True)]
+        made = spark.createDataFrame(texts, "i long, text string, edited string").select("i", *[fingerprints.character_anchors(F.col(c)).alias(c) for c in ("text", "edited")]).collect()
+        want = {r["i"]: r for r in made}
+        nexts = {i: after for (i, _), (after, _) in zip(plain, plain[1:] + plain[:1], strict=True)}
+
+        def digits(found):
+            return "".join(f"{x['position']:08x}{x['hash'] % 2**64:016x}" for x in found)
+
+        def like(a, b):
+            a, b = (Counter(x["hash"] for x in y) for y in (a, b))
+            return (a & b).total() / (a | b).total() if a or b else 1.0
+
+        for r in fingerprints.edited_fingerprints(df).collect():
+            own, edited, after = want[r["doc_id"]]["text"], want[r["doc_id"]]["edited"], want[nexts[r["doc_id"]]]["text"]
+            assert r["fingerprint"] == digits(own) and r["edited_fingerprint"] == digits(edited)
+            assert abs(r["near_edited"] - like(own, edited)) < 1e-9 and abs(r["near_next"] - like(own, after)) < 1e-9
 
 
 # --- lines -------------------------------------------------------------------------------------------
