@@ -7,8 +7,9 @@ joins what is linked.  Of each component one occurrence stays: the first by doc_
 A shingle is SHINGLE characters; one begins at every position of a line, for signatures and for verification.  Lines
 are encoded with four bytes a character first, so that each shingle is cut out in constant time.
 
-Buckets never give all pairs: first each member is verified against a few leaders of its bucket; only buckets that then
-still hold several components give pairs, and only between components, so a group of thousands of copies costs a few rows each.
+Buckets never give all pairs: first each member is verified against two leaders of its bucket, which differ from bucket to
+bucket; only buckets whose other members then still are of several components give pairs, and only between components,
+in blocks that are dealt to tasks each on its own.  So a group of thousands of copies costs a few rows each.
 
 Defined results: lines without a visible character always stay; lines shorter than a shingle are linked only with
 their exact copies; a null text stays null and has no lines; rows with equal doc_id and text are one document that
@@ -20,22 +21,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import known_words, let, materialize, maybe_known
 from .components import components
 
 SHINGLE = 5
-#: No longer part of a shingle; older tests read it.
-AFTER = 4
-BANDS, ROWS = 10, 3
-#: Leaders of a bucket of more than LARGE lines, and of a smaller one.
-LEADERS, FEW_LEADERS, LARGE = 8, 3, 64
+#: Ten bands of four find 99.5 % of pairs at SIMILARITY and 99.98 % of those at 0.9.
+BANDS, ROWS = 10, 4
 #: In hundredths.
 SIMILARITY = 80
-#: MinHash values, by two bits of each, that must agree before texts are compared: of BANDS * ROWS, a pair at SIMILARITY
-#: has fewer with a chance of 1 in 100,000.
-AGREEING = 16
+#: Two bits of each of the first SKETCHED MinHash values make a sketch; sketches agree if AGREEING of them do, which a
+#: pair at SIMILARITY fails with a chance of 4 in 10,000 and one at 0.9 of less than 1 in 10 million.
+SKETCHED, AGREEING = 32, 20
 #: Lines of a block when the rest of a large bucket is compared.
 BLOCK = 32
 _NULL_ID = -(2**63)
@@ -82,30 +79,28 @@ def signatures(found: DataFrame) -> DataFrame:
 def sketch_bits() -> Column:
     """Two bits of each MinHash value."""
     out = F.lit(0).cast("long")
-    for j in range(BANDS * ROWS):
-        out = out.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(3).cast("long")), 2 * j))
+    for j in range(SKETCHED):
+        out = out.bitwiseOR(F.call_function("shiftleft", F.col(f"m{j}").bitwiseAND(F.lit(3).cast("long")), F.lit(2 * j)))
     return out
 
 
 def agree(a: Column, b: Column) -> Column:
     """Whether AGREEING or more of the values behind two sketches agree."""
     bits = a.bitwiseXOR(b)
-    return F.bit_count(bits.bitwiseOR(F.shiftright(bits, 1)).bitwiseAND(F.lit(0x555555555555555))) <= BANDS * ROWS - AGREEING
+    return F.bit_count(bits.bitwiseOR(F.shiftright(bits, 1)).bitwiseAND(F.lit(0x5555555555555555))) <= SKETCHED - AGREEING
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """bucket, line_hash, bits, leads, near of each member of a bucket with several lines: whether it is a leader, and the
-    other leaders whose sketches agree with its own.  Leaders are the members that are closest to some fixed places, so
-    that nearly all of a large group is linked with one of them."""
+    """bucket, n, line_hash, bits, leads, near of each member of a bucket with n > 1 lines: whether it is a leader, and the
+    leaders whose sketches agree with its own.  A bucket's leaders are the members with the least and the largest hash of line and bucket."""
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    rows = signed.select("line_hash", sketch_bits().alias("bits"), F.explode(F.array(*keys)).alias("bucket")).repartition("bucket")  # before the window's columns are made
-    group = Window.partitionBy("bucket")
-    least = {f"l{i}": F.min(F.struct(F.col("line_hash").bitwiseXOR(F.lit(c)).alias("at"), F.col("line_hash").alias("h"), F.col("bits"))).over(group) for i, c in enumerate(_constants(LEADERS))}
-    several = rows.withColumns({"n": F.count(F.lit(1)).over(group)} | least).where("n > 1")
-    leaders = F.slice(F.array(*least), 1, F.when(F.col("n") > LARGE, LEADERS).otherwise(FEW_LEADERS))
-    others = F.filter(leaders, lambda x: (x["h"] != F.col("line_hash")) & agree(x["bits"], F.col("bits")))
-    leads = F.exists(leaders, lambda x: x["h"] == F.col("line_hash"))
-    return several.select("bucket", "line_hash", "bits", leads.alias("leads"), F.array_distinct(F.transform(others, lambda x: x["h"])).alias("near"))
+    rows = signed.select("line_hash", sketch_bits().alias("bits"), F.explode(F.array(*keys)).alias("bucket")).repartition("bucket")
+    place = F.xxhash64("line_hash", "bucket")
+    ends = {"first": F.min_by, "last": F.max_by}
+    heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[by(c, place).alias(f"{end}_{c}") for end, by in ends.items() for c in ("line_hash", "bits")]).where("n > 1")
+    near = [F.when((F.col(f"{end}_line_hash") != F.col("line_hash")) & agree(F.col(f"{end}_bits"), F.col("bits")), F.col(f"{end}_line_hash")) for end in ends]
+    leads = F.col("line_hash").isin(F.col("first_line_hash"), F.col("last_line_hash"))
+    return rows.join(heads, "bucket").select("bucket", "n", "line_hash", "bits", leads.alias("leads"), F.array_compact(F.array(*near)).alias("near"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -132,32 +127,36 @@ def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
 def fuzzy_components(docs: DataFrame) -> DataFrame:
     """line_hash, component of every line that is linked with a line of another text."""
     found = lines(docs)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "line-pairs")
+        texts = materialize(texts_of(found, pairs.select(F.explode(F.array("a", "b")).alias("line_hash")).distinct()), "line-texts")
+        return materialize(verified(pairs, texts), "line-links")
+
     met = materialize(buckets(signatures(found)), "line-buckets")
     star = met.select("line_hash", F.explode("near").alias("leader"))
-    star = star.select(F.least("leader", "line_hash").alias("a"), F.greatest("leader", "line_hash").alias("b")).distinct()
-    star = materialize(star, "line-pairs")
-    rest = met.where("not leads").select("bucket", "line_hash", "bits")  # leaders have met all
-    wanted = star.select(F.explode(F.array("a", "b")).alias("line_hash")).unionByName(rest.select("line_hash")).distinct()
-    texts = materialize(texts_of(found, wanted), "line-texts")
-    links = materialize(verified(star, texts), "line-links")
-    first = components(links)
+    first = components(links(star.select(F.least("leader", "line_hash").alias("a"), F.greatest("leader", "line_hash").alias("b")).distinct()))
+    # leaders have met all, and the one other member of three has met both
+    rest = met.where("not leads and n > 3").select("bucket", "line_hash", "bits")
     placed = rest.join(first.withColumnRenamed("node", "line_hash"), "line_hash", "left").withColumn("component", F.coalesce("component", "line_hash"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    members = placed.join(mixed, "bucket", "left_semi")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
+    members = materialize(placed.join(mixed, "bucket"), "line-rest")
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))  # flat already
-    return components(known.unionByName(materialize(verified(materialize(between_components(members), "line-pairs"), texts), "line-links")))
+    return components(known.unionByName(links(between_components(members))))
 
 
 def between_components(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) with agreeing sketches of different components within buckets.  members: bucket, line_hash, bits, component.
-
-    Members are dealt to blocks of about BLOCK; two blocks of a bucket meet in one row of bounded size, and only the
-    pairs that may be linked leave it."""
-    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("bucket")) / BLOCK)
-    dealt = members.select("bucket", F.struct(F.col("line_hash").alias("h"), F.col("component").alias("c"), F.col("bits")).alias("m"), parts.alias("parts"))
-    blocks = dealt.groupBy("bucket", F.pmod(F.xxhash64("m.h"), F.col("parts")).alias("block")).agg(F.collect_list("m").alias("ms"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block"))).select(F.col("x.ms").alias("xs"), F.col("y.ms").alias("ys"), (F.col("x.block") == F.col("y.block")).alias("same"))
+    """Pairs (a, b) with agreeing sketches of different components within buckets.  members: bucket, n (its members here),
+    line_hash, bits, component.
+
+    Members are dealt to blocks of about BLOCK.  Each block goes to each block of its bucket that isn't before it, under
+    a key of both the bucket and that block, so that a large bucket is spread over tasks; two blocks meet in one row of
+    bounded size, and only the pairs that may be linked leave it."""
+    member = F.struct(F.col("line_hash").alias("h"), F.col("component").alias("c"), F.col("bits"))
+    dealt = members.select("bucket", member.alias("m"), F.ceil(F.col("n") / BLOCK).alias("parts"))
+    blocks = dealt.groupBy("bucket", "parts", F.pmod(F.xxhash64("m.h"), F.col("parts")).alias("block")).agg(F.collect_list("m").alias("ms"))
+    x = blocks.select("bucket", F.col("ms").alias("xs"), F.col("block").alias("of"), F.explode(F.sequence(F.col("block"), F.col("parts") - 1)).alias("block"))
+    met = x.join(blocks.select("bucket", "block", F.col("ms").alias("ys")), ["bucket", "block"]).select("xs", "ys", (F.col("of") == F.col("block")).alias("same"))
 
     def close(m: Column, k: Column) -> Column:
         return (m["c"] != k["c"]) & (~F.col("same") | (m["h"] < k["h"])) & agree(m["bits"], k["bits"])
@@ -166,23 +165,30 @@ def between_components(members: DataFrame) -> DataFrame:
     return met.select(F.inline(pairs)).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """id, text_hash, removed: the numbers of the lines that go."""
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """id, text_hash, kept: the numbers of the lines with a visible character that stay.  The first place of each line
+    is found before components are, so nothing is dealt by the component of a line that is everywhere."""
+    place = F.struct("id", "text_hash", "line_no")
+    first = lines(docs).groupBy("line_hash").agg(F.min(place).alias("place"))
     group = fuzzy_components(docs).withColumnRenamed("node", "line_hash")
-    seen = lines(docs).select("line_hash", "id", "text_hash", "line_no").join(group, "line_hash", "left")
-    seen = seen.select(F.coalesce("component", "line_hash").alias("component"), F.struct("id", "text_hash", "line_no").alias("place"))
-    kept = seen.groupBy("component").agg(F.min("place").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    gone = seen.join(kept, "component").where("place <> kept")
-    return gone.groupBy("place.id", "place.text_hash").agg(F.collect_set("place.line_no").alias("removed"))
+    placed = first.join(group, "line_hash", "left").groupBy(F.coalesce("component", "line_hash").alias("component")).agg(F.min("place").alias("place"))
+    return placed.groupBy("place.id", "place.text_hash").agg(F.collect_list("place.line_no").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text cut to the lines that stay, and n_lines and n_removed (columns of these names are replaced)."""
-    removed = removed_lines(docs).select(F.col("id").alias("_line_id"), F.col("text_hash").alias("_line_text"), F.col("removed").alias("_line_removed"))
+    found = kept_lines(docs).select(F.col("id").alias("_line_id"), F.col("text_hash").alias("_line_text"), F.col("kept").alias("_line_kept"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.withColumns({"_line_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "_line_hash": F.xxhash64("text")})
-    joined = keyed.join(removed, (F.col("_line_key") == F.col("_line_id")) & (F.col("_line_hash") == F.col("_line_text")), "left")
-    staying = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_line_removed"), i))
-    text = F.when(F.col("_line_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(staying, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_line_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    joined = keyed.join(found, (F.col("_line_key") == F.col("_line_id")) & (F.col("_line_hash") == F.col("_line_text")), "left")
+
+    def cut(every: Column) -> Column:
+        """The text of the lines that stay and their number; each line is looked at once, however many there are."""
+        unseen = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: ~every[i].rlike(r"\S"))
+        staying = F.array_sort(F.concat(unseen, F.coalesce("_line_kept", F.array().cast("array<int>"))))
+        text = let(staying, lambda at: F.when(F.size(at) < F.size(every), F.array_join(F.transform(at, lambda i: every[i]), "\n")).otherwise(F.col("text")))
+        return F.struct(text.alias("text"), F.size(every).alias("n_lines"), (F.size(every) - F.size(unseen) - F.coalesce(F.size("_line_kept"), F.lit(0))).alias("n_removed"))
+
+    done = joined.withColumn("_line_cut", F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), cut)))
+    number = lambda c: F.coalesce(F.col(f"_line_cut.{c}"), F.lit(0)).cast("long").alias(c)
+    return done.select(*[F.col("_line_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], number("n_lines"), number("n_removed"))
