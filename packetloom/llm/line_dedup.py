@@ -1,15 +1,15 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
 Each distinct line gets MinHash values of its character shingles, bands of them make buckets, members of a
 bucket are verified by the exact Jaccard similarity of all their character shingles, and a distributed union-find
 joins what is linked.  Of each component one occurrence stays: the first by doc_id, text hash and line number.
 
-A shingle is SHINGLE characters; one begins at every position of a line, for signatures and for verification.  Lines
-are encoded with four bytes a character first, so that each shingle is cut out in constant time.
+A shingle is SHINGLE characters; one begins at every position of a line, for signatures and for verification.  Both
+are made by numpy in Arrow batches; the form with DataFrame functions only takes twice the CPU seconds (README).
 
 Buckets never give all pairs: first each member is verified against two leaders of its bucket, which differ from bucket to
-bucket; only buckets whose other members then still are of several components give pairs, and only between components,
-in blocks that are dealt to tasks each on its own.  So a group of thousands of copies costs a few rows each.
+bucket; only buckets whose other members then still are of several components are looked at again, in bounded blocks that
+are dealt to tasks each on its own, and only pairs between components that pass a bound on their difference leave them.
 
 Defined results: lines without a visible character always stay; lines shorter than a shingle are linked only with
 their exact copies; a null text stays null and has no lines; rows with equal doc_id and text are one document that
@@ -19,11 +19,18 @@ are, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import known_words, let, materialize, maybe_known
 from .components import components
+from .ngram_join import between_components, mixed_members, parity, possible
+from .shingles import mix
 
 SHINGLE = 5
 #: Ten bands of four find 99.5 % of pairs at SIMILARITY and 99.98 % of those at 0.9.
@@ -33,14 +40,20 @@ SIMILARITY = 80
 #: Two bits of each of the first SKETCHED MinHash values make a sketch; sketches agree if AGREEING of them do, which a
 #: pair at SIMILARITY fails with a chance of 4 in 10,000 and one at 0.9 of less than 1 in 10 million.
 SKETCHED, AGREEING = 32, 20
-#: Lines of a block when the rest of a large bucket is compared.
-BLOCK = 32
+#: Bytes of a line's parity sketch; characters that are hashed at a time; lines that a task remembers.
+PARITY, PIECE, SEEN = 256, 50_000, 500_000
+#: The white space without which a line must have a character.
+_BLANK = " \t\x0b\f\r"
 _NULL_ID = -(2**63)
 
 
-def _constants(n: int) -> list[int]:
-    """n odd 64-bit numbers spread evenly by the golden ratio."""
-    return [((i * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64 | 1) - 2**63 for i in range(1, n + 1)]
+def _constants(n: int) -> np.ndarray:
+    """n odd 64-bit numbers."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+_MULTIPLIERS = _constants(SHINGLE)
+_FACTORS, _MASKS = ((_constants(BANDS * ROWS) >> np.uint64(n)).astype(np.uint32) | np.uint32(1) for n in (8, 32))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -49,39 +62,89 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"\S")).withColumn("line_hash", F.xxhash64("line"))
 
 
-def encoded(line: str | Column) -> Column:
-    """Four bytes a character."""
-    return F.encode(line, "UTF-32")
-
-
-def positions(code: Column) -> Column:
-    """Where shingles begin, from 0; the line has SHINGLE characters or more."""
-    return F.sequence(F.lit(0), F.shiftright(F.octet_length(code), 2) - SHINGLE)
-
-
-def shingle_hash(code: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * SHINGLE)))
-
-
-def shingle_set(line: str | Column) -> Column:
-    """Hashes of all distinct shingles."""
-    return let(encoded(line), lambda code: F.array_distinct(F.transform(positions(code), lambda i: shingle_hash(code, i))))
-
-
-def signatures(found: DataFrame) -> DataFrame:
-    """line_hash and the MinHash values m0.. of each distinct line; copies meet before the shuffle."""
-    code = found.where(F.length("line") >= SHINGLE).select("line_hash", encoded("line").alias("code"))
-    each = code.select("line_hash", "code", F.explode(positions(F.col("code"))).alias("at"))
-    hashed = each.select("line_hash", shingle_hash(F.col("code"), F.col("at")).alias("h"))
-    return hashed.groupBy("line_hash").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(BANDS * ROWS))])
+def characters(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of lines one after the other, and where each line ends."""
+    return np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(x) for x in found])
+
+
+def shingle_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE characters from each position on."""
+    n = len(codes) - SHINGLE + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out += codes[k : k + n] * _MULTIPLIERS[k]
+    return mix(out)
+
+
+def minima(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """MinHash values of lines of SHINGLE characters or more, a row for each function: PIECE positions at a time, so
+    that a line may have any length."""
+    begins = np.append(0, ends[:-1])
+    out = np.full((BANDS * ROWS, len(ends)), 2**32 - 1, np.uint32)
+    for at in range(0, len(codes) - SHINGLE + 1, PIECE):
+        hashes = shingle_hashes(codes[at : at + PIECE + SHINGLE - 1])
+        lo, hi = np.searchsorted(ends, at, "right"), np.searchsorted(begins, at + len(hashes))
+        edges = np.stack([np.clip(begins[lo:hi] - at, 0, None), np.minimum(ends[lo:hi] - SHINGLE + 1 - at, len(hashes))], axis=1)
+        some = np.flatnonzero(edges[:, 0] < edges[:, 1])
+        if not len(some):
+            continue
+        flat = edges[some].ravel()
+        padded = np.append(hashes, np.uint64(0))  # an end may lie behind the last hash
+        for half in range(2):
+            short = (padded >> np.uint64(32 * half)).astype(np.uint32)
+            for k in range(half, BANDS * ROWS, 2):
+                least = np.minimum.reduceat((short ^ _MASKS[k]) * _FACTORS[k], flat)[::2]
+                out[k, lo + some] = np.minimum(out[k, lo + some], least)
+    return out
 
 
-def sketch_bits() -> Column:
-    """Two bits of each MinHash value."""
-    out = F.lit(0).cast("long")
-    for j in range(SKETCHED):
-        out = out.bitwiseOR(F.call_function("shiftleft", F.col(f"m{j}").bitwiseAND(F.lit(3).cast("long")), F.lit(2 * j)))
-    return out
+def signatures(docs: DataFrame) -> DataFrame:
+    """line_hash, bits and the band keys k0.. of each distinct line of SHINGLE characters or more; bits: two of each of the
+    first SKETCHED MinHash values."""
+    names = ["line_hash", "bits", *[f"k{b}" for b in range(BANDS)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[str] = []
+        hashes: list[int] = []
+
+        def rows() -> pa.RecordBatch:
+            least = minima(*characters(held))
+            bits = np.zeros(len(held), np.uint64)
+            for k in range(SKETCHED):
+                bits |= (least[k] & np.uint32(3)).astype(np.uint64) << np.uint64(2 * k)
+            keys = []
+            for b in range(BANDS):
+                key = np.full(len(held), b + 1, np.uint64)
+                for r in range(ROWS):
+                    key = mix(key + least[b * ROWS + r])
+                keys.append(key)
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.array(hashes, np.uint64).view(np.int64), *(x.view(np.int64) for x in (bits, *keys)))], names=names)
+            held.clear()
+            hashes.clear()
+            return out
+
+        for batch in batches:
+            size = 0
+            for text in batch.column(0):
+                for line in (text.as_py() or "").split("\n"):
+                    if len(line) >= SHINGLE and line.strip(_BLANK):
+                        code = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+                        if code not in seen:
+                            seen.add(code)
+                            held.append(line)
+                            hashes.append(code)
+                            size += len(line)
+                            if size >= 20 * PIECE:
+                                yield rows()
+                                size = 0
+            if held:
+                yield rows()
+            if len(seen) > SEEN:
+                seen.clear()
+
+    each = docs.select("text").where("text is not null").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return each.groupBy("line_hash").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
 def agree(a: Column, b: Column) -> Column:
@@ -93,8 +156,7 @@ def agree(a: Column, b: Column) -> Column:
 def buckets(signed: DataFrame) -> DataFrame:
     """bucket, n, line_hash, bits, leads, near of each member of a bucket with n > 1 lines: whether it is a leader, and the
     leaders whose sketches agree with its own.  A bucket's leaders are the members with the least and the largest hash of line and bucket."""
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    rows = signed.select("line_hash", sketch_bits().alias("bits"), F.explode(F.array(*keys)).alias("bucket")).repartition("bucket")
+    rows = signed.select("line_hash", "bits", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("bucket")).repartition("bucket")
     place = F.xxhash64("line_hash", "bucket")
     ends = {"first": F.min_by, "last": F.max_by}
     heads = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[by(c, place).alias(f"{end}_{c}") for end, by in ends.items() for c in ("line_hash", "bits")]).where("n > 1")
@@ -103,66 +165,64 @@ def buckets(signed: DataFrame) -> DataFrame:
     return rows.join(heads, "bucket").select("bucket", "n", "line_hash", "bits", leads.alias("leads"), F.array_compact(F.array(*near)).alias("near"))
 
 
+def sets_of_lines(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct shingles of each line, and where each set ends."""
+    sets = [np.unique(shingle_hashes(characters([x])[0])) for x in found]
+    return np.concatenate(sets), np.cumsum([len(x) for x in sets])
+
+
+def line_sketches(texts: DataFrame) -> DataFrame:
+    """node, n_shingles, parity of each of texts(node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                tokens, ends = sets_of_lines(batch.column(1).to_pylist())
+                sketches = parity(tokens, ends, PARITY)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(np.append(0, ends)), pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["node", "n_shingles", "parity"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n_shingles long, parity binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lines reach SIMILARITY; texts: line_hash, line.  Lines are shuffled, not their larger sets."""
-    with_a = pairs.join(texts.select(F.col("line_hash").alias("a"), F.col("line").alias("of_a")), "a")
-    both = with_a.join(texts.select(F.col("line_hash").alias("b"), F.col("line").alias("of_b")), "b")
-    sets = F.struct(shingle_set("of_a").alias("a"), shingle_set("of_b").alias("b"))
-    return both.where(let(sets, lambda s: reaches(s["a"], s["b"]))).select("a", "b")
+    """The pairs (a, b) whose lines reach SIMILARITY, by all their shingles; texts: node, text.  Lines are shuffled, not their larger sets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                sides = [np.split(tokens, ends[:-1]) for tokens, ends in (sets_of_lines(batch.column(k).to_pylist()) for k in (2, 3))]
+                ok = []
+                for x, y in zip(*sides, strict=True):
+                    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    ok.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-def reaches(a: Column, b: Column) -> Column:
-    """Whether the Jaccard similarity of two sets reaches SIMILARITY; sizes rule out most before they are compared."""
-    sizes = (F.size(a) * 100 >= F.size(b) * SIMILARITY) & (F.size(b) * 100 >= F.size(a) * SIMILARITY)
-    return F.when(sizes, let(F.size(F.array_intersect(a, b)), lambda n: n * 100 >= (F.size(a) + F.size(b) - n) * SIMILARITY)).otherwise(False)
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"of_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """line_hash, line of the wanted lines, one row each."""
+    """node, text of the wanted lines (line_hash), one row each."""
     maybe = maybe_known(found.select("line_hash", "line"), "line_hash", known_words(wanted, "line_hash"))
     # an inner join with distinct hashes, as a semi-join would be moved below the filter
-    return maybe.join(wanted, "line_hash").groupBy("line_hash").agg(F.min("line").alias("line"))
+    return maybe.join(wanted, "line_hash").groupBy(F.col("line_hash").alias("node")).agg(F.first("line").alias("text"))
 
 
 def fuzzy_components(docs: DataFrame) -> DataFrame:
-    """line_hash, component of every line that is linked with a line of another text."""
-    found = lines(docs)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "line-pairs")
-        texts = materialize(texts_of(found, pairs.select(F.explode(F.array("a", "b")).alias("line_hash")).distinct()), "line-texts")
-        return materialize(verified(pairs, texts), "line-links")
-
-    met = materialize(buckets(signatures(found)), "line-buckets")
+    """node (a line_hash), component of every line that is linked with a line of another text."""
+    met = materialize(buckets(signatures(docs)), "line-buckets")
     star = met.select("line_hash", F.explode("near").alias("leader"))
-    first = components(links(star.select(F.least("leader", "line_hash").alias("a"), F.greatest("leader", "line_hash").alias("b")).distinct()))
+    star = materialize(star.select(F.least("leader", "line_hash").alias("a"), F.greatest("leader", "line_hash").alias("b")).distinct(), "line-pairs")
     # leaders have met all, and the one other member of three has met both
-    rest = met.where("not leads and n > 3").select("bucket", "line_hash", "bits")
-    placed = rest.join(first.withColumnRenamed("node", "line_hash"), "line_hash", "left").withColumn("component", F.coalesce("component", "line_hash"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
-    members = materialize(placed.join(mixed, "bucket"), "line-rest")
+    rest = met.where("not leads and n > 3").select(F.col("bucket").alias("entry"), F.col("line_hash").alias("node"))
+    wanted = star.select(F.explode(F.array("a", "b")).alias("line_hash")).unionByName(rest.select(F.col("node").alias("line_hash"))).distinct()
+    texts = materialize(texts_of(lines(docs), wanted), "line-texts")
+    sketches = materialize(line_sketches(texts), "line-sketches")
+    first = components(materialize(verified(possible(star, sketches), texts), "line-links"))
+    members = mixed_members(rest, first)
+    pairs = materialize(between_components(members, sketches).join(star, ["a", "b"], "left_anti"), "line-pairs")
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))  # flat already
-    return components(known.unionByName(links(between_components(members))))
-
-
-def between_components(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) with agreeing sketches of different components within buckets.  members: bucket, n (its members here),
-    line_hash, bits, component.
-
-    Members are dealt to blocks of about BLOCK.  Each block goes to each block of its bucket that isn't before it, under
-    a key of both the bucket and that block, so that a large bucket is spread over tasks; two blocks meet in one row of
-    bounded size, and only the pairs that may be linked leave it."""
-    member = F.struct(F.col("line_hash").alias("h"), F.col("component").alias("c"), F.col("bits"))
-    dealt = members.select("bucket", member.alias("m"), F.ceil(F.col("n") / BLOCK).alias("parts"))
-    blocks = dealt.groupBy("bucket", "parts", F.pmod(F.xxhash64("m.h"), F.col("parts")).alias("block")).agg(F.collect_list("m").alias("ms"))
-    x = blocks.select("bucket", F.col("ms").alias("xs"), F.col("block").alias("of"), F.explode(F.sequence(F.col("block"), F.col("parts") - 1)).alias("block"))
-    met = x.join(blocks.select("bucket", "block", F.col("ms").alias("ys")), ["bucket", "block"]).select("xs", "ys", (F.col("of") == F.col("block")).alias("same"))
-
-    def close(m: Column, k: Column) -> Column:
-        return (m["c"] != k["c"]) & (~F.col("same") | (m["h"] < k["h"])) & agree(m["bits"], k["bits"])
-
-    pairs = F.flatten(F.transform("xs", lambda m: F.transform(F.filter("ys", lambda k: close(m, k)), lambda k: F.struct(F.least(m["h"], k["h"]).alias("a"), F.greatest(m["h"], k["h"]).alias("b")))))
-    return met.select(F.inline(pairs)).distinct()
+    return components(known.unionByName(materialize(verified(pairs, texts), "line-links")))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:

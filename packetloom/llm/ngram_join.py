@@ -45,8 +45,9 @@ CLASS_TOKENS = 8
 COUNT_BITS, SLICE_BITS = 42, 10
 #: Bits of the filter of repeated tokens.  Tokens of one document alone are no index entries; a full filter only saves less.
 REPEATED_BITS = 28
-#: Tokens that a task holds before it hands its counts on; bytes of a set's parity sketch; nodes that a task remembers.
-HELD, PARITY, SEEN = 2_000_000, 512, 500_000
+#: Tokens that a task holds before it hands its counts on; bytes of each of a set's parity sketches, and their number;
+#: nodes that a task remembers.
+HELD, PARITY, SKETCHES, SEEN = 2_000_000, 512, 2, 500_000
 #: Places whose closest members lead an entry: the first few at once, the others where components then still meet.
 PLACES, FIRST_LEADERS = [((i * 0x9E3779B97F4A7C15) % 2**64) - 2**63 for i in range(1, 13)], 4
 #: Rows of a batch that leaves Python; sets of a block when the rest of an entry is compared.
@@ -63,13 +64,23 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def parity(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A sketch of PARITY bytes for each set: which of its bits odd numbers of tokens fall on.  Two sets that differ
-    in d tokens differ in at most d bits."""
-    n, bits = len(ends), PARITY * 8
+def parity(tokens: np.ndarray, ends: np.ndarray, size: int = PARITY) -> np.ndarray:
+    """SKETCHES sketches of size bytes for each set, by different bits of the tokens: which of its bits odd numbers of tokens
+    fall on.  Two sets that differ in d tokens differ in at most d bits of each; where two of the d share a bit of one,
+    they hardly do in the other."""
+    n, bits = len(ends), size * 8
     text = np.repeat(np.arange(n), np.diff(np.append(0, ends)))
-    odd = np.bincount(text * bits + (tokens >> np.uint64(20)).astype(np.int64) % bits, minlength=n * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1)
+    out = []
+    for k in range(SKETCHES):
+        odd = np.bincount(text * bits + (tokens >> np.uint64(20 * (k + 1))).astype(np.int64) % bits, minlength=n * bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1))
+    return np.concatenate(out, axis=1)
+
+
+def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What two sets differ by at least; a, b: their sketches by row, of 8 bytes a column."""
+    bits = np.bitwise_count(a ^ b).reshape(len(a), SKETCHES, a.shape[1] // SKETCHES).sum(axis=2, dtype=np.int64)
+    return bits.max(axis=1)
 
 
 def documents_as_sets(docs: DataFrame) -> DataFrame:
@@ -251,8 +262,7 @@ def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             n_a, n_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            p_a, p_b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PARITY) for k in (4, 5))
-            differ = np.bitwise_count(p_a ^ p_b).sum(axis=1, dtype=np.int64)
+            differ = difference(*(np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5)))
             # 100 common >= S union, with common = (n_a + n_b - differ) / 2 and union = (n_a + n_b + differ) / 2
             ok = 100 * (n_a + n_b - differ) >= SIMILARITY * (n_a + n_b + differ)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
@@ -372,7 +382,7 @@ def _possible_pairs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not batches:
         return
     group, same, first, node, component, n = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(6))
-    sketch = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint64).reshape(len(group), PARITY // 8)
+    sketch = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint64).reshape(len(group), -1)
     found: list[np.ndarray] = []
     k = 1
     while k < len(group):
@@ -382,7 +392,7 @@ def _possible_pairs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = at + k
         ok = (component[at] != component[to]) & (same[at] | (first[at] != first[to])) & (n[at] * 100 >= n[to] * SIMILARITY) & (n[to] * 100 >= n[at] * SIMILARITY)
         at, to = at[ok], to[ok]
-        differ = np.bitwise_count(sketch[at] ^ sketch[to]).sum(axis=1, dtype=np.int64)
+        differ = difference(sketch[at], sketch[to])
         ok = 100 * (n[at] + n[to] - differ) >= SIMILARITY * (n[at] + n[to] + differ)
         if ok.any():
             pair = np.stack([node[at[ok]], node[to[ok]]])
