@@ -39,7 +39,7 @@ def dns_features(query: Column) -> dict[str, Column]:
         "max_label_length": F.array_max(sizes),
         "avg_label_length": F.aggregate(sizes, F.lit(0), lambda a, b: a + b) / F.size(sizes),
         "digit_count": count(r"[0-9]"),
-        "alpha_count": count(r"\p{L}"),
+        "alpha_count": count(r"[a-zA-Z]"),
         "special_character_count": count(r"[^a-zA-Z0-9.]"),
         "entropy": entropy(q),
     }

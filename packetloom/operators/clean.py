@@ -13,12 +13,13 @@ from ..functions import is_invalid, to_feature
 
 # --- fixed values --------------------------------------------------------------------------------
 ARP_COLUMNS = (
-    "frame_number", "frame_time_delta", "frame_len", "arp_opcode", "ip_proto", "ip_ttl", "icmp_type",
+    "frame_number", "frame_time_delta", "arp_opcode", "tcp_seq", "tcp_hdr_len", "data_len", "icmp_type",
     "tcp_flag_fin", "tcp_flag_syn", "tcp_flag_rst", "tcp_flag_psh", "tcp_flag_ack", "final_label",
 )
-LABEL_ALIASES = ("label", "attack", "attack_type", "attack_tool", "class", "target", "category", "label_name")
-NOT_FEATURES = ("final_label", "Label", "label", "hash", "__index_level_0__")
-SUSPICIOUS = ("ip", "mac", "id", "timestamp", "time", "date")
+LABEL_ALIASES = ("attack", "attack_type", "attack_cat", "category", "sub_cat", "label_name", "label", "target")
+ORIGINAL_LABELS = ("label", "Label", "label_name", "Label_Name")
+NOT_FEATURES = ("final_label", "Label", "label", "label_name", "Label_Name", "hash", "__index_level_0__")
+SUSPICIOUS = ("ip", "timestamp", "time", "id", "port")
 CONSTANT_ZERO = (
     "Bwd PSH Flags", "Fwd URG Flags", "Bwd URG Flags", "CWE Flag Count", "Fwd Avg Bytes/Bulk", "Fwd Avg Packets/Bulk",
     "Fwd Avg Bulk Rate", "Bwd Avg Bytes/Bulk", "Bwd Avg Packets/Bulk", "Bwd Avg Bulk Rate",
@@ -45,7 +46,7 @@ def as_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def drop_labels(df: DataFrame, keep: Sequence[str] = ("final_label",)) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.lower() in LABEL_ALIASES and c not in keep])
+    return df.drop(*[c for c in df.columns if c in ORIGINAL_LABELS and c not in keep])
 
 
 def arp_columns(df: DataFrame) -> DataFrame:
@@ -68,9 +69,9 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [c for c in numeric_columns(df, NOT_FEATURES) if not _is_address(c)]
 
 
-def suspicious_columns(columns: Sequence[str]) -> list[str]:
-    """Names that hold an identifier's word anywhere, as substrings."""
-    return [c for c in columns if any(w in c.lower() for w in SUSPICIOUS)]
+def suspicious_columns(columns: Sequence[str], target: str | None = None) -> list[str]:
+    """Names but the target's that hold an identifier's word anywhere, as substrings."""
+    return [c for c in columns if c != target and any(w in c.lower() for w in SUSPICIOUS)]
 
 
 def clean_funnel(df: DataFrame, label: str, columns: Sequence[str], classes: Sequence[str]) -> DataFrame:

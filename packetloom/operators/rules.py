@@ -30,6 +30,11 @@ def _has(column: str, *texts: str, nocase: bool = False) -> Column:
     return out
 
 
+def _at(column: str, text: str, offset: int) -> Column:
+    """Whether a text stands at a place of a column, characters being bytes."""
+    return F.substring(column, offset + 1, len(text)) == text
+
+
 def rules() -> list[Rule]:
     """All 32 rules.  --- fixed values: ids, classes, thresholds, patterns ---"""
     tcp, udp, icmp = (F.col("proto") == p for p in (6, 17, 1))
@@ -38,7 +43,7 @@ def rules() -> list[Rule]:
     web = F.col("http_uri").isNotNull()
     return [
         Rule(9000010, 1, tcp & (flags == SYN), by="dst_ip", count=50, seconds=1),
-        Rule(9000011, 1, udp & (src_port == 123) & _has("payload", "\x17\x00\x03\x2a"), ("payload",)),
+        Rule(9000011, 1, udp & (src_port == 123) & _at("payload", "\x17\x00\x03\x2a", 0), ("payload",)),
         Rule(9000012, 1, udp & (src_port == 1900) & _has("payload", "HTTP/1.1 200 OK"), ("payload",)),
         Rule(9000020, 2, tcp & (flags == RST), by="src_ip", count=30, seconds=1),
         Rule(9000021, 2, tcp & (dst_port == 80) & _has("payload", "POST", "Content-Length: 1000000"), ("payload",)),
@@ -55,8 +60,8 @@ def rules() -> list[Rule]:
         Rule(9000060, 6, _has("http_uri", "UNION", "SELECT", nocase=True), ("http_uri",)),
         Rule(9000061, 6, _has("http_uri", "<script>", nocase=True), ("http_uri",)),
         Rule(9000062, 6, _has("http_uri", "/../../"), ("http_uri",)),
-        Rule(9000070, 7, (src_port == 53) & (F.col("dns_rcode") == 0), ("dns_rcode",), by="dst_ip", count=5, seconds=2),
-        Rule(9000071, 7, udp & (src_port == 53) & _has("payload", "\x00\x01\x00\x01"), ("payload",), by="src_ip", count=10, seconds=1),
+        Rule(9000070, 7, (src_port == 53) & (F.col("dns_opcode") == 0) & (F.col("dns_rcode") == 0), ("dns_opcode", "dns_rcode"), by="dst_ip", count=5, seconds=2),
+        Rule(9000071, 7, udp & (src_port == 53) & _at("payload", "\x81\x80", 2) & _at("payload", "\x00\x01\x00\x01", 4), ("payload",), by="src_ip", count=10, seconds=1),
         Rule(9000080, 8, F.col("src_ip") == F.col("dst_ip")),
         Rule(9000081, 8, F.col("src_ip").startswith("127.")),
         Rule(9000082, 8, F.col("src_ip") == "0.0.0.0"),
@@ -86,16 +91,16 @@ def match_packets(packets: DataFrame, sids: tuple[int, ...] | None = None) -> Da
 def rate_alerts(packets: DataFrame, ts: str = "ts", sids: tuple[int, ...] | None = None, scale: tuple[int, int] | None = None) -> DataFrame:
     """sid, class_id, address, window_start, hits: one alert for each address and tumbling window that reaches a rule's
     count.  scale: (count, seconds) instead of the rules' own, for sparse traffic."""
-    out = None
-    for r in applicable(packets):
-        if r.by is None or sids is not None and r.sid not in sids:
-            continue
+    own = [r for r in applicable(packets) if r.by is not None and (sids is None or r.sid in sids)]
+    hits = []
+    for r in own:
         count, seconds = scale or (r.count, r.seconds)
         start = (F.floor(F.col(ts) / seconds) * seconds).cast("long")
-        one = packets.where(r.predicate).groupBy(F.col(r.by).alias("address"), start.alias("window_start")).agg(F.count(F.lit(1)).alias("hits"))
-        one = one.where(F.col("hits") >= count).select(F.lit(r.sid).alias("sid"), F.lit(r.class_id).alias("class_id"), "address", "window_start", "hits")
-        out = one if out is None else out.unionByName(one)
-    return out
+        hit = F.struct(F.lit(r.sid).alias("sid"), F.lit(r.class_id).alias("class_id"), F.col(r.by).alias("address"), start.alias("window_start"), F.lit(count).alias("least"))
+        hits.append(F.when(F.coalesce(r.predicate, F.lit(False)), hit))
+    each = packets.select(F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))  # one scan for all rules
+    counted = each.groupBy("sid", "class_id", "address", "window_start", "least").agg(F.count(F.lit(1)).alias("hits"))
+    return counted.where(F.col("hits") >= F.col("least")).drop("least")
 
 
 def sliding_rate(packets: DataFrame, condition: Column, by: str, count: int, seconds: float, ts: str = "ts") -> DataFrame:

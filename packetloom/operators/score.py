@@ -32,8 +32,9 @@ class Preprocessor:
         rows = profile.scaler_statistics(train, features).collect()  # a row for each feature
         return cls(list(features), list(classes), *({r["feature"]: r[c] for r in rows} for c in ("median", "mean", "std")))
 
-    def validate(self) -> None:
-        """Raises unless the contract holds: fitted, named features, statistics for each of them, distinct classes."""
+    def validate(self, expected: Sequence[str] | None = None, strict_order: bool = False) -> None:
+        """Raises unless the contract holds: fitted, named features, statistics for each of them that can scale, distinct classes,
+        and those that are expected, with strict_order in the same order."""
         if not self.features or not self.classes:
             raise ValueError("the preprocessor is not fitted")
         if all(f.startswith("feature_") for f in self.features):
@@ -43,6 +44,12 @@ class Preprocessor:
         for name, values in (("median", self.medians), ("mean", self.means), ("deviation", self.stds)):
             if set(values) != set(self.features):
                 raise ValueError(f"a {name} is missing")
+        if any(not x > 0 for x in self.stds.values()):
+            raise ValueError("a deviation can't scale")
+        if expected is not None and set(expected) != set(self.classes):
+            raise ValueError(f"other classes than expected: {sorted(set(expected) ^ set(self.classes))}")
+        if expected is not None and strict_order and list(expected) != self.classes:
+            raise ValueError("the classes are in another order than expected")
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Missing values become the median, then (x - mean) / std as float32; a missing feature is an error."""

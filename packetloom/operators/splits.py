@@ -13,10 +13,23 @@ def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
 
 
+#: Hexadecimal digits of the hash by which a label's rows are dealt before they are ordered.
+DEALT = 3
+
+
 def ranked(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
-    """df with _rn, the place of a row within its label in seeded order, and _n, the label's rows."""
-    group = Window.partitionBy(label)
-    return df.withColumns({"_rn": F.row_number().over(group.orderBy(seeded(key, seed), key)), "_n": F.count(F.lit(1)).over(group)})
+    """df with _rn, the place of a row within its label in seeded order, and _n, the label's rows.
+
+    A label's rows are dealt to 16 ** DEALT ranges of the hash, which are counted first: only rows of one range are ordered in
+    one task, and what goes before them is added."""
+    dealt = df.withColumns({"_hash": seeded(key, seed), "_label": F.col(f"`{label}`")}).withColumn("_range", F.substring("_hash", 1, DEALT))
+    counts = dealt.groupBy("_label", "_range").agg(F.count(F.lit(1)).alias("_in"))
+    of_label = Window.partitionBy("_label")  # at most 16 ** DEALT rows
+    before = F.sum("_in").over(of_label.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    known = counts.select(F.col("_label").alias("_own"), F.col("_range").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_in").over(of_label).alias("_n"))
+    met = dealt.join(known, F.col("_label").eqNullSafe(F.col("_own")) & (F.col("_range") == F.col("_at")))
+    place = F.row_number().over(Window.partitionBy("_label", "_range").orderBy("_hash", key))
+    return met.withColumn("_rn", F.col("_before") + place).drop("_hash", "_label", "_range", "_own", "_at", "_before")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42, train: float = 0.7) -> DataFrame:
@@ -36,9 +49,27 @@ def validation_split(df: DataFrame, label: str, key: str, seed: int = 42, share:
 def per_class_head(df: DataFrame, label: str, key: str, n: int, seed: int | None = None) -> DataFrame:
     """n rows of each label at most: the first by key, or in seeded order."""
     order = [F.col(key)] if seed is None else [seeded(key, seed), F.col(key)]
+    # a filter on a rank: Spark keeps n rows of each label in each task before it shuffles
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
+def sample_metadata(df: DataFrame, label: str, max_samples: int | None) -> DataFrame:
+    """One row about minority_sample: sampled, original_train_rows, used_train_rows, sampling_method,
+    target_per_majority_class.  A table of max_samples rows or fewer is not sampled."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    total, labels = F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))
+    if max_samples is None:
+        return counts.agg(F.lit(False).alias("sampled"), total.alias("original_train_rows"), total.alias("used_train_rows"), F.lit("none").alias("sampling_method"), F.lit(None).cast("long").alias("target_per_majority_class"))
+    cap = F.greatest(F.lit(1), F.floor(F.lit(max_samples) / F.greatest(labels, F.lit(1)))).cast("long")
+    row = counts.agg(total.alias("rows"), cap.alias("cap"), F.collect_list("n").alias("of"))  # a count for each label
+    sampled = F.col("rows") > max_samples
+    used = F.aggregate("of", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.col("cap")))
+    return row.select(
+        sampled.alias("sampled"), F.col("rows").alias("original_train_rows"), F.when(sampled, used).otherwise(F.col("rows")).alias("used_train_rows"),
+        F.when(sampled, "stratified_minority_preserving").otherwise("none").alias("sampling_method"), F.when(sampled, F.col("cap")).alias("target_per_majority_class"),
+    )
+
+
 def minority_sample(df: DataFrame, label: str, key: str, max_samples: int, seed: int = 42) -> DataFrame:
     """max(1, max_samples // labels) rows of each label, all of a smaller one."""
     labels = df.select(label).distinct().agg(F.greatest(F.lit(1), F.floor(F.lit(max_samples) / F.greatest(F.count(F.lit(1)), F.lit(1)))).alias("_cap"))

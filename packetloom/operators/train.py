@@ -12,38 +12,109 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import exists
 from . import metrics, profile
-from .score import Preprocessor
-from .taxonomy import specialist
-
-#: Kinds of models.  Boosted trees are one-vs-rest, as Spark's are binary; extra trees are forests without bootstrap whose
-#: thresholds are searched, not drawn.
-MODELS = ("DecisionTree", "DecisionTree_Tuned", "RandomForest", "RandomForest_Tuned", "XGBoost", "HistGradientBoosting", "ExtraTrees")
-#: Least validation accuracy and macro F1 of a specialist that may be published.
-GATES = {"IDS2018": (0.90, 0.60), "CICIoT2023": (0.90, 0.60)}
-
-
-def classifier(name: str, seed: int = 42):
-    common = {"labelCol": "label_id", "featuresCol": "vector", "seed": seed, "maxBins": 64}
-    weighted = common | {"weightCol": "sample_weight"}
-    forests = {"RandomForest": (30, 12, "0.25"), "RandomForest_Tuned": (40, 15, "0.4"), "ExtraTrees": (40, 15, "sqrt")}
-    if name in ("DecisionTree", "DecisionTree_Tuned"):
-        return DecisionTreeClassifier(maxDepth=15 if name == "DecisionTree" else 18, **weighted)
-    if name in forests:
-        trees, depth, share = forests[name]
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy=share, bootstrap=name != "ExtraTrees", subsamplingRate=1.0, **weighted)
-    if name in ("XGBoost", "HistGradientBoosting"):
-        boosted = GBTClassifier(maxIter=50 if name == "XGBoost" else 60, maxDepth=6 if name == "XGBoost" else 5, subsamplingRate=0.8, featuresCol="vector", labelCol="label_id", seed=seed)
+from .score import Preprocessor, argmax, rescaled, tune_thresholds
+from .taxonomy import SPECIALISTS, specialist
+
+# --- fixed values: settings, other names of models, gates ---------------------------------------------
+#: Trees by their own settings.  share: of rows for a tree; subset: of features for a split.
+FORESTS = {
+    "RandomForest": {"trees": 30, "depth": 12, "leaf": 10, "share": 0.25, "subset": "sqrt"},
+    "RandomForest_Baseline": {"trees": 30, "depth": 12, "leaf": 10, "share": 0.25, "subset": "sqrt"},
+    "RandomForest_Tuned": {"trees": 40, "depth": 18, "leaf": 5, "share": 0.4, "subset": "sqrt"},
+    "ExtraTrees": {"trees": 60, "depth": 20, "leaf": 3, "share": 1.0, "subset": "sqrt"},
+    "ExtraTrees_Candidate": {"trees": 40, "depth": 18, "leaf": 5, "share": 1.0, "subset": "sqrt"},
+}
+SINGLE_TREES = {"DecisionTree": {"depth": 15, "leaf": 1}, "DecisionTree_Baseline": {"depth": 15, "leaf": 5}, "DecisionTree_Tuned": {"depth": 18, "leaf": 5}}
+#: A limit of leaves (63, 31) becomes the depth that holds as many.
+BOOSTED = {
+    "XGBoost": {"rounds": 50, "depth": 6, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
+    "XGBoost_Baseline": {"rounds": 50, "depth": 6, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
+    "XGBoost_Tuned": {"rounds": 80, "depth": 7, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
+    "XGBoost_Unweighted": {"rounds": 80, "depth": 7, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
+    "HistGradientBoosting": {"rounds": 150, "depth": 6, "step": 0.08, "share": 1.0, "features": 1.0, "leaf": 20, "bins": 255},
+    "HistGradientBoosting_Candidate": {"rounds": 60, "depth": 5, "step": 0.1, "share": 1.0, "features": 1.0, "leaf": 50, "bins": 255},
+}
+#: How rows are weighted unless it is said.
+WEIGHTS = {"DecisionTree": "balanced", "DecisionTree_Baseline": "balanced", "RandomForest": "balanced", "RandomForest_Baseline": "balanced", "ExtraTrees": "balanced", "XGBoost": "balanced", "XGBoost_Baseline": "balanced", "XGBoost_Unweighted": "unweighted"}
+ALIASES = {
+    "DecisionTree": ("decisiontree", "decision_tree", "dt", "tree"),
+    "RandomForest": ("randomforest", "random_forest", "rf", "forest"),
+    "XGBoost": ("xgboost", "xgb"),
+    "HistGradientBoosting": ("histgradientboosting", "hist_gradient_boosting", "hgb", "candidate_histgradientboosting"),
+    "ExtraTrees": ("extratrees", "extra_trees", "et", "candidate_extratrees"),
+    "DecisionTree_Tuned": ("decisiontree_tuned", "decision_tree_tuned", "dt_tuned", "candidate_decisiontree_tuned", "candidate_decision_tree_tuned"),
+    "DecisionTree_Baseline": ("decisiontree_baseline", "candidate_decisiontree_baseline"),
+    "RandomForest_Tuned": ("randomforest_tuned", "rf_tuned", "candidate_randomforest_tuned"),
+    "XGBoost_Tuned": ("xgboost_tuned", "xgb_tuned", "candidate_xgboost_tuned"),
+}
+#: Least validation accuracy and macro F1 of a specialist that may be published; for tuned models of CICIoT2023, and the least
+#: macro F1 with thresholds there.
+GATES = {"IDS2018": (0.95, 0.80), "CICIoT2023": (0.95, 0.69)}
+TUNED_GATES, TUNED_CALIBRATED_F1 = {"CICIoT2023": (0.985, 0.75)}, 0.78
+#: Models that are looked for where no metadata name one, and after those.
+DEFAULT_MODELS = {"IDS2018": ("DecisionTree_Tuned", "DecisionTree"), "CICIoT2023": ("XGBoost_Tuned", "XGBoost"), "DNS_Tunneling": ("RandomForest", "DecisionTree")}
+OTHER_MODELS = ("DecisionTree", "RandomForest", "XGBoost")
+#: Models.  Boosted trees are one-vs-rest, as Spark's are binary; extra trees are forests without bootstrap whose thresholds
+#: are searched, not drawn.
+MODELS = (*SINGLE_TREES, *FORESTS, *BOOSTED)
+
+
+def model_name(name: str) -> str:
+    """The model of a name or alias, with or without candidate_ in front; an unknown name stays as it is."""
+    low = name.strip().lower()
+    bare = low.removeprefix("candidate_")
+    for own in MODELS:
+        if {low, bare} & {own.lower(), *ALIASES.get(own, ())}:
+            return own
+    return name.strip()
+
+
+def classifier(name: str, seed: int = 42, smoke: bool = False):
+    """A model by its settings; smoke: the few, shallow trees of a trial run."""
+    own = model_name(name)
+    common = {"labelCol": "label_id", "featuresCol": "vector", "seed": seed}
+    weighted = common | {"weightCol": "sample_weight", "maxBins": 64}
+    if own in SINGLE_TREES:
+        tree = SINGLE_TREES[own] | ({"depth": 3} if smoke else {})
+        return DecisionTreeClassifier(maxDepth=tree["depth"], minInstancesPerNode=tree["leaf"], **weighted)
+    if own in FORESTS:
+        forest = FORESTS[own] | ({"trees": 3, "depth": 3} if smoke else {})
+        bootstrap = not own.startswith("ExtraTrees")
+        return RandomForestClassifier(numTrees=forest["trees"], maxDepth=forest["depth"], minInstancesPerNode=forest["leaf"], featureSubsetStrategy=forest["subset"], subsamplingRate=forest["share"], bootstrap=bootstrap, **weighted)
+    if own in BOOSTED:
+        trees = BOOSTED[own] | ({"rounds": 3, "depth": 3, "leaf": 2} if smoke else {})
+        subset = "all" if trees["features"] == 1 else str(trees["features"])
+        boosted = GBTClassifier(maxIter=trees["rounds"], maxDepth=trees["depth"], stepSize=trees["step"], subsamplingRate=trees["share"], featureSubsetStrategy=subset, minInstancesPerNode=trees["leaf"], maxBins=trees["bins"], **common)
         return OneVsRest(classifier=boosted, featuresCol="vector", labelCol="label_id", weightCol="sample_weight")
     raise ValueError(f"unknown model: {name}")
 
 
-def fit(train: DataFrame, pre: Preprocessor, label: str, name: str, weights: str = "sqrt_balanced", seed: int = 42) -> PipelineModel:
+def passes_gates(name: str, model: str, plain: Mapping[str, float], calibrated: Mapping[str, float] | None = None) -> bool:
+    """Whether a specialist's validation (accuracy, macro_f1) may be published: without thresholds, and with them if there are any."""
+    own, tuned = specialist(name), "tuned" in model_name(model).lower()
+    accuracy, f1 = (TUNED_GATES if tuned and own in TUNED_GATES else GATES).get(own, (0.0, 0.0))
+    ok = plain["accuracy"] >= accuracy and plain["macro_f1"] >= f1
+    if tuned and own in TUNED_GATES and calibrated is not None:
+        ok = ok and calibrated["macro_f1"] >= TUNED_CALIBRATED_F1
+    return ok
+
+
+def is_stale(cached_rows: int, rows: int | None) -> bool:
+    """Whether what was fitted on cached_rows must be fitted again, as rows are there: after a stub (10 or fewer), a small sample
+    (under 1,000 of 1,000 or more) or less than half of more than 100."""
+    if not rows or rows <= 0:
+        return False
+    return cached_rows <= 10 < rows or cached_rows < 1000 <= rows or rows > 100 and cached_rows < rows * 0.5
+
+
+def fit(train: DataFrame, pre: Preprocessor, label: str, name: str, weights: str = "sqrt_balanced", seed: int = 42, smoke: bool = False) -> PipelineModel:
     """Model on preprocessed, encoded and weighted rows."""
     ready = pre.encode(pre.transform(profile.with_sample_weights(train, label, weights)), label)
     ready = ready.withColumns({"label_id": F.col("label_id").cast("double"), "sample_weight": F.col("sample_weight").cast("double")})
     safe = _safe_names(pre.features)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(safe.values()), outputCol="vector"), classifier(name, seed)]).fit(_renamed(ready, safe))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(safe.values()), outputCol="vector"), classifier(name, seed, smoke)]).fit(_renamed(ready, safe))
 
 
 def _safe_names(features: Sequence[str]) -> dict[str, str]:
@@ -70,46 +141,72 @@ def predict(df: DataFrame, pre: Preprocessor, model: PipelineModel) -> DataFrame
     return out.select(*[f"`{c}`" for c in df.columns], "probabilities", "predicted_local", "confidence")
 
 
-def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel, label: str) -> dict[str, float]:
+def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel, label: str, multipliers: Sequence[float] | None = None) -> dict[str, float]:
+    """Metrics of a model, with each class's probability times its multiplier if there are any."""
     scored = pre.encode(predict(df, pre, model), label, "true_id")
-    return metrics.summary(scored.select("true_id", F.col("predicted_local").alias("pred_id")), len(pre.classes)).first().asDict()
+    found = F.col("predicted_local") if multipliers is None else argmax(rescaled(F.col("probabilities"), multipliers))
+    return metrics.summary(scored.select("true_id", found.alias("pred_id")), len(pre.classes)).first().asDict()
 
 
-def train_specialist(name: str, train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "final_label", models: Sequence[str] = ("DecisionTree", "RandomForest"), weights: str = "sqrt_balanced", screen: DataFrame | None = None, top_k: int = 2, seed: int = 42, done: dict | None = None) -> dict:
+def train_specialist(name: str, train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "final_label", models: Sequence[str] = ("DecisionTree", "RandomForest"), weights: str | None = None, screen: DataFrame | None = None, top_k: int = 2, seed: int = 42, done: dict | None = None, thresholds: bool = False) -> dict:
     """Fits candidates (with screen: all on it first, then the top_k on train), picks by validation macro F1 and accuracy,
-    applies the gates, tests once.  done: results by model of an earlier run, which are not repeated."""
+    applies the gates, tests once.  done: results by model of an earlier run, which are not repeated.  thresholds: each
+    finalist's multipliers are tuned on val, and candidates are compared with them."""
     own = specialist(name)
     pre = Preprocessor.fit(train, features, classes)
-    pre.validate()
+    pre.validate(classes)
     results: dict[str, dict] = dict(done or {})
     fitted: dict[str, PipelineModel] = {}
-    candidates = list(models)
+    candidates = [model_name(m) for m in models]
+    by_value = lambda found: lambda m: (-found[m]["macro_f1"], -found[m]["accuracy"], m)
+    how = lambda m: weights or WEIGHTS.get(m, "sqrt_balanced")
     if screen is not None and len(candidates) > top_k:
-        screened = {m: evaluate(val, pre, fit(screen, pre, label, m, weights, seed), label) for m in candidates}
-        candidates = sorted(screened, key=lambda m: (-screened[m]["macro_f1"], -screened[m]["accuracy"], m))[:top_k]
+        screened = {m: evaluate(val, pre, fit(screen, pre, label, m, how(m), seed), label) for m in candidates}
+        candidates = sorted(screened, key=by_value(screened))[:top_k]
     for m in candidates:
         if m not in results:
-            fitted[m] = fit(train, pre, label, m, weights, seed)
+            fitted[m] = fit(train, pre, label, m, how(m), seed)
             results[m] = evaluate(val, pre, fitted[m], label)
-    best = sorted(candidates, key=lambda m: (-results[m]["macro_f1"], -results[m]["accuracy"], m))[0]
-    model = fitted.get(best) or fit(train, pre, label, best, weights, seed)
-    accuracy, f1 = GATES.get(own, (0.0, 0.0))
-    passed = results[best]["accuracy"] >= accuracy and results[best]["macro_f1"] >= f1
-    tested = evaluate(test, pre, model, label) if passed else None
-    return {"specialist": own, "model": model, "preprocessor": pre, "best_model": best, "validation": results, "passed_gates": passed, "test": tested}
+            if thresholds:
+                scored = pre.encode(predict(val, pre, fitted[m]), label, "true_id")
+                multipliers = list(tune_thresholds(scored, "probabilities", "true_id", len(classes))["multipliers"])
+                results[m] = evaluate(val, pre, fitted[m], label, multipliers) | {"multipliers": multipliers, "plain": results[m]}
+    best = sorted(candidates, key=by_value(results))[0]
+    model = fitted.get(best) or fit(train, pre, label, best, how(best), seed)
+    found = results[best]
+    multipliers = found.get("multipliers")
+    passed = passes_gates(own, best, found.get("plain", found), found if multipliers else None)
+    tested = evaluate(test, pre, model, label, multipliers) if passed else None
+    return {"specialist": own, "model": model, "preprocessor": pre, "best_model": best, "multipliers": multipliers, "validation": results, "passed_gates": passed, "test": tested}
 
 
 def save(found: dict, path: str) -> None:
-    """Model and metadata, readable by every executor: both go through Spark's file systems."""
+    """Model and metadata, readable by every executor: both go through Spark's file systems.  The model lies under its name."""
     spark = found["model"].stages[0]._java_obj and SparkSession.getActiveSession()
-    found["model"].write().overwrite().save(f"{path}/model")
-    meta = {k: found[k] for k in ("specialist", "best_model", "validation", "passed_gates", "test")} | {"preprocessor": vars(found["preprocessor"])}
+    found["model"].write().overwrite().save(f"{path}/{found['best_model']}")
+    meta = {k: found.get(k) for k in ("specialist", "best_model", "multipliers", "validation", "passed_gates", "test")} | {"preprocessor": vars(found["preprocessor"])}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
+def find_model(spark: SparkSession, path: str, name: str, named: str | None) -> tuple[str, str]:
+    """(model, place) of a specialist's model: the named one, else its default ones, else any other, each also with
+    candidate_ in front."""
+    wanted = [named] if named else list(DEFAULT_MODELS.get(specialist(name), ("DecisionTree",)))
+    for m in dict.fromkeys([*wanted, *OTHER_MODELS]):
+        for place in (f"{path}/{m}", f"{path}/candidate_{m}"):
+            if exists(spark, place):
+                return m, place
+    raise FileNotFoundError(f"no model of {name} in {path}")
+
+
 def load(spark: SparkSession, path: str) -> dict:
-    meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-    return meta | {"model": PipelineModel.load(f"{path}/model"), "preprocessor": Preprocessor(**meta["preprocessor"])}
+    """A saved specialist: a candidate's metadata go before the standard ones, and name the model."""
+    places = [p for p in (f"{path}/candidate_metadata", f"{path}/metadata") if exists(spark, p)]
+    if not places:
+        raise FileNotFoundError(f"no specialist in {path}")
+    meta = json.loads(spark.read.text(places[0]).first()[0])
+    best, place = find_model(spark, path, meta["specialist"], meta.get("best_model"))
+    return meta | {"best_model": best, "model": PipelineModel.load(place), "preprocessor": Preprocessor(**meta["preprocessor"])}
 
 
 class Registry:
@@ -121,9 +218,16 @@ class Registry:
     def register(self, name: str, found: dict) -> None:
         self.loaded[specialist(name)] = found
 
-    def get(self, name: str) -> dict:
+    def load_all(self) -> list[str]:
+        """Reads every specialist that is there; their names."""
+        for own in SPECIALISTS:
+            if own not in self.loaded and exists(self.spark, f"{self.root}/{own}"):
+                self.get(own)
+        return [s for s in SPECIALISTS if s in self.loaded]
+
+    def get(self, name: str, reload: bool = False) -> dict:
         own = specialist(name)
-        if own not in self.loaded:
+        if reload or own not in self.loaded:
             self.loaded[own] = load(self.spark, f"{self.root}/{own}")
         return self.loaded[own]
 
@@ -136,5 +240,8 @@ class Registry:
         found = self.get(own)
         pre = found["preprocessor"]
         scored = predict(align_aliases(df, pre.features), pre, found["model"])
+        if found.get("multipliers"):
+            p = rescaled(F.col("probabilities"), found["multipliers"])
+            scored = scored.withColumn("probabilities", p).withColumns({"predicted_local": argmax(F.col("probabilities")), "confidence": F.array_max("probabilities")})
         ids = F.array(*[F.lit(CLASS_IDS[c]) for c in pre.classes])
         return scored.withColumns({"specialist": F.lit(own), "canonical_id": F.get(ids, F.col("predicted_local")), "posterior": project_posterior(F.col("probabilities"), own), "class_name": pre.decode(F.col("predicted_local"))})

@@ -96,10 +96,10 @@ def best_model(spark, d):
     return metrics.best_model(_models(spark, d), "accuracy")
 
 
-@R.add(sql("SELECT key, true_id = pred_id AS match, (SELECT bool_and(true_id = pred_id) FROM predictions WHERE key < 100) AS all_match FROM predictions WHERE key < 100", "predictions"))
+@R.add(sql("SELECT key, true_id = pred_id AS match, (SELECT bool_and(true_id = pred_id) FROM predictions) AS all_match FROM predictions", "predictions"))
 def expected_matches(spark, d):
-    """The table of expected and predicted classes is a fixed list of cases: here the first hundred."""
-    return metrics.expected_matches(predictions(spark, d).where("key < 100"), "true_id", "pred_id").select("key", "match", "all_match")
+    """Expected and predicted classes of all predictions."""
+    return metrics.expected_matches(predictions(spark, d), "true_id", "pred_id").select("key", "match", "all_match")
 
 
 # --- posteriors --------------------------------------------------------------------------------------

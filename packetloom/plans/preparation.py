@@ -140,13 +140,52 @@ def overlap_label_pairs(spark, d):
 
 @R.add(sql("""SELECT page_id, length(query)::INT AS query_length, (len(string_split(query, '.')) - 1)::INT AS num_dots, len(string_split(query, '.'))::INT AS num_subdomains,
   list_max(list_transform(string_split(query, '.'), lambda x: length(x)))::INT AS max_label_length, round(list_avg(list_transform(string_split(query, '.'), lambda x: length(x))), 6) AS avg_label_length,
-  len(regexp_extract_all(query, '[0-9]'))::INT AS digit_count, len(regexp_extract_all(query, '\\p{L}'))::INT AS alpha_count, len(regexp_extract_all(query, '[^a-zA-Z0-9.]'))::INT AS special_character_count,
+  len(regexp_extract_all(query, '[0-9]'))::INT AS digit_count, len(regexp_extract_all(query, '[a-zA-Z]'))::INT AS alpha_count, len(regexp_extract_all(query, '[^a-zA-Z0-9.]'))::INT AS special_character_count,
   round(coalesce((SELECT -sum(n * 1.0 / t * log2(n * 1.0 / t)) FROM (SELECT count(*) AS n, length(query) AS t FROM (SELECT unnest(string_split(query, '')) AS c) GROUP BY c)), 0), 6) AS entropy FROM hosts""", "hosts"))
 def dns_features_of_hosts(spark, d):
     out = hosts(spark, d).withColumns(dns_features(F.col("query"))).drop("query")
     return out.withColumns({c: F.round(c, 6) for c in ("avg_label_length", "entropy")})
 
 
+#: Columns of raw tables and what each rule leaves of them.
+_RULES = {
+    "label column": (("label", "frame_number", "label_name"), ("label_name",)),
+    "label column, other case": (("x", "label", "Label"), ("Label",)),
+    "label column, none": (("x", "y"), ("x",)),
+    "ARP": (("frame_number", "tcp_seq", "frame_len", "arp_src_hw_mac", "data_len", "tcp_flag_fin", "label_name", "final_label"), ("frame_number", "tcp_seq", "data_len", "tcp_flag_fin", "final_label")),
+    "5G": (("some_metric", "Src_IP", "Dst_IP", "Dst_MAC", "Attack_Type", "attack", "attack_cat", "sub_cat", "attack_tool", "Label", "final_label"), ("some_metric", "attack_tool", "final_label")),
+    "features": (("flow_duration", "packet_count", "src_mac", "dst_ip", "label_name", "Label", "final_label"), ("flow_duration", "packet_count")),
+    "suspicious": (("Target", "SourceIP", "Timestamp", "Src Port", "NormalFeature", "mac_count"), ("SourceIP", "Timestamp", "Src Port")),
+    "original labels": (("a", "Label_Name", "label", "attack"), ("a", "attack")),
+}
+
+
+@R.add("SELECT * FROM (VALUES " + ", ".join(f"('{rule}', {i}, '{c}')" for rule, (_, left) in _RULES.items() for i, c in enumerate(left)) + ") t(rule, place, \"column\")")
+def selected_columns(spark, d):
+    """What the rules of column selection leave of raw tables."""
+    raw = lambda rule: table(spark, d, "region").select(*[F.lit(1.0).alias(c) for c in _RULES[rule][0]])
+    left = {rule: [taxonomy.label_column(raw(rule).columns)] for rule in _RULES if rule.startswith("label")}
+    left |= {
+        "ARP": clean_ops.arp_columns(raw("ARP")).columns, "5G": clean_ops.fiveg_columns(raw("5G")).columns, "features": clean_ops.feature_columns(raw("features")),
+        "suspicious": clean_ops.suspicious_columns(_RULES["suspicious"][0], "Target"), "original labels": clean_ops.drop_labels(raw("original labels")).columns,
+    }
+    return spark.createDataFrame([(rule, i, c) for rule, columns in left.items() for i, c in enumerate(columns)], "rule string, place int, column string")
+
+
+@R.add(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9]'))::INT AS digit_count, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]'))::INT AS alpha_count, len(regexp_extract_all(coalesce(text, ''), '[^a-zA-Z0-9.]'))::INT AS special_character_count FROM documents")
+def character_counts(spark, d):
+    """Counts of characters in texts of several languages, whose letters outside a-z are special characters."""
+    counts = dns_features(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", *[counts[c].alias(c) for c in ("digit_count", "alpha_count", "special_character_count")])
+
+
+@R.add("SELECT count(*) > 1000 AS sampled, count(*) AS original_train_rows, CASE WHEN count(*) > 1000 THEN (SELECT sum(least(n, greatest(1, 1000 // (SELECT count(DISTINCT event_type) FROM events)))) FROM (SELECT count(*) AS n FROM events GROUP BY event_type)) ELSE count(*) END::BIGINT AS used_train_rows, CASE WHEN count(*) > 1000 THEN 'stratified_minority_preserving' ELSE 'none' END AS sampling_method, CASE WHEN count(*) > 1000 THEN greatest(1, 1000 // count(DISTINCT event_type)) END::BIGINT AS target_per_majority_class FROM events")
+def minority_sample_metadata(spark, d):
+    from ..operators.splits import sample_metadata
+
+    return sample_metadata(table(spark, d, "events"), "event_type", 1000)
+
+
 @R.add(sql("SELECT page_id, length(query)::INT AS query_length, len(string_split(query, '.'))::INT AS subdomain_count, len(regexp_extract_all(query, '[^\\p{L}\\p{N}.]'))::INT AS special_character_count FROM hosts", "hosts"))
 def live_dns_features_of_hosts(spark, d):
     return hosts(spark, d).withColumns(live_dns_features(F.col("query"))).drop("query", "entropy")
@@ -210,10 +249,11 @@ _SCALED = "SELECT feature, coalesce(value, m) AS v, m AS median FROM (SELECT fea
 _STATS = f"SELECT feature, median, avg(v) AS mean, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS std FROM ({_SCALED}) GROUP BY feature, median"
 
 
-@R.add(sql(f"SELECT feature, round(median, 6) AS median, round(mean, 6) AS mean, round(std, 6) AS std FROM ({_STATS})", "labelled"))
+@R.add(sql(f"SELECT feature, round(median, 6) AS median, round(round(mean, 12), 6) AS mean, round(round(std, 12), 6) AS std FROM ({_STATS})", "labelled"))
 def scaler_stats(spark, d):
     stats = profile.scaler_statistics(labelled(spark, d), ("l_quantity", "l_tax"))
-    return stats.select("feature", *[F.round(c, 6).alias(c) for c in ("median", "mean", "std")])
+    # sums of doubles differ in their last digits by the order of rows: these go first, so that ties are rounded alike
+    return stats.select("feature", F.round("median", 6).alias("median"), *[F.round(F.round(c, 12), 6).alias(c) for c in ("mean", "std")])
 
 
 @R.add(sql(f"""SELECT key, round((coalesce(CASE WHEN isnan(l_quantity) OR isinf(l_quantity) THEN NULL ELSE l_quantity END, s.median) - s.mean) / s.std, 4) AS l_quantity, round((l_tax - t.mean) / t.std, 4) AS l_tax

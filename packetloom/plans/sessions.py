@@ -85,19 +85,19 @@ def session_nested(spark, d):
 
 
 def _alerts(spark, d):
-    """Alerts of all sessions: of threat flows, and one of the engine for every 20th order."""
+    """Alerts of all sessions: of threat flows, and one of the engine for every order that was never filled."""
     flows = ops.number_flows(judged(spark, d), "session", "created_at", "flow")
     n = F.col("o_orderkey")
-    engine = table(spark, d, "orders").where(n % 20 == 0).select(
+    engine = table(spark, d, "orders").where("o_orderstatus = 'F'").select(
         F.col("o_custkey").alias("session"), n.alias("alert_key"), F.concat(F.lit("nmap scan "), n.cast("string")).alias("signature"), F.lit("x").alias("category"), F.lit(None).cast("int").alias("sid"),
-        F.lit("10.9.0.1").alias("src_ip"), F.lit("10.9.0.2").alias("dest_ip"), F.when(n % 40 == 0, "UDP").otherwise("TCP").alias("proto"),
+        F.lit("10.9.0.1").alias("src_ip"), F.lit("10.9.0.2").alias("dest_ip"), F.when(n % 2 == 0, "UDP").otherwise("TCP").alias("proto"),
     )
     return ops.alerts_of(flows, eve.map_alerts(engine), "session")
 
 
 _ALERTS = """SELECT session AS session_id, 'ALT-' || session || '-F' || lpad(row_number::VARCHAR, 4, '0') AS alert_id, 'AI model' AS engine, canonical_id, class_name, severity, confidence, src_ip, dst_ip, proto_number AS proto
   FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY created_at, flow) AS row_number FROM judged) WHERE is_threat
-  UNION ALL SELECT o_custkey, 'ALT-' || o_orderkey, 'Signature engine', 10, 'Recon / Port Scan', 'High', 1.0, '10.9.0.1', '10.9.0.2', CASE WHEN o_orderkey % 40 = 0 THEN 17 ELSE 6 END FROM orders WHERE o_orderkey % 20 = 0"""
+  UNION ALL SELECT o_custkey, 'ALT-' || o_orderkey, 'Signature engine', 10, 'Recon / Port Scan', 'High', 1.0, '10.9.0.1', '10.9.0.2', CASE WHEN o_orderkey % 2 = 0 THEN 17 ELSE 6 END FROM orders WHERE o_orderstatus = 'F'"""
 
 
 @R.add(sql(_ALERTS, *JUDGED))
@@ -140,16 +140,16 @@ def sensor_status(spark, d):
     from ..streaming import sensor_status as status
 
     events = table(spark, d, "events").withColumn("seen_at", F.col("ts").cast("timestamp"))
-    now = events.agg(F.max("seen_at").alias("now")).first()["now"]
-    return status(events.select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("sensor"), "seen_at"), F.lit(now)).select("sensor", "status")
+    beats = events.select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("sensor"), "seen_at")
+    now = events.agg(F.max("seen_at").alias("now"))
+    return status(beats.crossJoin(F.broadcast(now)), F.col("now")).select("sensor", "status")  # now: one row
 
 
-@R.add("SELECT o_orderkey, replace(replace(to_json({'order_id': o_orderkey, 'priority': o_orderpriority})::VARCHAR, ', ', ','), ': ', ':') AS value FROM orders")
+@R.add("SELECT replace(replace(to_json({'order_id': o_orderkey, 'priority': o_orderpriority})::VARCHAR, ', ', ','), ': ', ':') AS value FROM orders")
 def json_export(spark, d):
     from ..sources.files import export_json
 
-    rows = table(spark, d, "orders")
-    return rows.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("priority"))).alias("value")) if rows.columns else export_json(rows)
+    return export_json(table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("priority")))
 
 
 # --- flagship ----------------------------------------------------------------------------------------

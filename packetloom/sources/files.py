@@ -80,6 +80,43 @@ def export_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+# --- fixed values: places below the project and below the data ---------------------------------------
+PROJECT_PLACES = ("config", "utils", "tests", "notebooks", "README.md", "app.py", "requirements.txt")
+RAW_PLACES = {
+    "raw/IDS2018/ids2018_combined_7attacks_benign.parquet": ("Datasets/ids2018_combined_7attacks_benign.parquet", "IDS2018/ids2018_combined_7attacks_benign.parquet", "ids2018_combined_7attacks_benign.parquet"),
+    "raw/CICIoT2023": ("Datasets/CICIOT23", "Datasets/CICIoT2023", "raw/CICIOT23"),
+}
+
+
+def resolve_path(path: str, data_root: str | None = None, project_root: str = ".") -> str:
+    """Where a relative path of the configuration lies: project files below project_root, all others below data_root (if
+    there is one), data/processed and data/samples without their first part, raw data sets in their own folders.
+    Paths with a scheme and absolute ones stay."""
+    if "://" in path or path.startswith("/"):
+        return path
+    clean = lambda root: root.strip().strip("\"'").rstrip("/")
+    rel = path.replace("\\", "/").removeprefix("./").rstrip("/")
+    if not data_root or rel.split("/", 1)[0] in PROJECT_PLACES:
+        return f"{clean(project_root) or '.'}/{rel}"
+    for place, others in RAW_PLACES.items():
+        if rel in (place, *others) or place.endswith(".parquet") and rel.endswith("/" + place.rsplit("/", 1)[1]) and not rel.startswith("data/"):
+            return f"{clean(data_root)}/{place}"
+    if rel.startswith(("data/processed", "data/samples")):
+        rel = rel.removeprefix("data/")
+    return f"{clean(data_root)}/{rel}"
+
+
+def read_config(spark: SparkSession, path: str, data_root: str | None = None, project_root: str = ".") -> dict:
+    """A JSON object of the configuration, such as the label mapping, from any store that Spark reads."""
+    place = resolve_path(path, data_root, project_root)
+    if not exists(spark, place):
+        raise FileNotFoundError(place)
+    found = json.loads(spark.read.text(place, wholetext=True).first()[0])
+    if not isinstance(found, dict):
+        raise ValueError(f"not an object: {place}")
+    return found
+
+
 class Progress:
     """Finished steps as JSON in a text table; anything unreadable counts as no progress."""
 
@@ -95,6 +132,20 @@ class Progress:
             return {}
         return found if isinstance(found, dict) else {}
 
+    def trained(self, dataset: str, model: str, status: str) -> dict:
+        """Notes a model's status under its data set; what isn't an object there is replaced."""
+        now = self.read()
+        by_model = lambda x: x if isinstance(x, dict) else {"status": x} if isinstance(x, str) else {}
+        all_sets = now.get("model_training") if isinstance(now.get("model_training"), dict) else {}
+        all_sets[dataset] = by_model(all_sets.get(dataset)) | {model: status}
+        checkpoints = now.get("checkpoints") if isinstance(now.get("checkpoints"), dict) else {}
+        return self.update(model_training=all_sets, checkpoints=checkpoints | {f"{dataset.lower()}_model_training_status": status})
+
+    def status(self, dataset: str, model: str) -> str:
+        found = self.read().get("model_training")
+        found = found.get(dataset) if isinstance(found, dict) else None
+        return str(found.get(model, "not_started")) if isinstance(found, dict) else "not_started"
+
     def update(self, **steps) -> dict:
         now = self.read() | steps
         self.spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(self.path)

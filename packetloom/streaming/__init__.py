@@ -4,6 +4,7 @@ Times are event times with a watermark; what comes later than LATE is dropped.""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from ..operators.score import score_mixed
 
 LATE, TRIGGER, MAX_EVENTS, RECENT_EVENTS = "10 seconds", "2 seconds", 20, 500
 ONLINE_SECONDS = 15
+#: Attempts of a delivery, and the seconds by which the pause after each grows.
+TRIES, PAUSE = 3, 0.5
 
 
 def packet_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = MAX_EVENTS) -> DataFrame:
@@ -120,6 +123,25 @@ def deliver(records: DataFrame, path: str, checkpoint: str, scorers, needs, once
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)).start()
 
 
+def transmit(send: Callable[[dict], int], sensor: str, events: list[dict], now: Callable[[], float] = time.time, wait: Callable[[float], None] = time.sleep) -> bool:
+    """Sends one bounded batch of a sensor: TRIES times at most, with growing pauses; a rejected key (401, 403) ends it at
+    once.  send: takes the payload and returns a status, or raises.  Whether it was accepted; no events are."""
+    if not events:
+        return True
+    payload = {"sensor_id": sensor, "timestamp": now(), "batch_size": len(events), "events": events}
+    for attempt in range(1, TRIES + 1):
+        try:
+            status = send(payload)
+        except OSError:
+            status = None
+        if status == 200:
+            return True
+        if status in (401, 403):
+            return False
+        wait(PAUSE * attempt)
+    return False
+
+
 def counters(events: DataFrame) -> DataFrame:
     """Running totals by event type, for complete mode."""
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -131,7 +153,7 @@ def recent_events(events: DataFrame, order: str, n: int = RECENT_EVENTS) -> Data
 
 
 def sensor_status(heartbeats: DataFrame, now: Column) -> DataFrame:
-    """sensor, last_seen, status: ONLINE if heard of within ONLINE_SECONDS."""
-    last = heartbeats.groupBy("sensor").agg(F.max("seen_at").alias("last_seen"))
-    age = F.unix_micros(now) - F.unix_micros("last_seen")
-    return last.withColumn("status", F.when(age <= ONLINE_SECONDS * 1_000_000, "ONLINE").otherwise("OFFLINE"))
+    """sensor, last_seen, status: ONLINE if heard of within ONLINE_SECONDS before now, a constant or a column."""
+    last = heartbeats.groupBy("sensor").agg(F.max("seen_at").alias("last_seen"), F.coalesce(F.max(now), F.current_timestamp()).alias("_now"))
+    age = F.unix_micros("_now") - F.unix_micros("last_seen")
+    return last.withColumn("status", F.when(age <= ONLINE_SECONDS * 1_000_000, "ONLINE").otherwise("OFFLINE")).drop("_now")
