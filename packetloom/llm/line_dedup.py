@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import known_words, let, materialize, maybe_known
+from ._common import FILTER_WORDS, known_words, let, materialize
 from .components import components
-from .ngram_join import between_components, mixed_members, parity, possible
+from .ngram_join import as_bytes, between_components, in_blocks, mixed_members, parity, similar
 from .shingles import mix
 
 SHINGLE = 5
@@ -40,8 +40,9 @@ SIMILARITY = 80
 #: Two bits of each of the first SKETCHED MinHash values make a sketch; sketches agree if AGREEING of them do, which a
 #: pair at SIMILARITY fails with a chance of 4 in 10,000 and one at 0.9 of less than 1 in 10 million.
 SKETCHED, AGREEING = 32, 20
-#: Bytes of a line's parity sketch; characters that are hashed at a time; lines that a task remembers.
-PARITY, PIECE, SEEN = 256, 50_000, 500_000
+#: Bytes of a line's parity sketch; shingles of a line that goes to blocks whole; characters that are hashed at a time;
+#: lines that a task remembers; rows of a batch that leaves Python.
+PARITY, WHOLE, PIECE, SEEN, ROWS_OUT = 256, 512, 50_000, 500_000, 200_000
 #: The white space without which a line must have a character.
 _BLANK = " \t\x0b\f\r"
 _NULL_ID = -(2**63)
@@ -56,10 +57,61 @@ _MULTIPLIERS = _constants(SHINGLE)
 _FACTORS, _MASKS = ((_constants(BANDS * ROWS) >> np.uint64(n)).astype(np.uint32) | np.uint32(1) for n in (8, 32))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """id, text_hash, line_no, line, line_hash of every line with a visible character."""
-    rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(r"\S")).withColumn("line_hash", F.xxhash64("line"))
+def _hash(line: str) -> int:
+    code = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return code - 2**64 if code >= 2**63 else code
+
+
+def seen_lines(text: str | None) -> Iterator[tuple[int, str]]:
+    """Number and line of every line with a visible character."""
+    return ((i, line) for i, line in enumerate(text.split("\n")) if line.strip(_BLANK)) if text else iter(())
+
+
+def line_places(docs: DataFrame) -> DataFrame:
+    """id, text_hash, line_no, line_hash of every line with a visible character."""
+    kinds = {"id": pa.int64(), "text_hash": pa.int64(), "line_no": pa.int32(), "line_hash": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for of, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for i, line in seen_lines(text.as_py()):
+                    for column, value in zip(out, (of, text_hash, i, _hash(line)), strict=True):
+                        column.append(value)
+                if len(out[0]) >= ROWS_OUT:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds.values(), strict=True)], names=list(kinds))
+                    out = ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds.values(), strict=True)], names=list(kinds))
+
+    rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "id long, text_hash long, line_no int, line_hash long")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the wanted lines (node), one row each.  A filter of bounded size spares most others the way."""
+    words = np.zeros(FILTER_WORDS, np.int64)
+    for r in known_words(wanted, "node").toLocalIterator():
+        words[r["_word"]] = r["_bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            found: dict[int, str] = {}
+            for text in batch.column(0):
+                for _, line in seen_lines(text.as_py()):
+                    if (code := _hash(line)) not in seen:
+                        found[code] = line
+            codes = np.fromiter(found, np.int64, len(found))
+            near = shared.value[codes % FILTER_WORDS] >> (codes.view(np.uint64) >> np.uint64(58)).astype(np.int64) & 1
+            chosen = pa.array(near.astype(bool))
+            seen.update(found)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(codes).filter(chosen), pa.array(list(found.values()), pa.string()).filter(chosen)], names=["node", "text"])
+
+    maybe = docs.where("text is not null").select("text").mapInArrow(run, "node long, text string")
+    return maybe.join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
 
 
 def characters(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +171,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     key = mix(key + least[b * ROWS + r])
                 keys.append(key)
-            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.array(hashes, np.uint64).view(np.int64), *(x.view(np.int64) for x in (bits, *keys)))], names=names)
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.array(hashes, np.int64), *(x.view(np.int64) for x in (bits, *keys)))], names=names)
             held.clear()
             hashes.clear()
             return out
@@ -127,17 +179,15 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             size = 0
             for text in batch.column(0):
-                for line in (text.as_py() or "").split("\n"):
-                    if len(line) >= SHINGLE and line.strip(_BLANK):
-                        code = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
-                        if code not in seen:
-                            seen.add(code)
-                            held.append(line)
-                            hashes.append(code)
-                            size += len(line)
-                            if size >= 20 * PIECE:
-                                yield rows()
-                                size = 0
+                for _, line in seen_lines(text.as_py()):
+                    if len(line) >= SHINGLE and (code := _hash(line)) not in seen:
+                        seen.add(code)
+                        held.append(line)
+                        hashes.append(code)
+                        size += len(line)
+                        if size >= 20 * PIECE:
+                            yield rows()
+                            size = 0
             if held:
                 yield rows()
             if len(seen) > SEEN:
@@ -165,47 +215,70 @@ def buckets(signed: DataFrame) -> DataFrame:
     return rows.join(heads, "bucket").select("bucket", "n", "line_hash", "bits", leads.alias("leads"), F.array_compact(F.array(*near)).alias("near"))
 
 
-def sets_of_lines(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct shingles of each line, and where each set ends."""
-    sets = [np.unique(shingle_hashes(characters([x])[0])) for x in found]
-    return np.concatenate(sets), np.cumsum([len(x) for x in sets])
+def sets_of_lines(found: list[str]) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each line of SHINGLE characters or more."""
+    codes, ends = characters(found)
+    hashes = shingle_hashes(codes)
+    sets = []
+    for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        own = np.sort(hashes[begin : end - SHINGLE + 1])
+        sets.append(own[np.append(True, own[1:] != own[:-1])])
+    return sets
 
 
 def line_sketches(texts: DataFrame) -> DataFrame:
-    """node, n_shingles, parity of each of texts(node, text)."""
+    """node, n_shingles, parity, tokens (null if more than WHOLE) of each of texts(node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                tokens, ends = sets_of_lines(batch.column(1).to_pylist())
-                sketches = parity(tokens, ends, PARITY)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(np.append(0, ends)), pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["node", "n_shingles", "parity"])
+        for batch in pieces(batches):
+            sets = sets_of_lines(batch.column(1).to_pylist())
+            sizes = np.array([len(x) for x in sets], np.int64)
+            sketches = parity(np.concatenate(sets), np.cumsum(sizes), PARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([x.tobytes() for x in sketches], pa.binary()), as_bytes(sets, WHOLE)], names=["node", "n_shingles", "parity", "tokens"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n_shingles long, parity binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, n_shingles long, parity binary, tokens binary")
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a few hundred lines, so that their sets take little room."""
+    return (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose lines reach SIMILARITY, by all their shingles; texts: node, text.  Lines are shuffled, not their larger sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                sides = [np.split(tokens, ends[:-1]) for tokens, ends in (sets_of_lines(batch.column(k).to_pylist()) for k in (2, 3))]
-                ok = []
-                for x, y in zip(*sides, strict=True):
-                    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                    ok.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in pieces(batches):
+            ok = [similar(x, y) for x, y in zip(*(sets_of_lines(batch.column(k).to_pylist()) for k in (2, 3)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"of_{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def texts_of(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the wanted lines (line_hash), one row each."""
-    maybe = maybe_known(found.select("line_hash", "line"), "line_hash", known_words(wanted, "line_hash"))
-    # an inner join with distinct hashes, as a semi-join would be moved below the filter
-    return maybe.join(wanted, "line_hash").groupBy(F.col("line_hash").alias("node")).agg(F.first("line").alias("text"))
+def with_partner(members: DataFrame) -> DataFrame:
+    """node of each of members(entry, node, component, bits) whose sketch agrees with that of a member of another
+    component: as many rows as members at most."""
+
+    def run(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, same, first, node, component, bits = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(6))
+        chosen = np.zeros(len(group), bool)
+        bits = bits.view(np.uint64)
+        k = 1
+        while k < len(group):
+            at = np.flatnonzero(group[k:] == group[:-k])
+            if not len(at):
+                break
+            to = at + k
+            ok = (component[at] != component[to]) & (same[at] | (first[at] != first[to]))
+            at, to = at[ok], to[ok]
+            differ = bits[at] ^ bits[to]
+            ok = np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= SKETCHED - AGREEING
+            chosen[at[ok]] = chosen[to[ok]] = True
+            k += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[chosen]), pa.int64())], names=["node"])
+
+    return in_blocks(members, ["bits"], run, "node long").distinct()
 
 
 def fuzzy_components(docs: DataFrame) -> DataFrame:
@@ -213,23 +286,25 @@ def fuzzy_components(docs: DataFrame) -> DataFrame:
     met = materialize(buckets(signatures(docs)), "line-buckets")
     star = met.select("line_hash", F.explode("near").alias("leader"))
     star = materialize(star.select(F.least("leader", "line_hash").alias("a"), F.greatest("leader", "line_hash").alias("b")).distinct(), "line-pairs")
+    texts = materialize(texts_of(docs, star.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "line-texts")
+    first = components(materialize(verified(star, texts), "line-links"))
     # leaders have met all, and the one other member of three has met both
-    rest = met.where("not leads and n > 3").select(F.col("bucket").alias("entry"), F.col("line_hash").alias("node"))
-    wanted = star.select(F.explode(F.array("a", "b")).alias("line_hash")).unionByName(rest.select(F.col("node").alias("line_hash"))).distinct()
-    texts = materialize(texts_of(lines(docs), wanted), "line-texts")
-    sketches = materialize(line_sketches(texts), "line-sketches")
-    first = components(materialize(verified(possible(star, sketches), texts), "line-links"))
+    rest = met.where("not leads and n > 3").select(F.col("bucket").alias("entry"), F.col("line_hash").alias("node"), "bits")
     members = mixed_members(rest, first)
-    pairs = materialize(between_components(members, sketches).join(star, ["a", "b"], "left_anti"), "line-pairs")
+    wanted = materialize(with_partner(members), "line-rest")
+    texts = materialize(texts_of(docs, wanted), "line-texts")
+    pairs = materialize(between_components(members.drop("bits").join(wanted, "node"), line_sketches(texts)), "line-pairs")
+    open_ = pairs.where("not sure").select("a", "b").join(star, ["a", "b"], "left_anti")
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))  # flat already
-    return components(known.unionByName(materialize(verified(pairs, texts), "line-links")))
+    sure = pairs.where("sure").select("a", "b")
+    return components(known.unionByName(sure).unionByName(materialize(verified(open_, texts), "line-links")))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """id, text_hash, kept: the numbers of the lines with a visible character that stay.  The first place of each line
     is found before components are, so nothing is dealt by the component of a line that is everywhere."""
     place = F.struct("id", "text_hash", "line_no")
-    first = lines(docs).groupBy("line_hash").agg(F.min(place).alias("place"))
+    first = line_places(docs).groupBy("line_hash").agg(F.min(place).alias("place"))
     group = fuzzy_components(docs).withColumnRenamed("node", "line_hash")
     placed = first.join(group, "line_hash", "left").groupBy(F.coalesce("component", "line_hash").alias("component")).agg(F.min("place").alias("place"))
     return placed.groupBy("place.id", "place.text_hash").agg(F.collect_list("place.line_no").alias("kept"))

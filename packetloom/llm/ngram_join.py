@@ -13,7 +13,7 @@ travels to the executors.
 
 Entries never give all pairs of a group.  First each set meets the smallest member of its entries; what
 is linked becomes a component; only entries that then hold several components are looked at again, in blocks, and only
-pairs between components that pass a bound on their difference leave them.  Equal sets are one node from the start.
+links between components, or pairs of large sets that pass a bound on their difference, leave them.  Equal sets are one node from the start.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; repeated rows are nodes of their text; a null doc_id takes part
@@ -23,7 +23,7 @@ and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,9 +45,10 @@ CLASS_TOKENS = 8
 COUNT_BITS, SLICE_BITS = 42, 10
 #: Bits of the filter of repeated tokens.  Tokens of one document alone are no index entries; a full filter only saves less.
 REPEATED_BITS = 28
-#: Tokens that a task holds before it hands its counts on; bytes of each of a set's parity sketches, and their number;
-#: nodes that a task remembers.
-HELD, PARITY, SKETCHES, SEEN = 2_000_000, 512, 2, 500_000
+#: Tokens that a task holds before it hands its counts on; bytes of a set's parity sketch; nodes that a task remembers.
+HELD, PARITY, SEEN = 2_000_000, 512, 500_000
+#: Tokens of a set that goes to blocks whole, beside its sketch; pairs of larger sets are verified after them.
+WHOLE = 256
 #: Places whose closest members lead an entry: the first few at once, the others where components then still meet.
 PLACES, FIRST_LEADERS = [((i * 0x9E3779B97F4A7C15) % 2**64) - 2**63 for i in range(1, 13)], 4
 #: Rows of a batch that leaves Python; sets of a block when the rest of an entry is compared.
@@ -65,27 +66,37 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def parity(tokens: np.ndarray, ends: np.ndarray, size: int = PARITY) -> np.ndarray:
-    """SKETCHES sketches of size bytes for each set, by different bits of the tokens: which of its bits odd numbers of tokens
-    fall on.  Two sets that differ in d tokens differ in at most d bits of each; where two of the d share a bit of one,
-    they hardly do in the other."""
-    n, bits = len(ends), size * 8
-    text = np.repeat(np.arange(n), np.diff(np.append(0, ends)))
-    out = []
-    for k in range(SKETCHES):
-        odd = np.bincount(text * bits + (tokens >> np.uint64(20 * (k + 1))).astype(np.int64) % bits, minlength=n * bits) & 1
-        out.append(np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1))
-    return np.concatenate(out, axis=1)
+    """A sketch of size bytes for each set: which of its bits odd numbers of tokens fall on.  Two sets that differ
+    in d tokens differ in at most d bits."""
+    out, begins, bits = [], np.append(0, ends[:-1]).astype(np.int64), size * 8
+    for at in range(0, len(ends), 64):  # counts of a few sets stay in the processor's cache
+        sizes = ends[at : at + 64] - begins[at : at + 64]
+        own = tokens[begins[at] : begins[at] + sizes.sum()]
+        place = np.repeat(np.arange(len(sizes)) * bits, sizes) + ((own >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(sizes) * bits) & 1).astype(np.uint8)
+        out.append(np.packbits(odd.reshape(len(sizes), bits), axis=1))
+    return np.concatenate(out) if out else np.empty((0, size), np.uint8)
 
 
 def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """What two sets differ by at least; a, b: their sketches by row, of 8 bytes a column."""
-    bits = np.bitwise_count(a ^ b).reshape(len(a), SKETCHES, a.shape[1] // SKETCHES).sum(axis=2, dtype=np.int64)
-    return bits.max(axis=1)
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= SIMILARITY * (len(x) + len(y) - common)
+
+
+def as_bytes(sets: list[np.ndarray], largest: int) -> pa.Array:
+    """The tokens of each set that isn't larger, else null."""
+    return pa.array([x.tobytes() if len(x) <= largest else None for x in sets], pa.binary())
 
 
 def documents_as_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (hash of the set, null if empty), parity."""
-    schema = "doc_id long, text_hash long, n_shingles long, node long, parity binary"
+    """doc_id, text_hash, n_shingles, node (hash of the set, null if empty), parity, tokens (null if more than WHOLE)."""
+    schema = "doc_id long, text_hash long, n_shingles long, node long, parity binary, tokens binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +106,7 @@ def documents_as_sets(docs: DataFrame) -> DataFrame:
                 sketches = parity(tokens, ends)
                 nodes = pa.array(_signed(set_hash(tokens, ends)), pa.int64(), mask=sizes == 0)
                 own = [batch.column(k)[begin:end] for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), nodes, pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "parity"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), nodes, pa.array([x.tobytes() for x in sketches], pa.binary()), as_bytes(np.split(tokens, ends[:-1]), WHOLE)], names=["doc_id", "text_hash", "n_shingles", "node", "parity", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -286,9 +297,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ok = []
                 sides = [[t for _, _, data, offsets in slices(batch.column(k)) for t in np.split(*_ends(*sets_of(data, offsets)))] for k in (2, 3)]
                 for x, y in zip(*sides, strict=True):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    common = int((x[at] == y).sum())
-                    ok.append(100 * common >= SIMILARITY * (len(x) + len(y) - common))
+                    ok.append(similar(x, y))
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("of_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("of_b")), "b")
@@ -315,7 +324,7 @@ def node_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, component of every set that is linked with another."""
     known_counts = token_counts(docs, shuffle_partitions(docs.sparkSession))
     entries = materialize(index_entries(docs, known_counts), "ngram-entries")
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("tokens").alias("tokens"))
     nodes = materialize(nodes, "ngram-nodes")
     places, later = PLACES[:FIRST_LEADERS], PLACES[FIRST_LEADERS:]
     heads = entries.groupBy("entry").agg(*_near(places), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").drop("lo", "hi")
@@ -328,9 +337,9 @@ def node_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     again = star_pairs(members.join(heads, "entry").drop("entry", "component"), later)
     again = materialize(possible(again.join(seen, ["a", "b"], "left_anti"), nodes), "ngram-pairs")
     found = components(_flat(found).unionByName(verified(again, docs, nodes)))
-    pairs = between_components(mixed_members(members.select("entry", "node"), found), nodes)
-    pairs = materialize(pairs.join(seen.unionByName(again), ["a", "b"], "left_anti"), "ngram-pairs")
-    return components(_flat(found).unionByName(verified(pairs, docs, nodes)))
+    pairs = materialize(between_components(mixed_members(members.select("entry", "node"), found), nodes), "ngram-pairs")
+    open_ = materialize(pairs.where("not sure").select("a", "b").join(seen.unionByName(again), ["a", "b"], "left_anti"), "ngram-pairs")
+    return components(_flat(found).unionByName(pairs.where("sure").select("a", "b")).unionByName(verified(open_, docs, nodes)))
 
 
 def _flat(found: DataFrame) -> DataFrame:
@@ -339,23 +348,32 @@ def _flat(found: DataFrame) -> DataFrame:
 
 
 def mixed_members(met: DataFrame, found: DataFrame) -> DataFrame:
-    """entry, node, component of the entries with nodes of several components."""
+    """met(entry, node, any others) with component, of the entries with nodes of several components."""
     placed = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("entry")
-    return materialize(placed.join(mixed, "entry", "left_semi").select("entry", "node", "component"), "ngram-mixed")
+    return materialize(placed.join(mixed, "entry", "left_semi").select(*met.columns, "component"), "ngram-mixed")
 
 
 def between_components(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share an entry and whose sizes and parity sketches allow the similarity.
+    """a, b, sure: pairs of different components that share an entry.  nodes: node, n_shingles, parity, tokens.
 
     Members of an entry are dealt to blocks of about BLOCK; each two blocks meet in one bounded group, in which numpy
-    compares all sketches, and only the pairs that are possible leave it."""
+    compares all sketches.  Where sizes and sketches allow the similarity, sets whose tokens are there are verified at once,
+    and only links between what isn't linked yet leave the group (sure), fewer than it has members; pairs of larger sets
+    leave it to be verified."""
+    rows = members.join(nodes.select("node", "n_shingles", "parity", "tokens"), "node")
+    return in_blocks(rows, ["n_shingles", "parity", "tokens"], _possible_pairs, "a long, b long, sure boolean").distinct()
+
+
+def in_blocks(members: DataFrame, columns: list[str], run_groups: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What run_groups makes of whole groups: two blocks of an entry's members, or one (same).  members: entry, node,
+    component and the columns; rows of a group: group, same, first (of the first block), node, component, the columns."""
     parts = members.groupBy("entry").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     dealt = members.join(parts, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")))
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    groups = dealt.select("entry", "node", "component", "block", F.inline(meets)).join(nodes.select("node", "n_shingles", "parity"), "node")
+    groups = dealt.select("entry", "node", "component", "block", *columns, F.inline(meets))
     group = F.xxhash64("entry", "i", "j")
-    rows = groups.select(group.alias("group"), (F.col("i") == F.col("j")).alias("same"), (F.col("block") == F.col("i")).alias("first"), "node", "component", "n_shingles", "parity")
+    rows = groups.select(group.alias("group"), (F.col("i") == F.col("j")).alias("same"), (F.col("block") == F.col("i")).alias("first"), "node", "component", *columns)
     rows = rows.repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,45 +386,57 @@ def between_components(members: DataFrame, nodes: DataFrame) -> DataFrame:
             if last or held and held[-1].column(0)[-1].as_py() != group_of[0]:
                 if last:
                     held.append(batch.slice(0, last))
-                yield from _possible_pairs(held)
+                yield from run_groups(held)
                 held = [batch.slice(last)]
             else:
                 held.append(batch)
-        yield from _possible_pairs(held)
+        if held:
+            yield from run_groups(held)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, schema)
 
 
 def _possible_pairs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs within whole groups, rows sorted by group: each row against the one k places on, for k = 1, 2 ..."""
-    if not batches:
-        return
+    """Pairs within whole groups, rows sorted by group: each row against the one k places on, for k = 1, 2 ..."""
     group, same, first, node, component, n = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(6))
     sketch = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint64).reshape(len(group), -1)
-    found: list[np.ndarray] = []
+    tokens = [x for b in batches for x in b.column(7)]
+    # what is linked already has one number within its group
+    linked = np.unique(np.stack([group, component]), axis=1, return_inverse=True)[1].reshape(-1)
+    found: list[tuple[int, int, bool]] = []
     k = 1
     while k < len(group):
         at = np.flatnonzero(group[k:] == group[:-k])
         if not len(at):
             break
         to = at + k
-        ok = (component[at] != component[to]) & (same[at] | (first[at] != first[to])) & (n[at] * 100 >= n[to] * SIMILARITY) & (n[to] * 100 >= n[at] * SIMILARITY)
+        ok = (linked[at] != linked[to]) & (same[at] | (first[at] != first[to])) & (n[at] * 100 >= n[to] * SIMILARITY) & (n[to] * 100 >= n[at] * SIMILARITY)
         at, to = at[ok], to[ok]
         differ = difference(sketch[at], sketch[to])
         ok = 100 * (n[at] + n[to] - differ) >= SIMILARITY * (n[at] + n[to] + differ)
-        if ok.any():
-            pair = np.stack([node[at[ok]], node[to[ok]]])
-            found.append(np.sort(pair, axis=0))
+        for i, j in zip(at[ok].tolist(), to[ok].tolist(), strict=True):
+            if linked[i] == linked[j]:
+                continue
+            sure = tokens[i].is_valid and tokens[j].is_valid
+            if sure:
+                if not similar(*(np.frombuffer(tokens[x].as_py(), np.uint64) for x in (i, j))):
+                    continue
+                linked[linked == linked[j]] = linked[i]
+            found.append((int(min(node[i], node[j])), int(max(node[i], node[j])), sure))
         k += 1
     if found:
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield from _batches({"a": (pairs[0], pa.int64()), "b": (pairs[1], pa.int64())})
+        a, b, sure = zip(*dict.fromkeys(found), strict=True)
+        yield from _batches({"a": (np.array(a), pa.int64()), "b": (np.array(b), pa.int64()), "sure": (np.array(sure), pa.bool_())})
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash and kept of every document.
+
+    kept: all with an empty set, and of each component the text of the smallest doc_id (null last), then of the smallest hash."""
     sets = materialize(documents_as_sets(docs), "ngram-sets")
     found = node_components(docs, sets)
-    placed = sets.select("doc_id", "n_shingles", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = sets.select("doc_id", "text_hash", "n_shingles", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    smallest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("first"))
+    kept = F.col("component").isNull() | (F.col("text_hash") == F.col("first.text_hash")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    return placed.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", kept.alias("kept"))
