@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols (insult, threat, target, negation, reported speech) by a lexicon of seed words and of
-words and word beginnings learned from labels.  Small transducers rewrite the symbols of a clause: one marks
-what a negation covers, one what is reported speech, one what has a target; their composition is one
-table, run over each clause that holds an insult or a threat.  A text's score is a logistic curve over the
-sum of its clauses' weights, not of isolated words.
+words and word beginnings learned from labels.  Five small weighted transducers read the symbols of a clause: one
+accepts insults, one threats, one weighs the clause by its target, one marks what a negation covers, one what is reported
+speech; their composition is one table with weights of its last states, run once over each clause that holds a word of
+the lexicon.  A text's score is a logistic curve over the sum of its clauses' weights, not of isolated words.
 
 Defined results: a null text counts as empty; a text without a matched clause has the curve's lowest score;
 without labels the seed words and a default curve are used; labels of null or of documents that aren't there
@@ -48,10 +48,13 @@ _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 @dataclass
 class Transducer:
-    """(state, symbol) -> (state, symbol); pairs that aren't listed keep state and symbol."""
+    """(state, symbol) -> (state, symbol); pairs that aren't listed keep state and symbol.  final: what a clause that
+    ends in a state multiplies the weights of its insults and of its threats by; accepts: states in which it is matched."""
 
     start: str
     arcs: dict[tuple[str, str], tuple[str, str]]
+    final: dict[str, tuple[float, float]] = field(default_factory=dict)
+    accepts: tuple[str, ...] = ()
     states: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
@@ -62,6 +65,23 @@ class Transducer:
 
 
 SYMBOLS = ("other", "insult", "threat", "target", "negation", "report", "insult-denied", "threat-denied", "insult-told", "threat-told")
+#: A clause with a target counts this much more; a threat without one counts this much only.
+TARGETED, UNTARGETED_THREAT = 1.3, 0.15
+
+
+def insult() -> Transducer:
+    """Accepts a clause once it has an insult."""
+    return Transducer("clean", {("clean", "insult"): ("insulting", "insult")}, accepts=("insulting",))
+
+
+def threat() -> Transducer:
+    """Accepts a clause once it has a threat."""
+    return Transducer("calm", {("calm", "threat"): ("threatening", "threat")}, accepts=("threatening",))
+
+
+def target() -> Transducer:
+    """Weighs a clause by whether it is aimed at someone, before or after the words that it is matched by."""
+    return Transducer("alone", {("alone", "target"): ("aimed", "target")}, {"alone": (1.0, UNTARGETED_THREAT), "aimed": (TARGETED, 1.0)})
 
 
 def negation(reach: int = 3) -> Transducer:
@@ -81,38 +101,47 @@ def reported() -> Transducer:
     return Transducer("own", arcs | {("own", "report"): ("said", "report")})
 
 
-def compose(*machines: Transducer) -> tuple[int, dict[tuple[int, str], tuple[int, str]]]:
-    """Start and table of the machines one after the other, each reading what the one before writes."""
-    states = {s: i for i, s in enumerate(product(*(m.states for m in machines)))}
-    table = {}
-    for joint, i in states.items():
-        for symbol in SYMBOLS:
-            out, then = symbol, []
-            for machine, state in zip(machines, joint, strict=True):
-                state, out = machine.step(state, out)
-                then.append(state)
-            table[i, symbol] = (states[tuple(then)], out)
-    return states[tuple(m.start for m in machines)], table
+@dataclass
+class Composition:
+    """Machines one after the other, each reading what the one before writes."""
+
+    start: int
+    table: dict[tuple[int, str], tuple[int, str]]
+    final: dict[int, tuple[float, float]]  # of the states in which a machine accepts
+
+    @classmethod
+    def of(cls, *machines: Transducer) -> Composition:
+        states = {s: i for i, s in enumerate(product(*(m.states for m in machines)))}
+        table, final = {}, {}
+        for joint, i in states.items():
+            for symbol in SYMBOLS:
+                out, then = symbol, []
+                for machine, state in zip(machines, joint, strict=True):
+                    state, out = machine.step(state, out)
+                    then.append(state)
+                table[i, symbol] = (states[tuple(then)], out)
+            if any(state in machine.accepts for machine, state in zip(machines, joint, strict=True)):
+                factors = [machine.final.get(state, (1.0, 1.0)) for machine, state in zip(machines, joint, strict=True)]
+                final[i] = (float(np.prod([f for f, _ in factors])), float(np.prod([g for _, g in factors])))
+        return cls(states[tuple(m.start for m in machines)], table, final)
 
 
 #: How much of a word's weight counts, by the symbol that leaves the composition.
 SHARE = {"insult": 1.0, "threat": 0.6, "insult-denied": 0.5, "threat-denied": 0.1, "insult-told": 0.6, "threat-told": 0.1}
-#: A clause with a target counts this much more; a threat without one counts this much only.
-TARGETED, UNTARGETED_THREAT = 1.3, 0.15
-_START, _TABLE = compose(negation(), reported())
+#: Insults and threats are seen before they are marked as denied or told.
+GRAMMAR = Composition.of(insult(), threat(), target(), negation(), reported())
 
 
 def clause_weight(symbols: list[tuple[str, float]]) -> float:
-    state, insults, threats, target = _START, 0.0, 0.0, False
+    """Weight of one path through the composition; 0 where it ends without being accepted."""
+    state, sums = GRAMMAR.start, {"insult": 0.0, "threat": 0.0}
+    table = GRAMMAR.table
     for symbol, weight in symbols:
-        state, out = _TABLE[state, symbol]
-        if out.startswith("insult"):
-            insults += weight * SHARE[out]
-        elif out.startswith("threat"):
-            threats += weight * SHARE[out]
-        elif out == "target":
-            target = True
-    return insults * (TARGETED if target else 1.0) + threats * (1.0 if target else UNTARGETED_THREAT)
+        state, out = table[state, symbol]
+        if out in SHARE:
+            sums[out[:6]] += weight * SHARE[out]
+    insults, threats = GRAMMAR.final.get(state, (0.0, 0.0))
+    return sums["insult"] * insults + sums["threat"] * threats
 
 
 # --- lexicon and scores --------------------------------------------------------------------------
@@ -168,9 +197,9 @@ class Scanner:
             after = _CLAUSE_END.search(low, end)
             begin, stop = before + 1 if before >= 0 else done, after.start() if after else len(low)
             weight = clause_weight([self.grammar.symbol(w) for w in _WORD.findall(low, begin, stop)])
+            done = stop  # whatever it weighs, a clause is read once
             if weight:
                 yield begin, stop, weight
-                done = stop
 
     def weight(self, text: str) -> float:
         return sum(w for _, _, w in self.clauses(text))
