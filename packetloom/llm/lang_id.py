@@ -3,8 +3,9 @@
 A known word scores by its log frequency in each language.  An unseen word backs off: at each of its
 positions the longest known character n-gram counts, from four characters down to one.
 
-Word and n-gram counts cover every training document; the model that travels to the executors holds the
-`n_words` most frequent words and `n_grams` most frequent n-grams, so its size is bounded.
+Word and n-gram counts cover every training document; the model that travels to the executors holds about
+`n_words` words and `n_grams` n-grams, the most frequent ones of each language in equal shares, so its size is bounded and a
+small language keeps its own words beside a large one.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any training
 text everything is `und`; ties go to the first language in alphabetical order; repeated rows count and are
@@ -14,16 +15,35 @@ answered each; an empty table gives no rows; columns that aren't named in a call
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _numerals() -> re.Pattern:
+    """Characters of words to the pattern above, but not letters: fractions, superscripts, Roman numerals and the like."""
+    return re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()) + "]")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case."""
+    low = (text or "").lower()
+    if not low.isascii() and _numerals().search(low):
+        low = _numerals().sub(" ", low)
+    return WORD.findall(low)
+
+
 N_WORDS, N_GRAMS, LONGEST = 60_000, 60_000, 4
 #: Languages that a model may tell apart; words longer than this count by their n-grams only.
 MAX_LANGS, WORD_CHARS = 1_000, 40
@@ -56,7 +76,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(WORD.findall((text.as_py() or "").lower()))
+                held.setdefault(lang, Counter()).update(words_of(text.as_py()))
                 if sum(map(len, held.values())) > HELD:
                     yield rows()
         yield rows()
@@ -91,9 +111,14 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _most_frequent(counts: DataFrame, column: str, limit: int, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """The limit entries of most rows (ties: in order), and their counts by language."""
-    by_lang = counts.groupBy(column).agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)])
-    top = by_lang.orderBy(F.desc("total"), column).limit(limit).drop("total").toPandas()
+    """The most frequent entries of each language (ties: in order), limit of all languages together, and their counts
+    by language."""
+    share = max(1, limit // len(langs))
+    # a filter on a rank: each task keeps a language's first entries before they are shuffled
+    of_lang = Window.partitionBy("lang").orderBy(F.desc("n"), column)
+    chosen = counts.withColumn("_rank", F.row_number().over(of_lang)).where(F.col("_rank") <= share).select(column).distinct()
+    met = counts.join(F.broadcast(chosen), column)  # limit entries, or one for each language
+    top = met.groupBy(column).agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]).orderBy(column).toPandas()
     return {w: i for i, w in enumerate(top[column])}, top[[f"n{i}" for i in range(len(langs))]].to_numpy(np.float64).reshape(len(top), len(langs))
 
 
@@ -108,7 +133,7 @@ def fit(train: DataFrame, n_words: int = N_WORDS, n_grams: int = N_GRAMS) -> Mod
     if not langs:
         return Model([], {}, np.empty((0, 0)), {}, np.empty((0, 0)))
     known, n = _most_frequent(words.where(F.length("word") <= WORD_CHARS), "word", n_words, langs)
-    grams, m = _most_frequent(gram_counts(words), "gram", n_grams, langs)
+    grams, m = _most_frequent(materialize(gram_counts(words), "grams"), "gram", n_grams, langs)
     of_all = totals["n"].to_numpy(np.float64)
 
     def logp(counts, per):
@@ -175,7 +200,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 ids, counts = [], []
                 for text in batch.column(1):
-                    words = WORD.findall((text.as_py() or "").lower())
+                    words = words_of(text.as_py())
                     counts.append(len(words))
                     if model.langs:
                         ids.extend(map(scores.__getitem__, words))
