@@ -76,12 +76,13 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
                 row: tuple = (None,) * 5
                 if label is not None and vector.is_valid and len(vector.values) and not vector.values.null_count:
                     x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                    norm = math.sqrt(float(x @ x)) if np.isfinite(x).all() else 0.0
-                    if norm > 0 and math.isfinite(norm):
-                        d = len(x)
+                    largest = float(np.abs(x).max()) if np.isfinite(x).all() else 0.0
+                    if largest > 0:
+                        d, node = len(x), xxhash.xxh64_intdigest(x.tobytes() + label.to_bytes(8, "little", signed=True))
+                        x = x / largest  # so that no square overflows or vanishes
+                        norm = math.sqrt(float(x @ x))
                         first = directions.setdefault(d, lines(d)[:, 0])
                         place = float(x @ first) / norm
-                        node = xxhash.xxh64_intdigest(x.tobytes(), seed=label & 0xFFFFFFFF)
                         row = (node - 2**64 if node >= 2**63 else node, d, int((place + 1) * BINS / 2), place, x.tobytes())
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
