@@ -47,7 +47,8 @@ class Encoder:
         spec = json.loads(self.reference.to_str())
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = None
-        if spec["model"].get("type") == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer") and not spec["pre_tokenizer"].get("add_prefix_space"):
+        before = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and _in_order(spec["model"]):
             byte_of = _byte_alphabet()
             ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.specials}
             if len(ranks) + len(self.specials) >= len(spec["model"]["vocab"]):
@@ -60,6 +61,15 @@ class Encoder:
         return np.array(self.reference.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
+def _in_order(model: dict) -> bool:
+    """Whether ids rise with the order of merges, and every token of several characters comes from one: only then does
+    merging by ids give what merging by the list gives."""
+    merged = ["".join(m) if not isinstance(m, str) else m.replace(" ", "", 1) for m in model["merges"]]
+    ids = [model["vocab"].get(t, -1) for t in merged]
+    rising = all(a < b for a, b in zip(ids, ids[1:])) and (not ids or ids[0] >= 0)
+    return rising and not model.get("dropout") and not model.get("ignore_merges") and all(len(t) == 1 or t in set_ for set_ in [set(merged)] for t in model["vocab"] if not t.startswith("<|"))
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Character that stands for each byte in a byte-level vocabulary: printable bytes are themselves,
     the others follow from code point 256 on."""
@@ -126,15 +136,17 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def pack(items: DataFrame, columns: Sequence[str], capacity: int = CAPACITY, length: str = "length", key: str = "doc_id") -> DataFrame:
+def pack(items: DataFrame, columns: Sequence[str], capacity: int = CAPACITY, length: str = "length", key: Sequence[str] | None = None) -> DataFrame:
     """The given long columns of items (length among them, 1..capacity) with sequence_id and offset.
 
-    Items are dealt to groups by a hash of key, so that each group has the same mix of lengths and its
-    own underfull rest is small; the carry bound therefore only closes bins early, it drops nothing."""
-    columns = list(columns)
+    Items are dealt to groups by a hash of the key columns (all columns unless given), so that each group has the same
+    mix of lengths and its own underfull rest is small; the carry bound therefore only closes bins early, it drops nothing.
+    Which bin an item gets may depend on it."""
+    columns, key = list(columns), list(key or columns)
     width, at = len(columns), columns.index(length)
-    items = items.select(*[F.col(c).cast("long").alias(c) for c in columns])
     n_groups = max(1, -(-items.count() // GROUP_ITEMS))
+    group = F.pmod(F.xxhash64(*key), F.lit(n_groups)).alias("grp")
+    items = items.select(*[F.col(c).cast("long").alias(c) for c in columns], group)
     out_schema = "size long, members binary, closed boolean, sequence_id long, grp long"
 
     def packed(rows: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, level: int, group: int, root: bool) -> pd.DataFrame:
@@ -168,7 +180,7 @@ def pack(items: DataFrame, columns: Sequence[str], capacity: int = CAPACITY, len
 
         return of_bins if level else of_items
 
-    level, grouped, done = 0, items.withColumn("grp", F.pmod(F.xxhash64(key), F.lit(n_groups))), []
+    level, grouped, done = 0, items, []
     while True:
         bins = materialize(grouped.groupBy("grp").applyInPandas(step(level, n_groups == 1), out_schema), f"pack-{level}")
         done.append(bins.where("closed"))
@@ -201,8 +213,10 @@ _NULL = np.iinfo(np.int64).min
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer_path, capacity, with_ids=False), "pieces")
-    packed = pack(pieces, ["doc_id", "piece", "start", "length", "ids_crc32"], capacity)
+    pieces = tokenize_pieces(docs, tokenizer_path, capacity, with_ids=False)
+    # numbers that the written table keeps: rows of one id, or of none, are dealt to all groups
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    packed = pack(pieces, ["doc_id", "piece", "start", "length", "ids_crc32"], capacity, key=["row"])
     return packed.withColumn("piece", F.col("piece").cast("int"))
 
 
