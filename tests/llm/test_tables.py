@@ -112,3 +112,24 @@ def test_embeddings_of_the_tables(spark, sf_dir):
 
 def test_least_count():
     assert 15 <= embedding_dedup.least_count(0.9999) <= embedding_dedup.least_count(0.9) <= embedding_dedup.LINES
+
+
+def test_labels_and_lengths_of_any_size(spark):
+    rng = np.random.default_rng(1)
+    v = [float(x) for x in rng.normal(size=16)]
+    big, small = [x * 1e200 for x in v], [x * 1e-200 for x in v]
+    rows = [(1, v, 5), (2, v, 5 + 2**32), (3, big, 5), (4, small, 5), (5, [-x for x in v], 5)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert got == {1: (2, 1), 2: (0, 2), 3: (2, 1), 4: (2, 1), 5: (0, 5)}
+
+
+def test_links_of_many_vectors(spark):
+    """Groups of near copies among a thousand others, against brute force by numpy."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(250, 24))
+    x = np.concatenate([rng.normal(size=(1000, 24)), *(base + rng.normal(size=base.shape) * 0.1 for _ in range(4))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= embedding_dedup.COSINE
+    df = spark.createDataFrame([(i, [float(c) for c in row], 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert near.sum() > 2500 and got == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
