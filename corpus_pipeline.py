@@ -5,7 +5,8 @@ folder and read again as the next stage's docs.  All but the last return the col
 text, lang, source, n_chars).
 
 Defined results: a null or empty document passes the filters (it has nothing to reject) and is packed as its
-separator; repeated rows count as one document where near duplicates are removed; an empty table passes through all stages.
+separator; repeated rows count as one document where near duplicates are removed, and
+texts of one id, or of none, that are no copies are documents of their own; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -37,11 +38,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    found = ngram_join.ngram_join(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti")
-    # what the join dealt by doc_id already is where repeated rows meet
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest doc_id, and of one id's texts that are copies
+    the one of the smallest hash.  An id may have other texts, or be null: what goes is a text of an id."""
+    found = ngram_join.ngram_join(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = hashed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
