@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._common import FILTER_WORDS, known_words, let, materialize
 from .components import components
-from .ngram_join import as_bytes, between_components, in_blocks, mixed_members, parity, similar
+from .ngram_join import finish, in_blocks, mixed_members, parity, similar
 from .shingles import mix
 
 SHINGLE = 5
@@ -40,9 +40,9 @@ SIMILARITY = 80
 #: Two bits of each of the first SKETCHED MinHash values make a sketch; sketches agree if AGREEING of them do, which a
 #: pair at SIMILARITY fails with a chance of 4 in 10,000 and one at 0.9 of less than 1 in 10 million.
 SKETCHED, AGREEING = 32, 20
-#: Bytes of a line's parity sketch; shingles of a line that goes to blocks whole; characters that are hashed at a time;
-#: lines that a task remembers; rows of a batch that leaves Python.
-PARITY, WHOLE, PIECE, SEEN, ROWS_OUT = 256, 512, 50_000, 500_000, 200_000
+#: Bytes of a line's parity sketch; characters that are hashed at a time; lines that a task remembers; rows of a batch
+#: that leaves Python.
+PARITY, PIECE, SEEN, ROWS_OUT = 256, 50_000, 500_000, 200_000
 #: The white space without which a line must have a character.
 _BLANK = " \t\x0b\f\r"
 _NULL_ID = -(2**63)
@@ -227,16 +227,16 @@ def sets_of_lines(found: list[str]) -> list[np.ndarray]:
 
 
 def line_sketches(texts: DataFrame) -> DataFrame:
-    """node, n_shingles, parity, tokens (null if more than WHOLE) of each of texts(node, text)."""
+    """node, n_shingles, parity of each of texts(node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = sets_of_lines(batch.column(1).to_pylist())
             sizes = np.array([len(x) for x in sets], np.int64)
             sketches = parity(np.concatenate(sets), np.cumsum(sizes), PARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([x.tobytes() for x in sketches], pa.binary()), as_bytes(sets, WHOLE)], names=["node", "n_shingles", "parity", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["node", "n_shingles", "parity"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n_shingles long, parity binary, tokens binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, n_shingles long, parity binary")
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,11 +293,8 @@ def fuzzy_components(docs: DataFrame) -> DataFrame:
     members = mixed_members(rest, first)
     wanted = materialize(with_partner(members), "line-rest")
     texts = materialize(texts_of(docs, wanted), "line-texts")
-    pairs = materialize(between_components(members.drop("bits").join(wanted, "node"), line_sketches(texts)), "line-pairs")
-    open_ = pairs.where("not sure").select("a", "b").join(star, ["a", "b"], "left_anti")
-    known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))  # flat already
-    sure = pairs.where("sure").select("a", "b")
-    return components(known.unionByName(sure).unionByName(materialize(verified(open_, texts), "line-links")))
+    sketches = materialize(line_sketches(texts), "line-sketches")
+    return finish(members.join(wanted, "node").select("entry", "node"), first, sketches, star, lambda pairs: materialize(verified(pairs, texts), "line-links"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ travels to the executors.
 
 Entries never give all pairs of a group.  First each set meets the smallest member of its entries; what
 is linked becomes a component; only entries that then hold several components are looked at again, in blocks, and only
-links between components, or pairs of large sets that pass a bound on their difference, leave them.  Equal sets are one node from the start.
+pairs between components that pass a bound on their difference leave them, at first of each set the closest one.  Equal sets are one node from the start.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; with fewer words
 than a shingle the whole sequence is the one shingle; repeated rows are nodes of their text; a null doc_id takes part
@@ -47,8 +47,8 @@ COUNT_BITS, SLICE_BITS = 42, 10
 REPEATED_BITS = 28
 #: Tokens that a task holds before it hands its counts on; bytes of a set's parity sketch; nodes that a task remembers.
 HELD, PARITY, SEEN = 2_000_000, 512, 500_000
-#: Tokens of a set that goes to blocks whole, beside its sketch; pairs of larger sets are verified after them.
-WHOLE = 256
+#: Rounds in which a component meets the most similar set of a block only; how many there are never decides a result.
+CLOSEST_ROUNDS = 2
 #: Places whose closest members lead an entry: the first few at once, the others where components then still meet.
 PLACES, FIRST_LEADERS = [((i * 0x9E3779B97F4A7C15) % 2**64) - 2**63 for i in range(1, 13)], 4
 #: Rows of a batch that leaves Python; sets of a block when the rest of an entry is compared.
@@ -89,14 +89,9 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= SIMILARITY * (len(x) + len(y) - common)
 
 
-def as_bytes(sets: list[np.ndarray], largest: int) -> pa.Array:
-    """The tokens of each set that isn't larger, else null."""
-    return pa.array([x.tobytes() if len(x) <= largest else None for x in sets], pa.binary())
-
-
 def documents_as_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (hash of the set, null if empty), parity, tokens (null if more than WHOLE)."""
-    schema = "doc_id long, text_hash long, n_shingles long, node long, parity binary, tokens binary"
+    """doc_id, text_hash, n_shingles, node (hash of the set, null if empty), parity."""
+    schema = "doc_id long, text_hash long, n_shingles long, node long, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +101,7 @@ def documents_as_sets(docs: DataFrame) -> DataFrame:
                 sketches = parity(tokens, ends)
                 nodes = pa.array(_signed(set_hash(tokens, ends)), pa.int64(), mask=sizes == 0)
                 own = [batch.column(k)[begin:end] for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), nodes, pa.array([x.tobytes() for x in sketches], pa.binary()), as_bytes(np.split(tokens, ends[:-1]), WHOLE)], names=["doc_id", "text_hash", "n_shingles", "node", "parity", "tokens"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), nodes, pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "parity"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
@@ -324,7 +319,7 @@ def node_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, component of every set that is linked with another."""
     known_counts = token_counts(docs, shuffle_partitions(docs.sparkSession))
     entries = materialize(index_entries(docs, known_counts), "ngram-entries")
-    nodes = sets.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("tokens").alias("tokens"))
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
     nodes = materialize(nodes, "ngram-nodes")
     places, later = PLACES[:FIRST_LEADERS], PLACES[FIRST_LEADERS:]
     heads = entries.groupBy("entry").agg(*_near(places), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").drop("lo", "hi")
@@ -337,9 +332,21 @@ def node_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     again = star_pairs(members.join(heads, "entry").drop("entry", "component"), later)
     again = materialize(possible(again.join(seen, ["a", "b"], "left_anti"), nodes), "ngram-pairs")
     found = components(_flat(found).unionByName(verified(again, docs, nodes)))
-    pairs = materialize(between_components(mixed_members(members.select("entry", "node"), found), nodes), "ngram-pairs")
-    open_ = materialize(pairs.where("not sure").select("a", "b").join(seen.unionByName(again), ["a", "b"], "left_anti"), "ngram-pairs")
-    return components(_flat(found).unionByName(pairs.where("sure").select("a", "b")).unionByName(verified(open_, docs, nodes)))
+    return finish(members.select("entry", "node"), found, nodes, seen.unionByName(again), lambda pairs: verified(pairs, docs, nodes))
+
+
+def finish(members: DataFrame, found: DataFrame, nodes: DataFrame, seen: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """found with all links that are left between members of one entry.  seen: pairs that are verified already.
+
+    In the first rounds each component of a block meets the most similar set of the others only, which joins what is a
+    large family of sets that no leader is linked with; the last round verifies every possible pair that is left."""
+    for turn in range(CLOSEST_ROUNDS + 1):
+        members = mixed_members(members.select(*[c for c in members.columns if c != "component"]), found)
+        pairs = between_components(members, nodes, closest=turn < CLOSEST_ROUNDS)
+        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "ngram-pairs")
+        seen = seen.unionByName(pairs)
+        found = components(_flat(found).unionByName(verify(pairs)))
+    return found
 
 
 def _flat(found: DataFrame) -> DataFrame:
@@ -354,15 +361,14 @@ def mixed_members(met: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(placed.join(mixed, "entry", "left_semi").select(*met.columns, "component"), "ngram-mixed")
 
 
-def between_components(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b, sure: pairs of different components that share an entry.  nodes: node, n_shingles, parity, tokens.
+def between_components(members: DataFrame, nodes: DataFrame, closest: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that share an entry and whose sizes and parity sketches allow the similarity;
+    closest: of each component in a block only the one that differs least, so fewer than there are members.
 
     Members of an entry are dealt to blocks of about BLOCK; each two blocks meet in one bounded group, in which numpy
-    compares all sketches.  Where sizes and sketches allow the similarity, sets whose tokens are there are verified at once,
-    and only links between what isn't linked yet leave the group (sure), fewer than it has members; pairs of larger sets
-    leave it to be verified."""
-    rows = members.join(nodes.select("node", "n_shingles", "parity", "tokens"), "node")
-    return in_blocks(rows, ["n_shingles", "parity", "tokens"], _possible_pairs, "a long, b long, sure boolean").distinct()
+    compares all sketches, and only the pairs that are possible leave it."""
+    rows = members.join(nodes.select("node", "n_shingles", "parity"), "node")
+    return in_blocks(rows, ["n_shingles", "parity"], lambda batches: _possible_pairs(batches, closest), "a long, b long").distinct()
 
 
 def in_blocks(members: DataFrame, columns: list[str], run_groups: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -396,37 +402,39 @@ def in_blocks(members: DataFrame, columns: list[str], run_groups: Callable[[list
     return rows.mapInArrow(run, schema)
 
 
-def _possible_pairs(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within whole groups, rows sorted by group: each row against the one k places on, for k = 1, 2 ..."""
+def _possible_pairs(batches: list[pa.RecordBatch], closest: bool) -> Iterator[pa.RecordBatch]:
+    """Possible pairs within whole groups, rows sorted by group: each row against the one k places on, for k = 1, 2 ..."""
     group, same, first, node, component, n = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in batches]) for k in range(6))
     sketch = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint64).reshape(len(group), -1)
-    tokens = [x for b in batches for x in b.column(7)]
-    # what is linked already has one number within its group
-    linked = np.unique(np.stack([group, component]), axis=1, return_inverse=True)[1].reshape(-1)
-    found: list[tuple[int, int, bool]] = []
+    found: list[np.ndarray] = []
+    least, partner = np.full(len(group), 2.0), np.full(len(group), -1)
     k = 1
     while k < len(group):
         at = np.flatnonzero(group[k:] == group[:-k])
         if not len(at):
             break
         to = at + k
-        ok = (linked[at] != linked[to]) & (same[at] | (first[at] != first[to])) & (n[at] * 100 >= n[to] * SIMILARITY) & (n[to] * 100 >= n[at] * SIMILARITY)
+        ok = (component[at] != component[to]) & (same[at] | (first[at] != first[to])) & (n[at] * 100 >= n[to] * SIMILARITY) & (n[to] * 100 >= n[at] * SIMILARITY)
         at, to = at[ok], to[ok]
         differ = difference(sketch[at], sketch[to])
         ok = 100 * (n[at] + n[to] - differ) >= SIMILARITY * (n[at] + n[to] + differ)
-        for i, j in zip(at[ok].tolist(), to[ok].tolist(), strict=True):
-            if linked[i] == linked[j]:
-                continue
-            sure = tokens[i].is_valid and tokens[j].is_valid
-            if sure:
-                if not similar(*(np.frombuffer(tokens[x].as_py(), np.uint64) for x in (i, j))):
-                    continue
-                linked[linked == linked[j]] = linked[i]
-            found.append((int(min(node[i], node[j])), int(max(node[i], node[j])), sure))
+        at, to, differ = at[ok], to[ok], differ[ok]
+        if closest:
+            share = differ / (n[at] + n[to])
+            for x, y in ((at, to), (to, at)):  # each row is once on either side
+                better = share < least[x]
+                least[x[better]], partner[x[better]] = share[better], y[better]
+        elif len(at):
+            found.append(np.sort(np.stack([node[at], node[to]]), axis=0))
         k += 1
+    if closest and (partner >= 0).any():
+        at = np.flatnonzero(partner >= 0)
+        at = at[np.lexsort((least[at], component[at], group[at]))]
+        at = at[np.append(True, (np.diff(group[at]) != 0) | (np.diff(component[at]) != 0))]
+        found.append(np.sort(np.stack([node[at], node[partner[at]]]), axis=0))
     if found:
-        a, b, sure = zip(*dict.fromkeys(found), strict=True)
-        yield from _batches({"a": (np.array(a), pa.int64()), "b": (np.array(b), pa.int64()), "sure": (np.array(sure), pa.bool_())})
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield from _batches({"a": (pairs[0], pa.int64()), "b": (pairs[1], pa.int64())})
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
