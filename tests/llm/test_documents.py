@@ -503,10 +503,10 @@ def test_large_line_groups(spark, monkeypatch):
     assert sum(got[d] != want[d] for d in want) <= 3
 
 
-@pytest.mark.parametrize("whole", [0, 512])
-def test_links_between_lines_that_no_leader_is_linked_with(spark, monkeypatch, whole):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_links_between_lines_that_no_leader_is_linked_with(spark, monkeypatch, rounds):
     """A family in which each line is near two others only: a chain."""
-    monkeypatch.setattr(line_dedup, "WHOLE", whole)
+    monkeypatch.setattr(ngram_join, "CLOSEST_ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
