@@ -39,9 +39,10 @@ def _numerals() -> re.Pattern:
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
     low = (text or "").lower()
-    if not low.isascii() and _numerals().search(low):
-        low = _numerals().sub(" ", low)
-    return WORD.findall(low)
+    found = WORD.findall(low)
+    if not low.isascii() and found and not "".join(found).isalpha():  # rare, and cheaper to tell from the words
+        found = WORD.findall(_numerals().sub(" ", low))
+    return found
 
 
 N_WORDS, N_GRAMS, LONGEST = 60_000, 60_000, 4
@@ -111,13 +112,14 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _most_frequent(counts: DataFrame, column: str, limit: int, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """The most frequent entries of each language (ties: in order), limit of all languages together, and their counts
-    by language."""
+    """The most frequent entries of each language, limit of all languages together, and their counts by language; of entries
+    with one count, all or none are taken.  What is ordered are the counts that occur, not the entries."""
     share = max(1, limit // len(langs))
-    # a filter on a rank: each task keeps a language's first entries before they are shuffled
-    of_lang = Window.partitionBy("lang").orderBy(F.desc("n"), column)
-    chosen = counts.withColumn("_rank", F.row_number().over(of_lang)).where(F.col("_rank") <= share).select(column).distinct()
-    met = counts.join(F.broadcast(chosen), column)  # limit entries, or one for each language
+    upto = F.sum("entries").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    often = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries")).withColumn("upto", upto).where(F.col("upto") <= share)
+    least = often.groupBy("lang").agg(F.min("n").alias("least"))  # a row for each language
+    chosen = counts.join(F.broadcast(least), "lang").where("n >= least").select(column).distinct()
+    met = counts.join(F.broadcast(chosen), column)  # limit entries at most
     top = met.groupBy(column).agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]).orderBy(column).toPandas()
     return {w: i for i, w in enumerate(top[column])}, top[[f"n{i}" for i in range(len(langs))]].to_numpy(np.float64).reshape(len(top), len(langs))
 
