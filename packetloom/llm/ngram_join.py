@@ -344,6 +344,8 @@ def finish(members: DataFrame, found: DataFrame, nodes: DataFrame, seen: DataFra
         members = mixed_members(members.select(*[c for c in members.columns if c != "component"]), found)
         pairs = between_components(members, nodes, closest=turn < CLOSEST_ROUNDS)
         pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "ngram-pairs")
+        if pairs.isEmpty():
+            continue
         seen = seen.unionByName(pairs)
         found = components(_flat(found).unionByName(verify(pairs)))
     return found
