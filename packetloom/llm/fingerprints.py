@@ -1,16 +1,14 @@
-"""Document fingerprints from closed syncmers, with DataFrame functions only.
+"""Document fingerprints from closed syncmers.
 
-A k-mer is CHARS characters, its inner substrings have INNER characters; one begins at every position.  Texts are encoded
-with four bytes a character first, so that each is cut out in constant time.  A k-mer is chosen if its minimal inner substring (by hash) lies at either edge: a choice that
-depends on the k-mer alone, so equal passages choose equal anchors whatever surrounds them.  Anchors have
-positions; the fingerprint string holds all of them by position, each as 8 hexadecimal digits of its position and 16 of
-its hash.  Likeness matches positions: the n-th of the anchors with one hash in one text with the n-th in the other, and
-is the share of matches among all anchors of both, a match counting once.
+A k-mer is CHARS characters, its inner substrings have INNER characters; one begins at every position.  A k-mer is
+chosen if its minimal inner substring (by hash) lies at either edge: a choice that depends on the k-mer alone, so equal
+passages choose equal anchors whatever surrounds them.  Anchors have positions; the fingerprint string holds all of
+them by position, each as 8 hexadecimal digits of its position and 16 of its hash.  Likeness matches positions: the
+n-th of the anchors with one hash in one text with the n-th in the other, and is the share of matches among all
+anchors of both, a match counting once.
 
-An edited text consists of two beginnings, so its anchors are those of both that lie within them and the ones of the few
-k-mers across the seam: a choice depends on the k-mer alone.
-
-Every array is bound once and walked in linear time; nothing indexes characters of a long text.
+The anchors are made by numpy in Arrow batches, PIECE positions at a time; the form with DataFrame functions only takes
+ten times the CPU seconds (README).
 
 Defined results: a null text counts as empty and has the empty fingerprint; two empty fingerprints have likeness
 1, an empty and another 0; with fewer than CHARS characters the whole text is the one anchor;
@@ -21,164 +19,136 @@ no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import let, materialize, shuffle_partitions
+from ._common import materialize, shuffle_partitions
+from .shingles import mix
 
-#: Words of a k-mer and of its inner substrings; K - S + 1 is a power of two.
-K, S = 9, 2
-WINDOW = K - S + 1
 #: Characters of a k-mer and of its inner substrings; CHARS - INNER + 1 is a power of two.
 CHARS, INNER = 24, 9
+WINDOW = CHARS - INNER + 1
+#: Positions that are worked on at a time; characters after which a batch's rows are handed on.
+PIECE, HELD = 100_000, 500_000
 _NULL_ID = -(2**63)
-
-
-def word_hashes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-
-
-def _from(array: Column, begin: int) -> Column:
-    return F.slice(array, begin + 1, F.greatest(F.size(array) - begin, F.lit(0)))
-
-
-def closed(inner: Column, window: int) -> Column:
-    """Positions (from 0) of windows of inner whose minimum lies at either edge; inner has window entries or more, and
-    window is a power of two."""
-
-    def least_of_two(width: int):
-        return lambda m: F.zip_with(m, _from(m, width), lambda a, b: F.least(a, b))
-
-    def minima(inner: Column) -> Column:
-        out, width = inner, 1
-        while width < window:
-            out, width = let(out, least_of_two(width)), 2 * width
-        return out
-
-    def chosen(both: Column) -> Column:
-        inner, least = both["inner"], both["least"]
-        at_edge = lambda i: (least[i] == inner[i]) | (least[i] == inner[i + (window - 1)])
-        return F.filter(F.sequence(F.lit(0), F.size(inner) - window), at_edge)
-
-    return let(inner, lambda g: let(F.struct(g.alias("inner"), minima(g).alias("least")), chosen))
-
-
-def anchor_positions(words: Column) -> Column:
-    """First word (from 0) of each closed syncmer of words; words has K entries or more."""
-    inner = F.slice(F.zip_with(words, _from(words, S - 1), lambda a, b: F.xxhash64(a, b)), 1, F.size(words) - (S - 1))
-    return closed(inner, WINDOW)
-
-
-def _hash_at(code: Column, at: Column, chars: int) -> Column:
-    return F.xxhash64(F.substring(code, at * 4 + 1, F.lit(4 * chars)))
-
-
-def _size(code: Column) -> Column:
-    return F.shiftright(F.octet_length(code), 2)
-
-
-def _anchor(position: Column, hash_: Column) -> Column:
-    return F.struct(position.alias("position"), hash_.alias("hash"))
-
-
-def chosen_anchors(text: Column) -> Column:
-    """array<struct<position:int, hash:bigint>> of the chosen k-mers of a text that isn't null, by position."""
-
-    def of(code: Column) -> Column:
-        inner = F.transform(F.sequence(F.lit(0), _size(code) - INNER), lambda i: _hash_at(code, i, INNER))
-        each = F.transform(closed(inner, CHARS - INNER + 1), lambda i: _anchor(i, _hash_at(code, i, CHARS)))
-        none = F.filter(F.array(_anchor(F.lit(0), F.xxhash64(code))), lambda x: F.lit(False))
-        return F.when(_size(code) >= CHARS, each).otherwise(none)
-
-    return let(F.encode(text, "UTF-32"), of)
-
-
-def or_other(chosen: Column, text: Column) -> Column:
-    """The chosen anchors of a text or, if there are none, one that stands for them; none for an empty text."""
-
-    def other(code: Column) -> Column:
-        least = F.array_min(F.transform(F.sequence(F.lit(0), _size(code) - CHARS), lambda i: F.struct(_hash_at(code, i, CHARS).alias("hash"), i.alias("position"))))
-        one = F.when(_size(code) >= CHARS, let(least, lambda x: _anchor(x["position"], x["hash"]))).otherwise(_anchor(F.lit(0), F.xxhash64(code)))
-        return F.array(one)
-
-    return let(chosen, lambda c: F.when((F.size(c) > 0) | (F.length(text) == 0), c).otherwise(let(F.encode(text, "UTF-32"), other)))
-
-
-def character_anchors(text: Column) -> Column:
-    return or_other(chosen_anchors(text), text)
-
-
-def anchors(text: Column) -> Column:
-    """array<struct<position:int, hash:bigint>> by words, not by characters, of a text that isn't null."""
-
-    def of(words: Column) -> Column:
-        each = F.transform(anchor_positions(words), lambda i: F.struct(i.alias("position"), F.xxhash64(F.slice(words, i + 1, K)).alias("hash")))
-        whole = F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(words).alias("hash")))
-        none = F.filter(whole, lambda x: F.lit(False))
-        return F.when(F.size(words) >= K, each).when(F.size(words) > 0, whole).otherwise(none)
-
-    return let(word_hashes(text), of)
-
-
-def as_string(found: Column) -> Column:
-    def digits(x: Column) -> Column:
-        return F.concat(F.lpad(F.hex(x["position"]), 8, "0"), F.lpad(F.hex(x["hash"]), 16, "0"))
-
-    return F.lower(F.array_join(F.transform(found, digits), ""))
-
-
-def occurrences(found: Column) -> Column:
-    """A distinct key of each anchor: its hash or, from the second anchor with this hash on, one of hash and number."""
-
-    def numbered(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.get(s, i - 1).eqNullSafe(F.get(s, i)))
-
-        def runs(b: Column) -> Column:
-            ends = F.concat(F.slice(b, 2, F.size(b)), F.array(F.size(s)))
-            each = F.zip_with(b, ends, lambda x, y: F.transform(F.sequence(F.lit(0), y - x - 1), lambda j: F.when(j == 0, s[x]).otherwise(F.xxhash64(s[x], j))))
-            return F.flatten(each)
-
-        return let(begins, runs)
-
-    hashes = F.transform(found, lambda x: x["hash"])
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), h).otherwise(let(F.array_sort(h), numbered)))
-
-
-def likeness(a: Column, b: Column) -> Column:
-    """Share of matches among all anchors of both; a, b: the occurrences of their anchors."""
-
-    def of(both: Column) -> Column:
-        sizes = F.size(both["a"]) + F.size(both["b"])
-        share = let(F.size(F.array_intersect(both["a"], both["b"])), lambda n: n.cast("double") / (sizes - n))
-        return F.when(sizes == 0, F.lit(1.0)).otherwise(share)
-
-    return let(F.struct(a.alias("a"), b.alias("b")), of)
-
-
-def joined_anchors(own: Column, kept: Column, after: Column, beginning: Column, edited: Column) -> Column:
-    """Anchors of edited: kept characters of a text with chosen anchors own, and the beginning of one with chosen anchors
-    after."""
-    start = F.greatest(kept - (CHARS - 1), F.lit(0))
-    seam = F.transform(chosen_anchors(F.substring(edited, start + 1, kept + (CHARS - 1) - start)), lambda x: _anchor(x["position"] + start, x["hash"]))
-    within = F.filter(own, lambda x: x["position"] + CHARS <= kept)
-    behind = F.transform(F.filter(after, lambda x: x["position"] + CHARS <= F.length(beginning)), lambda x: _anchor(x["position"] + kept, x["hash"]))
-    # a seam shorter than a k-mer has none, and none of its k-mers lies in one part alone
-    return or_other(F.concat(within, seam, behind), edited)
+_MULTIPLIERS = mix(np.arange(1, CHARS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+#: Positions (from 0, ascending) and hashes of a text's anchors.
+Anchors = tuple[np.ndarray, np.ndarray]
+
+
+def _hashes(codes: np.ndarray, at: np.ndarray | None, chars: int) -> np.ndarray:
+    """A hash of chars characters from each place on, or from every place where they fit."""
+    n = len(codes) - chars + 1 if at is None else len(at)
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(chars if n > 0 else 0):
+        out += (codes[k : k + n] if at is None else codes[at + k]) * _MULTIPLIERS[k]
+    return mix(out)
+
+
+def closed(inner: np.ndarray) -> np.ndarray:
+    """Which windows of WINDOW inner hashes have their minimum at either edge."""
+    if len(inner) < WINDOW:
+        return np.zeros(0, bool)
+    least, width = inner, 1
+    while width < WINDOW:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    return (least == inner[: len(least)]) | (least == inner[WINDOW - 1 :])
+
+
+def anchors(texts: list[str]) -> list[Anchors]:
+    """The anchors of each text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(x) for x in texts], np.int64)
+    ends = np.cumsum(sizes)
+    places, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for begin in range(0, len(codes), PIECE):
+        piece = codes[begin : begin + PIECE + CHARS - 1]
+        at = np.flatnonzero(closed(_hashes(piece, None, INNER)))
+        at = at[begin + at + CHARS <= ends[np.searchsorted(ends, begin + at, "right")]]
+        places.append(begin + at)
+        hashes.append(_hashes(piece, at, CHARS))
+    place, hash_ = np.concatenate(places), np.concatenate(hashes)
+    out = []
+    for text, end, lo, hi in zip(texts, ends.tolist(), np.searchsorted(place, ends - sizes).tolist(), np.searchsorted(place, ends).tolist(), strict=True):
+        found = place[lo:hi] - (end - len(text)), hash_[lo:hi]
+        out.append(found if hi > lo or not text else _other(text, codes[end - len(text) : end]))
+    return out
+
+
+def _other(text: str, codes: np.ndarray) -> Anchors:
+    """The one anchor that stands for a text without a chosen k-mer: a text of a few dozen characters at most."""
+    if len(text) < CHARS:
+        return np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest(codes.tobytes())], np.uint64)
+    each = _hashes(codes, None, CHARS)
+    at = int(each.argmin())
+    return np.array([at]), each[at : at + 1]
+
+
+def as_string(found: Anchors) -> str:
+    row = np.empty(len(found[0]), [("position", ">u4"), ("hash", ">u8")])
+    row["position"], row["hash"] = found
+    return row.tobytes().hex()
+
+
+def matches(a: Anchors, b: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a and in b of the anchors that match: the n-th with a hash with the n-th."""
+    if not len(a[0]) or not len(b[0]):
+        return a[0][:0], b[0][:0]
+    by_a, by_b = (np.argsort(x[1], kind="stable") for x in (a, b))
+    hash_a, hash_b = a[1][by_a], b[1][by_b]
+    number = np.arange(len(hash_a)) - np.searchsorted(hash_a, hash_a)
+    to = np.searchsorted(hash_b, hash_a) + number
+    ok = to < len(hash_b)
+    ok[ok] = hash_b[to[ok]] == hash_a[ok]
+    return a[0][by_a[ok]], b[0][by_b[to[ok]]]
+
+
+def likeness(a: Anchors, b: Anchors) -> float:
+    """Share of matches among all anchors of both."""
+    both = len(a[0]) + len(b[0])
+    n = len(matches(a, b)[0])
+    return n / (both - n) if both else 1.0
+
+
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows of about HELD characters; a longer row is one of its own."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > HELD:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, anchors, fingerprint of each document."""
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), character_anchors(text).alias("anchors"))
-    return found.withColumn("fingerprint", as_string(F.col("anchors")))
-
-
-def shared_anchors(a: Column, b: Column) -> Column:
-    """Positional matches of two anchor arrays: array<struct<position, other, hash>>.  Meant for one pair of
-    documents at a time; its work is the product of their numbers of anchors."""
-    pairs = F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: F.struct(x["position"].alias("position"), y["position"].alias("other"), x["hash"].alias("hash"))))
-    return F.flatten(pairs)
+    """doc_id, n_chars, anchors (array of position and hash), fingerprint of each document."""
+    schema = "doc_id long, n_chars long, anchors array<struct<position:int,hash:long>>, fingerprint string"
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("hash", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _runs([len(x) for x in texts]):
+                found = anchors(texts[lo:hi])
+                ends = np.cumsum([0, *(len(p) for p, _ in found)])
+                each = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate([p for p, _ in found]), pa.int32()), pa.array(np.concatenate([h for _, h in found]).view(np.int64))], ["position", "hash"]
+                )
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each).cast(kind)
+                columns = [batch.column(0)[lo:hi], pa.array([len(x) for x in texts[lo:hi]], pa.int64()), lists, pa.array([as_string(x) for x in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "anchors", "fingerprint"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def successors(keys: DataFrame, partitions: int) -> DataFrame:
@@ -193,6 +163,22 @@ def successors(keys: DataFrame, partitions: int) -> DataFrame:
     return joined.select("id", "text_hash", F.coalesce("before", "last_before").alias("before"))
 
 
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What edited_fingerprints returns, of rows of id, text and the next document's text."""
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    for batch in batches:
+        texts, nexts = (batch.column(k).to_pylist() for k in (1, 2))
+        for lo, hi in _runs([2 * len(x) + len(y) for x, y in zip(texts, nexts, strict=True)]):
+            edited = [x[: len(x) - len(x) // 2] + y[: len(x) // 2] for x, y in zip(texts[lo:hi], nexts[lo:hi], strict=True)]
+            own, new, after = (anchors(x) for x in (texts[lo:hi], edited, nexts[lo:hi]))
+            columns = [
+                pa.array([len(x) for x in texts[lo:hi]], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
+                pa.array([as_string(x) for x in own], pa.string()), pa.array([as_string(x) for x in new], pa.string()),
+                pa.array([likeness(x, y) for x, y in zip(own, new, strict=True)], pa.float64()), pa.array([likeness(x, y) for x, y in zip(own, after, strict=True)], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *columns], names=names)
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text (its second half replaced by the beginning of the next
     document), and how alike they are."""
@@ -201,21 +187,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     keys = rows.groupBy("id", "text_hash").agg(F.max(F.length("text")).cast("long").alias("n_chars"))
     order = successors(keys, shuffle_partitions(docs.sparkSession))
     known = rows.join(order, ["id", "text_hash"])  # one shuffle of the texts; both sides below read it
-    n = F.length("text")
-    given = known.select(
-        F.col("before.id").alias("id"), F.col("before.text_hash").alias("text_hash"), F.floor(F.col("before.n_chars") / 2).cast("int").alias("taken"), F.col("text").alias("next")
-    ).dropDuplicates(["id", "text_hash"])
+    given = known.select(F.col("before.id").alias("id"), F.col("before.text_hash").alias("text_hash"), F.col("text").alias("next")).dropDuplicates(["id", "text_hash"])
     met = rows.join(given, ["id", "text_hash"])  # anchors are made after the shuffle: they are larger than texts
-    beginning, kept = F.left(F.col("next"), F.col("taken")), (n - F.floor(n / 2)).cast("int")
-    edited = met.withColumns({"kept": kept, "beginning": beginning}).withColumn("edited", F.concat(F.left(F.col("text"), F.col("kept")), F.col("beginning")))
-    chosen = edited.withColumns({"own": chosen_anchors(F.col("text")), "after": chosen_anchors(F.col("next"))})
-    found = chosen.withColumns({
-        "anchors": or_other(F.col("own"), F.col("text")), "next_anchors": or_other(F.col("after"), F.col("next")),
-        "edited_anchors": joined_anchors(F.col("own"), F.col("kept"), F.col("after"), F.col("beginning"), F.col("edited")),
-    })
-    marked = found.withColumns({f"{x}keys": occurrences(F.col(f"{x}anchors")) for x in ("", "next_", "edited_")})
-    return marked.select(
-        F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        as_string(F.col("anchors")).alias("fingerprint"), as_string(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("edited_keys")).alias("near_edited"), likeness(F.col("keys"), F.col("next_keys")).alias("near_next"),
-    )
+    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return met.select(F.nullif("id", F.lit(_NULL_ID)).alias("doc_id"), "text", "next").mapInArrow(_compared, kinds)

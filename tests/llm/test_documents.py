@@ -366,24 +366,45 @@ def test_grammar_is_composed_of_five_machines():
 
 
 # --- fingerprints ------------------------------------------------------------------------------------
-def test_anchors_are_closed_syncmers(spark):
-    text = " ".join(random.Random(5).choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(i % 7) for i in range(300))
-    df = spark.createDataFrame([(text,), ("few words only",), ("",)], "text string")
-    words = fingerprints.word_hashes(F.col("text"))
-    inner = F.zip_with(words, F.slice(words, 2, 10_000), lambda a, b: F.xxhash64(a, b))
-    rows = df.select(inner.alias("inner"), F.size(words).alias("n"), fingerprints.anchors(F.col("text")).alias("anchors")).collect()
-    inner0 = rows[0]["inner"][: rows[0]["n"] - 1]
-    want = [i for i in range(rows[0]["n"] - fingerprints.K + 1) if min(inner0[i : i + 8]) in (inner0[i], inner0[i + 7])]
-    assert [a["position"] for a in rows[0]["anchors"]] == want
-    assert len(rows[1]["anchors"]) == 1 and rows[2]["anchors"] == []
-
-
-def test_anchors_do_not_depend_on_context(spark):
+def plain_anchors(text):
+    """Anchors by the definition, a k-mer at a time."""
+    hashed = lambda x: int(fingerprints._hashes(np.array([ord(c) for c in x], np.uint32), None, len(x))[0])
+    inner = [hashed(text[i : i + 9]) for i in range(len(text) - 8)]
+    out = [(i, hashed(text[i : i + 24])) for i in range(len(text) - 23) if min(inner[i : i + 16]) in (inner[i], inner[i + 15])]
+    if not out and len(text) >= 24:
+        out = [min(((i, hashed(text[i : i + 24])) for i in range(len(text) - 23)), key=lambda x: x[1])]
+    return out
+
+
+def anchor_list(found):
+    return list(zip(*(x.tolist() for x in found), strict=True))
+
+
+def test_anchors_are_closed_syncmers(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("日本語 abcdeé😀") for _ in range(n)) for n in (1, 23, 24, 25, 26, 27, 30, 38, 39, 60, 500)] + ["", "a" * 40, "", "b" * 23]
+    for piece in (fingerprints.PIECE, 7, 100):
+        monkeypatch.setattr(fingerprints, "PIECE", piece)
+        for text, found in zip(texts, fingerprints.anchors(texts), strict=True):
+            if len(text) >= 24:
+                assert anchor_list(found) == plain_anchors(text)
+            else:
+                assert [p for p, _ in anchor_list(found)] == [0] * (text != "")
+    assert fingerprints.anchors([]) == []
+
+
+def test_anchors_do_not_depend_on_context():
     passage = " ".join(f"p{i * i % 97}" for i in range(60))
-    df = spark.createDataFrame([(f"some words before {passage} and after", f"quite another beginning of it all {passage}")], "a string, b string")
-    row = df.select(fingerprints.shared_anchors(fingerprints.anchors(F.col("a")), fingerprints.anchors(F.col("b"))).alias("s")).first()
-    shifts = [m["other"] - m["position"] for m in row["s"]]
-    assert len(shifts) >= 8 and shifts.count(3) >= 8
+    a, b = fingerprints.anchors([f"some words before {passage} and after", f"quite another beginning of it all {passage}"])
+    shifts = [y - x for x, y in zip(*fingerprints.matches(a, b), strict=True)]
+    assert len(shifts) >= 8 and shifts.count(16) >= 8
+
+
+def test_an_edit_of_a_text_without_spaces_leaves_anchors():
+    rng = random.Random(9)
+    text = "".join(rng.choice("日月火水木金土山川田人口") for _ in range(300))
+    a, b = fingerprints.anchors([text, text[:150] + "x" + text[151:]])
+    assert len(fingerprints.matches(a, b)[0]) >= 0.7 * len(a[0])
 
 
 def test_edited_fingerprints(docs, odd, empty):
@@ -407,47 +428,27 @@ def test_edited_fingerprints(docs, odd, empty):
     assert fingerprints.fingerprint(odd).count() == 12
 
 
-def test_character_anchors(spark):
-    rng = random.Random(8)
-    texts = ["".join(rng.choice("日本語 abcdeé") for _ in range(n)) for n in (1, 23, 24, 25, 26, 27, 30, 38, 60, 500)] + ["", "a" * 40]
-    code = F.encode("text", "UTF-32")
-    inner = F.when(F.length("text") >= 9, F.transform(F.sequence(F.lit(0), F.length("text") - 9), lambda i: F.xxhash64(F.encode(F.substring("text", i + 1, F.lit(9)), "UTF-32"))))
-    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", inner.alias("inner"), F.xxhash64(code).alias("whole"), fingerprints.character_anchors(F.col("text")).alias("anchors")).collect()
-    for r in rows:
-        n, got = len(r["text"]), [a["position"] for a in r["anchors"]]
-        want = [i for i in range(n - 23) if min(r["inner"][i : i + 16]) in (r["inner"][i], r["inner"][i + 15])]
-        assert got == want if want else len(got) == (n > 0)
-        if 0 < n < 24:
-            assert [a["hash"] for a in r["anchors"]] == [r["whole"]]
-
-
-def test_an_edit_of_a_text_without_spaces_leaves_anchors(spark):
-    rng = random.Random(9)
-    text = "".join(rng.choice("日月火水木金土山川田人口") for _ in range(300))
-    row = spark.createDataFrame([(text, text[:150] + "x" + text[151:])], "a string, b string").select(fingerprints.character_anchors(F.col("a")).alias("a"), fingerprints.character_anchors(F.col("b")).alias("b")).first()
-    a, b = ({x["hash"] for x in row[c]} for c in "ab")
-    assert len(a & b) >= 0.7 * len(a)
+def test_fingerprints_hold_every_anchor(docs, odd):
+    def digits(found):
+        return "".join(f"{p:08x}{h:016x}" for p, h in anchor_list(found))
 
+    def like(a, b):
+        a, b = (Counter(h for _, h in anchor_list(y)) for y in (a, b))
+        return (a & b).total() / (a | b).total() if a or b else 1.0
 
-def test_fingerprints_hold_every_anchor(spark, docs, odd):
     for df in (docs, odd):
         plain = sorted({(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()}, key=lambda x: (x[0] is not None, x[0] or 0))
-        texts = [(i, text, text[: len(text) - len(text) // 2] + after[: len(text) // 2]) for (i, text), (_, after) in zip(plain, plain[1:] + plain[:1], strict=True)]
-        made = spark.createDataFrame(texts, "i long, text string, edited string").select("i", *[fingerprints.character_anchors(F.col(c)).alias(c) for c in ("text", "edited")]).collect()
-        want = {r["i"]: r for r in made}
-        nexts = {i: after for (i, _), (after, _) in zip(plain, plain[1:] + plain[:1], strict=True)}
-
-        def digits(found):
-            return "".join(f"{x['position']:08x}{x['hash'] % 2**64:016x}" for x in found)
-
-        def like(a, b):
-            a, b = (Counter(x["hash"] for x in y) for y in (a, b))
-            return (a & b).total() / (a | b).total() if a or b else 1.0
-
+        want = {}
+        for (i, text), (_, after) in zip(plain, plain[1:] + plain[:1], strict=True):
+            edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+            own, new, following = (fingerprints.anchors([x])[0] for x in (text, edited, after))
+            assert len(text) > 3000 or len(text) < 24 or anchor_list(own) == plain_anchors(text)
+            want[i] = digits(own), digits(new), like(own, new), like(own, following)
         for r in fingerprints.edited_fingerprints(df).collect():
-            own, edited, after = want[r["doc_id"]]["text"], want[r["doc_id"]]["edited"], want[nexts[r["doc_id"]]]["text"]
-            assert r["fingerprint"] == digits(own) and r["edited_fingerprint"] == digits(edited)
-            assert abs(r["near_edited"] - like(own, edited)) < 1e-9 and abs(r["near_next"] - like(own, after)) < 1e-9
+            assert (r["fingerprint"], r["edited_fingerprint"]) == want[r["doc_id"]][:2]
+            assert (r["near_edited"], r["near_next"]) == pytest.approx(want[r["doc_id"]][2:], abs=1e-9)
+        for r in fingerprints.fingerprint(df).collect():
+            assert r["fingerprint"] == want[r["doc_id"]][0] == "".join(f"{x['position']:08x}{x['hash'] % 2**64:016x}" for x in r["anchors"])
 
 
 # --- lines -------------------------------------------------------------------------------------------
