@@ -20,19 +20,23 @@ def components(edges: DataFrame) -> DataFrame:
     stays short and a lost executor costs one round at most.  Null nodes are ignored; no edges, no rows."""
     links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     links = materialize(links, "links")
-    before = None
     for _ in range(MAX_ROUNDS):
-        links = materialize(_star(_star(links, large=True), large=False), "links")
-        now = tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("hi", "lo")), F.lit(0))).first())
-        if now == before:
+        if _flat(links):
             break
-        before = now
+        links = materialize(_star(_star(links, large=True), large=False), "links")
     else:
         raise RuntimeError("components did not converge")
     own = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(own)
 
 
+def _flat(links: DataFrame) -> bool:
+    """Whether every node of distinct links(hi, lo) hangs under one node only, and that one under none."""
+    end = lambda c, under: F.struct(F.col(c).alias("node"), F.lit(under).alias("under"), F.lit(1 - under).alias("over"))
+    ends = links.select(F.inline(F.array(end("hi", 1), end("lo", 0))))
+    return ends.groupBy("node").agg(F.sum("under").alias("under"), F.max("over").alias("over")).where("under + over > 1").isEmpty()
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links(hi, lo) after one star operation."""
     if large:
