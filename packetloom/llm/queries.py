@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, fingerprints, lang_id, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import chat_format, embedding_dedup, filter_audit, fingerprints, lang_id, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from ._common import id_crc, table
+from .sql import ORACLES as ORACLES
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -75,5 +76,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_join, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op7_embedding_dedup, op8_fingerprints, op9_mixing, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_join, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op7_embedding_dedup, op8_fingerprints, op9_mixing, op10_line_dedup, op11_filter_audit)}
