@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, embedding_dedup, filter_audit, fingerprints, lang_id, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from . import chat_format, conversation_repair, embedding_dedup, filter_audit, fingerprints, lang_id, line_dedup, mixing, ngram_join, packing, quality, token_files, toxicity
 from ._common import id_crc, table
 from .sql import ORACLES as ORACLES
 
@@ -80,8 +80,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()).drop("nth")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(*conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_join, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op7_embedding_dedup, op8_fingerprints, op9_mixing, op10_line_dedup, op11_filter_audit, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_join, op3_chat_format, op4_language_id, op5_quality_classifier, op6_toxicity, op7_embedding_dedup, op8_fingerprints, op9_mixing, op10_line_dedup, op11_filter_audit, op12_token_files, op13_conversation_repair)}
