@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import finite, quantiles
+
 QUASI_CONSTANT, CORRELATED = 0.999, 0.98
 WEIGHTS = ("unweighted", "balanced", "sqrt_balanced", "capped_balanced", "effective_samples")
 
@@ -61,27 +63,22 @@ def correlations(df: DataFrame, columns: Sequence[str], least: float = CORRELATE
     return row.select(F.inline(F.array(*entries))).where(F.col("correlation") > least)
 
 
-def _finite(c: str) -> Column:
-    d = F.col(f"`{c}`").cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
-
-
 def scaler_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """feature, median, mean, std: mean and population deviation after missing values are the median; a deviation of
-    0 is 1, a median of nothing 0."""
-    medians = df.agg(*[F.percentile(_finite(c), 0.5).alias(f"_m{i}") for i, c in enumerate(columns)])
-    moments = df.agg(*[x for i, c in enumerate(columns) for x in (F.count(_finite(c)).alias(f"_n{i}"), F.avg(_finite(c)).alias(f"_a{i}"), F.var_pop(_finite(c)).alias(f"_v{i}"))], F.count(F.lit(1)).alias("_rows"))
-    both = medians.crossJoin(moments)  # one row each
+    0 is 1, a median of nothing 0.  The medians are found by distributed selection when this is called."""
+    xs = [finite(F.col(f"`{c}`")) for c in columns]
+    medians = quantiles(df, dict(zip(columns, xs, strict=True)), [0.5])
+    moments = df.agg(*[x for i, c in enumerate(xs) for x in (F.count(c).alias(f"_n{i}"), F.avg(c).alias(f"_a{i}"), F.var_pop(c).alias(f"_v{i}"))], F.count(F.lit(1)).alias("_rows"))
 
     def entry(i: int, c: str) -> Column:
-        median, n, mean, var = F.coalesce(f"_m{i}", F.lit(0.0)), F.col(f"_n{i}"), F.coalesce(f"_a{i}", F.lit(0.0)), F.coalesce(f"_v{i}", F.lit(0.0))
+        median, n, mean, var = F.lit(medians[c][0] or 0.0), F.col(f"_n{i}"), F.coalesce(f"_a{i}", F.lit(0.0)), F.coalesce(f"_v{i}", F.lit(0.0))
         share = F.coalesce(F.try_divide(n, F.col("_rows")), F.lit(0.0))
         filled = mean * share + median * (1 - share)
         spread = var * share + share * (mean - filled) * (mean - filled) + (1 - share) * (median - filled) * (median - filled)
         std = F.sqrt(F.greatest(spread, F.lit(0.0)))
         return F.struct(F.lit(c).alias("feature"), median.alias("median"), filled.alias("mean"), F.when(std > 0, std).otherwise(1.0).alias("std"))
 
-    return both.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+    return moments.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, profile
+from . import profile
+from .quantiles import finite
 from .taxonomy import CLASSES, reject_mac, route_row
 
 # --- fixed values: multipliers that are tried ------------------------------------------------------
@@ -68,9 +69,7 @@ class Preprocessor:
 
 
 def standardized(c: Column, median: float, mean: float, std: float) -> Column:
-    d = c.cast("double")
-    finite = F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
-    return (F.coalesce(finite, F.lit(median)) - mean) / std
+    return (F.coalesce(finite(c), F.lit(median)) - mean) / std
 
 
 # --- posteriors ----------------------------------------------------------------------------------
@@ -121,34 +120,58 @@ def threshold_grid(df: DataFrame, p: str, true: str, n_classes: int, benign: int
     )
 
 
-def _evaluate(df: DataFrame, p: str, true: str, multipliers: Sequence[float]) -> tuple[float, float, dict[int, float]]:
+def minority_cells(df: DataFrame, p: str, true: str, targets: Sequence[int], multipliers: Sequence[float], scales: Sequence[float] = MINORITY_SCALES) -> DataFrame:
+    """target, true_id, other_id, turn, n.  With the other multipliers as they are, a larger one of the target class can only
+    turn a row to it: turn is the number of scales (sorted) that leave the row at other_id, the class that wins without the
+    target.  So one aggregation, with a row for few cells, has the predictions of every scale of every target."""
     scaled = F.zip_with(F.col(p), F.array(*[F.lit(float(m)) for m in multipliers]), lambda x, m: x * m)
-    rows = metrics.per_class(df.select(F.col(true).alias("true_id"), argmax(scaled).alias("pred_id")), len(multipliers)).collect()  # a row for each class
-    total = sum(r["support"] for r in rows) or 1
-    return sum(r["tp"] for r in rows) / total, sum(r["f1"] for r in rows) / len(rows), {r["class_id"]: r["recall"] for r in rows}
+
+    def cell(c: int) -> Column:
+        others = F.transform("_q", lambda x, i: F.when(i != c, x).otherwise(float("-inf")))
+        best = F.array_max(others)
+        wins = lambda m: (F.get(p, F.lit(c)) * m > best) | ((F.get(p, F.lit(c)) * m == best) & (argmax(others) > c))
+        turn = F.size(F.filter(F.array(*[F.lit(float(m)) for m in sorted(scales)]), lambda m: ~wins(m)))
+        return F.struct(F.lit(c).alias("target"), F.col(true).cast("int").alias("true_id"), argmax(others).alias("other_id"), turn.alias("turn"))
+
+    cells = df.withColumn("_q", scaled).select(F.inline(F.array(*[cell(c) for c in targets])))
+    return cells.groupBy("target", "true_id", "other_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+
+
+def minority_trials(df: DataFrame, p: str, true: str, n_classes: int, targets: Sequence[int], multipliers: Sequence[float] | None = None, scales: Sequence[float] = MINORITY_SCALES) -> DataFrame:
+    """target, multiplier, accuracy, macro_f1, recall (of the target) of each target class times each scale."""
+    steps = sorted(scales)
+    cells = minority_cells(df, p, true, targets, multipliers or [1.0] * n_classes, scales)
+    tried = cells.select("target", F.posexplode(F.array(*[F.lit(float(m)) for m in steps])).alias("step", "multiplier"), "true_id", F.when(F.col("turn") > F.col("step"), F.col("other_id")).otherwise(F.col("target")).alias("pred_id"), "n")
+    hit = F.when(F.col("true_id") == F.col("pred_id"), F.col("n")).otherwise(0)
+    zero = F.lit(0).cast("long")
+    sides = F.inline(F.array(F.struct(F.col("true_id").alias("c"), F.col("n").alias("of"), zero.alias("as"), hit.alias("tp")), F.struct(F.col("pred_id").alias("c"), zero.alias("of"), F.col("n").alias("as"), zero.alias("tp"))))
+    classes = tried.select("target", "multiplier", sides).groupBy("target", "multiplier", "c").agg(F.sum("of").alias("of"), F.sum("as").alias("as"), F.sum("tp").alias("tp"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("of") + F.col("as")), F.lit(0.0))
+    own = F.col("c") == F.col("target")
+    recall = F.coalesce(F.try_divide(F.sum(F.when(own, F.col("tp"))).cast("double"), F.sum(F.when(own, F.col("of")))), F.lit(0.0))
+    return classes.groupBy("target", "multiplier").agg((F.sum("tp") / F.sum("of")).alias("accuracy"), (F.sum(f1) / n_classes).alias("macro_f1"), recall.alias("recall"))
 
 
 def tune_thresholds(df: DataFrame, p: str, true: str, n_classes: int, benign: int = 0, tune_minority: bool = True) -> dict:
     """Multipliers that raise macro F1 on validation rows: first the benign class's, then, one class at a time, those of
-    classes of low recall.  df should be cached: each trial is one aggregation."""
-    best = [1.0] * n_classes
-    accuracy, f1, recalls = base = _evaluate(df, p, true, best)
-    profiles = []
-    for row in sorted(threshold_grid(df, p, true, n_classes, benign).collect(), key=lambda r: r["multiplier"]):
+    classes of low recall.  One aggregation has all trials of a class, so there are as many jobs as classes at most."""
+    grid = sorted(threshold_grid(df, p, true, n_classes, benign, sorted({1.0, *BENIGN_SCALES})).collect(), key=lambda r: r["multiplier"])
+    plain = next((r for r in grid if r["multiplier"] == 1.0), None)
+    base = (plain["accuracy"], plain["macro_f1"]) if plain else (0.0, 0.0)
+    (accuracy, f1), best, profiles = base, [1.0] * n_classes, []
+    for row in grid:
         profiles.append({"target": benign, **row.asDict()})
         if row["macro_f1"] > f1 or abs(row["macro_f1"] - f1) < CLOSE_F1 and row["accuracy"] > accuracy:
             f1, accuracy, best[benign] = row["macro_f1"], row["accuracy"], row["multiplier"]
-    if tune_minority and n_classes > 2:
-        _, _, recalls = _evaluate(df, p, true, best)
-        for c in (c for c in range(n_classes) if c != benign):
-            if recalls[c] >= LOW_RECALL:
-                continue
-            for scale in MINORITY_SCALES:
-                trial = [*best[:c], scale, *best[c + 1 :]]
-                a, f, r = _evaluate(df, p, true, trial)
-                if f > f1 and a >= max(0.0, accuracy - ACCURACY_DROP):
-                    f1, accuracy, recalls, best = f, a, r, trial
-                    profiles.append({"target": c, "multiplier": scale, "macro_f1": f, "accuracy": a})
+    for c in (c for c in range(n_classes) if c != benign and tune_minority and n_classes > 2):
+        trials = {r["multiplier"]: r for r in minority_trials(df, p, true, n_classes, [c], best, [*MINORITY_SCALES, best[c]]).collect()}
+        if not trials or trials[best[c]]["recall"] >= LOW_RECALL:
+            continue
+        for scale in MINORITY_SCALES:
+            row = trials[scale]
+            if row["macro_f1"] > f1 and row["accuracy"] >= max(0.0, accuracy - ACCURACY_DROP):
+                f1, accuracy, best[c] = row["macro_f1"], row["accuracy"], scale
+                profiles.append({"target": c, "multiplier": scale, "macro_f1": f1, "accuracy": accuracy})
     return {"multipliers": best, "baseline": {"accuracy": base[0], "macro_f1": base[1]}, "optimized": {"accuracy": accuracy, "macro_f1": f1}, "profiles": profiles}
 
 

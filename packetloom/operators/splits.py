@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import smallest
+
 
 def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
@@ -70,10 +72,26 @@ def sample_metadata(df: DataFrame, label: str, max_samples: int | None) -> DataF
     )
 
 
+def bottom(df: DataFrame, label: str, key: str, n: int, seed: int = 42, counts: Mapping | None = None) -> DataFrame:
+    """The n rows of each label with the smallest seeded hashes, all of a smaller label; few labels are expected.
+
+    The n-th smallest hash of each label is found by distributed selection, so that only rows that are chosen (and ties of the
+    hash's first 52 bits) are ranked.  counts: rows of each label, if they are known."""
+    known = counts if counts is not None else {r[0]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each label
+    place = F.conv(F.substring(seeded(key, seed), 1, 13), 16, 10).cast("double")
+    own = lambda value: F.col(f"`{label}`").eqNullSafe(F.lit(value))
+    large = [value for value, rows in known.items() if rows > n]
+    last = smallest(df, {str(i): F.when(own(value), place) for i, value in enumerate(large)}, {str(i): n - 1 for i in range(len(large))})
+    near = F.lit(True)
+    for i, value in enumerate(large):
+        near = F.when(own(value), place <= last[str(i)]).otherwise(near)
+    return per_class_head(df.where(near), label, key, n, seed)
+
+
 def minority_sample(df: DataFrame, label: str, key: str, max_samples: int, seed: int = 42) -> DataFrame:
-    """max(1, max_samples // labels) rows of each label, all of a smaller one."""
-    labels = df.select(label).distinct().agg(F.greatest(F.lit(1), F.floor(F.lit(max_samples) / F.greatest(F.count(F.lit(1)), F.lit(1)))).alias("_cap"))
-    return ranked(df, label, key, seed).crossJoin(F.broadcast(labels)).where("_rn <= _cap").drop("_rn", "_n", "_cap")  # one row
+    """max(1, max_samples // labels) rows of each label, all of a smaller one; a null label is one."""
+    counts = {r[0]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each label
+    return bottom(df, label, key, max(1, max_samples // max(1, len(counts))), seed, counts)
 
 
 STRATEGIES = ("train_val_test", "train_test", "train_val_as_test")

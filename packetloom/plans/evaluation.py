@@ -139,6 +139,17 @@ def threshold_grid(spark, d):
     return _r6(score.threshold_grid(posteriors(spark, d), "p", "true_id", 7), ("accuracy", "macro_f1", "benign_fpr"))
 
 
+_MINORITY = f"SELECT c AS target, m AS multiplier, true_id, (list_position(q, list_max(q)) - 1)::INT AS pred_id FROM (SELECT c, m, true_id, list_transform(list_zip(p, range(0, 7)), lambda x: CASE WHEN x[2] = c THEN x[1] * m ELSE x[1] END) AS q FROM posteriors, (SELECT unnest({list(score.MINORITY_SCALES)})::DOUBLE AS m), (SELECT unnest(range(1, 7))::INT AS c))"
+
+
+@R.add(sql(f"""SELECT target, multiplier, round(sum(tp) / any_value(total), 6)::DOUBLE AS accuracy, round(sum(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) / 7, 6)::DOUBLE AS macro_f1,
+  round(coalesce(sum(CASE WHEN c = target THEN tp END) / nullif(sum(CASE WHEN c = target THEN tp + fn END), 0), 0), 6)::DOUBLE AS recall
+  FROM (SELECT target, multiplier, c, count(*) FILTER (true_id = c AND pred_id = c) AS tp, count(*) FILTER (true_id <> c AND pred_id = c) AS fp, count(*) FILTER (true_id = c AND pred_id <> c) AS fn, count(*) AS total FROM ({_MINORITY}), (SELECT unnest(range(0, 7)) AS c) GROUP BY ALL) GROUP BY target, multiplier""", "posteriors"))
+def threshold_minority_grid(spark, d):
+    """Every scale of every class but the benign one, from one aggregation of the scales at which rows turn."""
+    return _r6(score.minority_trials(posteriors(spark, d), "p", "true_id", 7, range(1, 7)), ("accuracy", "macro_f1", "recall"))
+
+
 @R.add(sql("SELECT key, " + ", ".join(f"(true_id = {i})::INT::DOUBLE AS p{i}" for i in range(3)) + " FROM posteriors", "posteriors"))
 def one_hot_posterior(spark, d):
     return posteriors(spark, d).select("key", *[F.get(score.one_hot(F.col("true_id")), F.lit(i)).alias(f"p{i}") for i in range(3)])

@@ -88,6 +88,37 @@ def threshold_rule_sliding(spark, d):
     return rules.sliding_rate(packets(spark, d), has_flag(F.col("tcp_flags"), "syn"), "src_ip", 3, 3600).select("seq", "src_ip", "hits")
 
 
+_HITS = " UNION ALL ".join(f"SELECT {sid} AS sid, {c} AS class_id, {by} AS address, ts FROM packets WHERE {p}" for sid, c, p, by in _RATES)
+_STARTS = """SELECT sid, class_id, address, min(ts) AS s FROM hits GROUP BY ALL UNION ALL
+  SELECT sid, class_id, address, min(h.ts) FROM starts JOIN hits h USING (sid, class_id, address) WHERE h.ts >= s + 86400 GROUP BY sid, class_id, address, s"""
+
+
+@R.add(sql("""SELECT sid, class_id, address, s AS interval_start, list_sort(list(ts))[2] AS alert_at, count(*) AS hits FROM starts JOIN hits USING (sid, class_id, address)
+  WHERE ts >= s AND ts < s + 86400 GROUP BY sid, class_id, address, s HAVING count(*) >= 2""", "packets").replace("WITH packets", "WITH RECURSIVE packets", 1).replace(" SELECT sid, class_id, address, s AS", f", hits AS ({_HITS}), starts AS ({_STARTS}) SELECT sid, class_id, address, s AS", 1))
+def threshold_rule_once(spark, d):
+    """The rate rules with one alert for each interval, scaled as above: each interval begins with a packet."""
+    return rules.alert_once(packets(spark, d), scale=(2, 86_400))
+
+
+_PAIR = "ip_a, ip_b, port_a, port_b"
+_SHAKES = f""", h AS (SELECT {_PAIR}, is_fwd, (ts, seq) AS moment, tcp_flags & 23 AS f FROM keyed WHERE proto = 6),
+  s AS (SELECT {_PAIR}, is_fwd, min(moment) AS syn FROM h WHERE f = 2 GROUP BY ALL),
+  a AS (SELECT {_PAIR}, s.is_fwd, min(h.moment) AS syn_ack FROM s JOIN h USING ({_PAIR}) WHERE f = 18 AND h.is_fwd <> s.is_fwd AND h.moment > syn GROUP BY {_PAIR}, s.is_fwd),
+  e AS (SELECT {_PAIR}, min(h.moment) AS done FROM a JOIN h USING ({_PAIR}) WHERE f = 16 AND h.is_fwd = a.is_fwd AND h.moment > syn_ack GROUP BY {_PAIR})"""
+
+
+@R.add(sql(f"SELECT {_PAIR}, done[1] AS established_ts, done[2] AS established_seq FROM e", *FLOW).replace(f" SELECT {_PAIR}, done", f"{_SHAKES} SELECT {_PAIR}, done", 1))
+def established_connections(spark, d):
+    done = rules.handshakes(packets(spark, d))
+    return done.select("ip_a", "ip_b", "port_a", "port_b", F.col("established.ts").alias("established_ts"), F.col("established.order").alias("established_seq"))
+
+
+@R.add(sql(f"SELECT seq, coalesce(proto = 6 AND (ts, seq) >= done, false) AS established FROM keyed LEFT JOIN e USING ({_PAIR})", *FLOW).replace(" SELECT seq, coalesce", f"{_SHAKES} SELECT seq, coalesce", 1))
+def established_packets(spark, d):
+    """Whether a packet belongs to a connection whose handshake is complete."""
+    return rules.with_established(packets(spark, d)).select("seq", "established")
+
+
 @R.add(sql("SELECT seq, CASE tcp_flags & 63 WHEN 41 THEN 9000100 WHEN 0 THEN 9000101 ELSE 9000102 END AS sid, 10 AS class_id FROM packets WHERE proto = 6 AND tcp_flags & 63 IN (41, 0, 3)", "packets"))
 def flag_rules(spark, d):
     return rules.match_packets(packets(spark, d), (9000100, 9000101, 9000102)).select("seq", "sid", "class_id")
