@@ -1,19 +1,21 @@
-"""Specialists on Spark ML: candidates, selection by validation macro F1, gates, one test, metadata."""
+"""Specialists on Spark ML and boosting: candidates, selection by validation macro F1, gates, one test, metadata."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import exists
-from . import metrics, profile
+from . import boosting, metrics, profile
+from .boosting import Boosted, Settings
 from .score import Preprocessor, argmax, rescaled, tune_thresholds
 from .taxonomy import SPECIALISTS, specialist
 
@@ -27,28 +29,24 @@ FORESTS = {
     "ExtraTrees_Candidate": {"trees": 40, "depth": 18, "leaf": 5, "share": 1.0, "subset": "sqrt"},
 }
 SINGLE_TREES = {"DecisionTree": {"depth": 15, "leaf": 1}, "DecisionTree_Baseline": {"depth": 15, "leaf": 5}, "DecisionTree_Tuned": {"depth": 18, "leaf": 5}}
-#: A limit of leaves (63, 31) becomes the depth that holds as many.
+_DEEP = {"step": 0.1, "share": 0.8, "features": 0.8}
+_LEAFWISE = {"depth": None, "weight": 1e-3, "penalty": 0.0, "curvature": 1.0, "prior": True, "bins": 255}
 BOOSTED = {
-    "XGBoost": {"rounds": 50, "depth": 6, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
-    "XGBoost_Baseline": {"rounds": 50, "depth": 6, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
-    "XGBoost_Tuned": {"rounds": 80, "depth": 7, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
-    "XGBoost_Unweighted": {"rounds": 80, "depth": 7, "step": 0.1, "share": 0.8, "features": 0.8, "leaf": 1, "bins": 256},
-    "HistGradientBoosting": {"rounds": 150, "depth": 6, "step": 0.08, "share": 1.0, "features": 1.0, "leaf": 20, "bins": 255},
-    "HistGradientBoosting_Candidate": {"rounds": 60, "depth": 5, "step": 0.1, "share": 1.0, "features": 1.0, "leaf": 50, "bins": 255},
+    "XGBoost": Settings(rounds=50, depth=6, **_DEEP),
+    "XGBoost_Baseline": Settings(rounds=50, depth=6, **_DEEP),
+    "XGBoost_Tuned": Settings(rounds=80, depth=7, **_DEEP),
+    "XGBoost_Unweighted": Settings(rounds=80, depth=7, **_DEEP),
+    "HistGradientBoosting": Settings(rounds=150, step=0.08, leaves=63, leaf=20, patience=10, **_LEAFWISE),
+    "HistGradientBoosting_Candidate": Settings(rounds=60, step=0.1, leaves=31, leaf=50, patience=5, **_LEAFWISE),
 }
 #: How rows are weighted unless it is said.
 WEIGHTS = {"DecisionTree": "balanced", "DecisionTree_Baseline": "balanced", "RandomForest": "balanced", "RandomForest_Baseline": "balanced", "ExtraTrees": "balanced", "XGBoost": "balanced", "XGBoost_Baseline": "balanced", "XGBoost_Unweighted": "unweighted"}
+#: Other names, in small letters; each may have candidate_ in front.
 ALIASES = {
-    "DecisionTree": ("decisiontree", "decision_tree", "dt", "tree"),
-    "RandomForest": ("randomforest", "random_forest", "rf", "forest"),
-    "XGBoost": ("xgboost", "xgb"),
-    "HistGradientBoosting": ("histgradientboosting", "hist_gradient_boosting", "hgb", "candidate_histgradientboosting"),
-    "ExtraTrees": ("extratrees", "extra_trees", "et", "candidate_extratrees"),
-    "DecisionTree_Tuned": ("decisiontree_tuned", "decision_tree_tuned", "dt_tuned", "candidate_decisiontree_tuned", "candidate_decision_tree_tuned"),
-    "DecisionTree_Baseline": ("decisiontree_baseline", "candidate_decisiontree_baseline"),
-    "RandomForest_Tuned": ("randomforest_tuned", "rf_tuned", "candidate_randomforest_tuned"),
-    "XGBoost_Tuned": ("xgboost_tuned", "xgb_tuned", "candidate_xgboost_tuned"),
-}
+    "decision_tree": "DecisionTree", "dt": "DecisionTree", "tree": "DecisionTree", "random_forest": "RandomForest", "rf": "RandomForest", "forest": "RandomForest", "xgb": "XGBoost",
+    "hist_gradient_boosting": "HistGradientBoosting", "hgb": "HistGradientBoosting", "extra_trees": "ExtraTrees", "et": "ExtraTrees",
+    "decision_tree_tuned": "DecisionTree_Tuned", "dt_tuned": "DecisionTree_Tuned", "decision_tree_baseline": "DecisionTree_Baseline", "rf_tuned": "RandomForest_Tuned", "xgb_tuned": "XGBoost_Tuned",
+}
 #: Least validation accuracy and macro F1 of a specialist that may be published; for tuned models of CICIoT2023, and the least
 #: macro F1 with thresholds there.
 GATES = {"IDS2018": (0.95, 0.80), "CICIoT2023": (0.95, 0.69)}
@@ -56,23 +54,19 @@ TUNED_GATES, TUNED_CALIBRATED_F1 = {"CICIoT2023": (0.985, 0.75)}, 0.78
 #: Models that are looked for where no metadata name one, and after those.
 DEFAULT_MODELS = {"IDS2018": ("DecisionTree_Tuned", "DecisionTree"), "CICIoT2023": ("XGBoost_Tuned", "XGBoost"), "DNS_Tunneling": ("RandomForest", "DecisionTree")}
 OTHER_MODELS = ("DecisionTree", "RandomForest", "XGBoost")
-#: Models.  Boosted trees are one-vs-rest, as Spark's are binary; extra trees are forests without bootstrap whose thresholds
-#: are searched, not drawn.
+#: Models.  Extra trees are forests without bootstrap whose thresholds are searched, not drawn.
 MODELS = (*SINGLE_TREES, *FORESTS, *BOOSTED)
+_BY_NAME = {m.lower(): m for m in MODELS} | ALIASES
 
 
 def model_name(name: str) -> str:
     """The model of a name or alias, with or without candidate_ in front; an unknown name stays as it is."""
     low = name.strip().lower()
-    bare = low.removeprefix("candidate_")
-    for own in MODELS:
-        if {low, bare} & {own.lower(), *ALIASES.get(own, ())}:
-            return own
-    return name.strip()
+    return _BY_NAME.get(low) or _BY_NAME.get(low.removeprefix("candidate_")) or name.strip()
 
 
 def classifier(name: str, seed: int = 42, smoke: bool = False):
-    """A model by its settings; smoke: the few, shallow trees of a trial run."""
+    """An estimator, or settings of boosting, by a model's name; smoke: the few, shallow trees of a trial run."""
     own = model_name(name)
     common = {"labelCol": "label_id", "featuresCol": "vector", "seed": seed}
     weighted = common | {"weightCol": "sample_weight", "maxBins": 64}
@@ -84,10 +78,7 @@ def classifier(name: str, seed: int = 42, smoke: bool = False):
         bootstrap = not own.startswith("ExtraTrees")
         return RandomForestClassifier(numTrees=forest["trees"], maxDepth=forest["depth"], minInstancesPerNode=forest["leaf"], featureSubsetStrategy=forest["subset"], subsamplingRate=forest["share"], bootstrap=bootstrap, **weighted)
     if own in BOOSTED:
-        trees = BOOSTED[own] | ({"rounds": 3, "depth": 3, "leaf": 2} if smoke else {})
-        subset = "all" if trees["features"] == 1 else str(trees["features"])
-        boosted = GBTClassifier(maxIter=trees["rounds"], maxDepth=trees["depth"], stepSize=trees["step"], subsamplingRate=trees["share"], featureSubsetStrategy=subset, minInstancesPerNode=trees["leaf"], maxBins=trees["bins"], **common)
-        return OneVsRest(classifier=boosted, featuresCol="vector", labelCol="label_id", weightCol="sample_weight")
+        return replace(BOOSTED[own], seed=seed, **({"rounds": 3, "depth": 3, "leaf": 2, "patience": None} if smoke else {}))
     raise ValueError(f"unknown model: {name}")
 
 
@@ -109,11 +100,13 @@ def is_stale(cached_rows: int, rows: int | None) -> bool:
     return cached_rows <= 10 < rows or cached_rows < 1000 <= rows or rows > 100 and cached_rows < rows * 0.5
 
 
-def fit(train: DataFrame, pre: Preprocessor, label: str, name: str, weights: str = "sqrt_balanced", seed: int = 42, smoke: bool = False) -> PipelineModel:
+def fit(train: DataFrame, pre: Preprocessor, label: str, name: str, weights: str = "sqrt_balanced", seed: int = 42, smoke: bool = False) -> PipelineModel | Boosted:
     """Model on preprocessed, encoded and weighted rows."""
     ready = pre.encode(pre.transform(profile.with_sample_weights(train, label, weights)), label)
     ready = ready.withColumns({"label_id": F.col("label_id").cast("double"), "sample_weight": F.col("sample_weight").cast("double")})
     safe = _safe_names(pre.features)
+    if model_name(name) in BOOSTED:
+        return boosting.fit(_renamed(ready, safe), list(safe.values()), "label_id", len(pre.classes), classifier(name, seed, smoke), "sample_weight")
     return Pipeline(stages=[VectorAssembler(inputCols=list(safe.values()), outputCol="vector"), classifier(name, seed, smoke)]).fit(_renamed(ready, safe))
 
 
@@ -125,23 +118,16 @@ def _renamed(df: DataFrame, safe: Mapping[str, str]) -> DataFrame:
     return df.withColumns({new: F.col(f"`{old}`").cast("double") for old, new in safe.items()})
 
 
-def predict(df: DataFrame, pre: Preprocessor, model: PipelineModel) -> DataFrame:
-    """df with probabilities (local, softmax of the margins where a model has none), predicted_local, confidence."""
-    safe = _safe_names(pre.features)
-    out = model.transform(_renamed(pre.transform(df), safe))
+def predict(df: DataFrame, pre: Preprocessor, model: PipelineModel | Boosted) -> DataFrame:
+    """df with probabilities (local), predicted_local, confidence."""
+    out = model.transform(_renamed(pre.transform(df), _safe_names(pre.features)))
     if "probability" in out.columns:
-        p = vector_to_array("probability")
-    else:
-        raw = vector_to_array("rawPrediction")
-        high = F.array_max(raw)
-        p = F.transform(raw, lambda x: F.exp(x - high))
-        total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-        p = F.transform(p, lambda x: x / total)
-    out = out.withColumns({"probabilities": p, "predicted_local": F.col("prediction").cast("int")}).withColumn("confidence", F.array_max("probabilities"))
+        out = out.withColumn("probabilities", vector_to_array("probability"))
+    out = out.withColumn("predicted_local", F.col("prediction").cast("int")).withColumn("confidence", F.array_max("probabilities"))
     return out.select(*[f"`{c}`" for c in df.columns], "probabilities", "predicted_local", "confidence")
 
 
-def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel, label: str, multipliers: Sequence[float] | None = None) -> dict[str, float]:
+def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel | Boosted, label: str, multipliers: Sequence[float] | None = None) -> dict[str, float]:
     """Metrics of a model, with each class's probability times its multiplier if there are any."""
     scored = pre.encode(predict(df, pre, model), label, "true_id")
     found = F.col("predicted_local") if multipliers is None else argmax(rescaled(F.col("probabilities"), multipliers))
@@ -150,13 +136,14 @@ def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel, label: str,
 
 def train_specialist(name: str, train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], classes: Sequence[str], label: str = "final_label", models: Sequence[str] = ("DecisionTree", "RandomForest"), weights: str | None = None, screen: DataFrame | None = None, top_k: int = 2, seed: int = 42, done: dict | None = None, thresholds: bool = False) -> dict:
     """Fits candidates (with screen: all on it first, then the top_k on train), picks by validation macro F1 and accuracy,
-    applies the gates, tests once.  done: results by model of an earlier run, which are not repeated.  thresholds: each
-    finalist's multipliers are tuned on val, and candidates are compared with them."""
+    applies the gates, tests once.  done: results by model of an earlier run, which are not repeated unless they are stale for the
+    rows that are there now (train_rows says what they were fitted on).  thresholds: each finalist's multipliers are tuned on val, and candidates are compared with them."""
     own = specialist(name)
     pre = Preprocessor.fit(train, features, classes)
     pre.validate(classes)
-    results: dict[str, dict] = dict(done or {})
-    fitted: dict[str, PipelineModel] = {}
+    n_rows = train.count()
+    results = {m: r for m, r in (done or {}).items() if not is_stale(r.get("train_rows", n_rows), n_rows)}
+    fitted: dict[str, PipelineModel | Boosted] = {}
     candidates = [model_name(m) for m in models]
     by_value = lambda found: lambda m: (-found[m]["macro_f1"], -found[m]["accuracy"], m)
     how = lambda m: weights or WEIGHTS.get(m, "sqrt_balanced")
@@ -166,11 +153,11 @@ def train_specialist(name: str, train: DataFrame, val: DataFrame, test: DataFram
     for m in candidates:
         if m not in results:
             fitted[m] = fit(train, pre, label, m, how(m), seed)
-            results[m] = evaluate(val, pre, fitted[m], label)
+            results[m] = evaluate(val, pre, fitted[m], label) | {"train_rows": n_rows}
             if thresholds:
                 scored = pre.encode(predict(val, pre, fitted[m]), label, "true_id")
                 multipliers = list(tune_thresholds(scored, "probabilities", "true_id", len(classes))["multipliers"])
-                results[m] = evaluate(val, pre, fitted[m], label, multipliers) | {"multipliers": multipliers, "plain": results[m]}
+                results[m] = evaluate(val, pre, fitted[m], label, multipliers) | {"multipliers": multipliers, "plain": results[m], "train_rows": n_rows}
     best = sorted(candidates, key=by_value(results))[0]
     model = fitted.get(best) or fit(train, pre, label, best, how(best), seed)
     found = results[best]
@@ -182,8 +169,12 @@ def train_specialist(name: str, train: DataFrame, val: DataFrame, test: DataFram
 
 def save(found: dict, path: str) -> None:
     """Model and metadata, readable by every executor: both go through Spark's file systems.  The model lies under its name."""
-    spark = found["model"].stages[0]._java_obj and SparkSession.getActiveSession()
-    found["model"].write().overwrite().save(f"{path}/{found['best_model']}")
+    spark = SparkSession.getActiveSession()
+    place = f"{path}/{found['best_model']}"
+    if isinstance(found["model"], Boosted):
+        boosting.save(found["model"], spark, f"{place}/boosted")
+    else:
+        found["model"].write().overwrite().save(place)
     meta = {k: found.get(k) for k in ("specialist", "best_model", "multipliers", "validation", "passed_gates", "test")} | {"preprocessor": vars(found["preprocessor"])}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
@@ -206,7 +197,8 @@ def load(spark: SparkSession, path: str) -> dict:
         raise FileNotFoundError(f"no specialist in {path}")
     meta = json.loads(spark.read.text(places[0]).first()[0])
     best, place = find_model(spark, path, meta["specialist"], meta.get("best_model"))
-    return meta | {"best_model": best, "model": PipelineModel.load(place), "preprocessor": Preprocessor(**meta["preprocessor"])}
+    model = boosting.load(spark, f"{place}/boosted") if exists(spark, f"{place}/boosted") else PipelineModel.load(place)
+    return meta | {"best_model": best, "model": model, "preprocessor": Preprocessor(**meta["preprocessor"])}
 
 
 class Registry:

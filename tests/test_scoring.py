@@ -81,8 +81,20 @@ def test_training(spark, tmp_path):
     assert all(sum(r["posterior"]) == pytest.approx(1.0) and len(r["posterior"]) == 13 for r in out)
 
 
-def test_boosted_model_has_posteriors(spark):
+def test_boosted_model_has_posteriors(spark, tmp_path):
     df = spark.range(120).select((F.col("id") % 3).cast("double").alias("x"), F.rand(2).alias("y"), F.element_at(F.array(F.lit("Benign"), F.lit("ARP Spoofing"), F.lit("DoS")), (F.col("id") % 3 + 1).cast("int")).alias("final_label")).cache()
     pre = score.Preprocessor.fit(df, ["x", "y"], taxonomy.SPECIALISTS["ARP_Spoofing"])
-    model = train.fit(df, pre, "final_label", "HistGradientBoosting")
+    model = train.fit(df, pre, "final_label", "HistGradientBoosting", smoke=True)
     assert train.evaluate(df, pre, model, "final_label")["accuracy"] == 1.0
+    found = {"specialist": "ARP_Spoofing", "best_model": "HistGradientBoosting", "model": model, "preprocessor": pre, "multipliers": None}
+    train.save(found, str(tmp_path / "ARP_Spoofing"))
+    again = train.load(spark, str(tmp_path / "ARP_Spoofing"))
+    assert again["model"] == model and train.evaluate(df, again["preprocessor"], again["model"], "final_label")["accuracy"] == 1.0
+
+
+def test_stale_results_are_fitted_again(spark):
+    df = spark.range(300).select(F.col("id").alias("key"), (F.col("id") % 2).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "Benign").otherwise("IP Spoofing").alias("final_label")).cache()
+    old = {"accuracy": 0.5, "macro_f1": 0.5}
+    train_on = lambda rows: train.train_specialist("5g", df, df, df, ["x"], taxonomy.SPECIALISTS["IP_Spoofing"], models=("DecisionTree",), done={"DecisionTree": old | {"train_rows": rows}})["validation"]
+    assert train_on(10)["DecisionTree"]["accuracy"] == 1.0 and train_on(100)["DecisionTree"]["train_rows"] == 300  # a stub, and less than half
+    assert train_on(200)["DecisionTree"]["accuracy"] == 0.5

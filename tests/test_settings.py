@@ -45,10 +45,12 @@ def test_model_settings():
     assert (tuned.getNumTrees(), tuned.getMaxDepth(), tuned.getSubsamplingRate()) == (40, 18, 0.4)
     extra = train.classifier("ExtraTrees")
     assert (extra.getNumTrees(), extra.getMaxDepth(), extra.getBootstrap()) == (60, 20, False)
-    boosted = train.classifier("XGBoost_Tuned").getClassifier()
-    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getSubsamplingRate(), boosted.getFeatureSubsetStrategy()) == (80, 7, 0.8, "0.8")
-    hist = train.classifier("HistGradientBoosting").getClassifier()
-    assert (hist.getMaxIter(), 2 ** hist.getMaxDepth() - 1, hist.getStepSize(), hist.getMinInstancesPerNode()) == (150, 63, 0.08, 20)
+    boosted = train.classifier("XGBoost_Tuned")
+    assert (boosted.rounds, boosted.depth, boosted.step, boosted.share, boosted.features, boosted.patience) == (80, 7, 0.1, 0.8, 0.8, None)
+    hist = train.classifier("HistGradientBoosting")
+    assert (hist.rounds, hist.leaves, hist.depth, hist.step, hist.leaf, hist.patience, hist.held_out) == (150, 63, None, 0.08, 20, 10, 0.1)
+    candidate = train.classifier("HistGradientBoosting_Candidate")
+    assert (candidate.rounds, candidate.leaves, candidate.step, candidate.leaf, candidate.patience) == (60, 31, 0.1, 50, 5)
 
 
 def test_gates():
