@@ -55,8 +55,9 @@ def latest(sessions: DataFrame, created: str = "created_at", key: str = "session
 
 
 def nested(sessions: DataFrame, flows: DataFrame, alerts: DataFrame, key: str, flow_order: str, alert_order: str) -> DataFrame:
-    """Sessions with their flows and alerts as ordered arrays.  Meant for chosen sessions: each becomes one row."""
-    gather = lambda df, order, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (key, order)]))).alias(name))
+    """Sessions with their flows and alerts as ordered arrays.  Meant for chosen sessions: only their rows are gathered, and each
+    becomes one row."""
+    gather = lambda df, order, name: df.join(sessions.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (key, order)]))).alias(name))
     out = sessions.join(gather(flows, flow_order, "flows"), key, "left").join(gather(alerts, alert_order, "alerts"), key, "left")
     return out
 

@@ -4,13 +4,15 @@ Times are event times with a watermark; what comes later than LATE is dropped.""
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import flows as flow_ops
 from ..operators import rules as rule_ops
@@ -41,43 +43,102 @@ def session_flows(packets: DataFrame, idle: str = "5 seconds") -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("packet_count"), F.sum("frame_len").alias("byte_count"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time")).drop("w")
 
 
-_PACKET = ("ts", "seq", "frame_len", "is_fwd", "tcp_flags")
 _FLOW = "ip_a string, ip_b string, port_a int, port_b int, proto int, packet_count long, byte_count long, start_time double, end_time double, fwd_count long"
-_STATE = "n long, bytes long, begin double, end double, fwd long, first_fwd boolean"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle: float, cap: int) -> Iterator[pd.DataFrame]:
-    """One key's open flow moves on: closed by a gap of idle or by cap packets, or by a timeout."""
-    n, size, begin, end, fwd, first = state.get if state.exists else (0, 0, 0.0, 0.0, 0, True)
-    done = []
-
-    def close() -> None:
-        done.append((*key, n, size, begin, end, fwd if first else n - fwd))
-
-    if state.hasTimedOut:
-        close()
-        state.remove()
-    else:
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for r in rows.itertuples():
-            if n and (r.ts - end >= idle or n >= cap):
-                close()
-                n = size = fwd = 0
-            if not n:
-                begin, first = r.ts, bool(r.is_fwd)
-            n, size, end, fwd = n + 1, size + int(r.frame_len), float(r.ts), fwd + int(r.is_fwd)
-        state.update((n, size, float(begin), float(end), fwd, first))
-        state.setTimeoutTimestamp(max(int((end + idle) * 1000), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(done, columns=[x.split()[0] for x in _FLOW.split(", ")])
+_HELD = "ts double, seq long, frame_len long, is_fwd boolean"
+_OPEN = "n long, bytes long, begin double, end double, fwd long, first_fwd boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def cut_flows(ts: np.ndarray, idle: float, cap: int, n_open: int = 0, last: float | None = None) -> np.ndarray:
+    """Places among sorted packets where a flow begins; a flow ends by a gap of idle or with cap packets.  n_open, last: packets
+    and end of the flow that is open before them."""
+    gap = np.append(np.inf if last is None else ts[0] - last, np.diff(ts)) >= idle
+    begins = []
+    runs = [*np.flatnonzero(gap).tolist(), len(ts)]
+    if runs[0] > 0:  # the open flow goes on, up to its cap
+        begins += range(max(0, cap - n_open), runs[0], cap)
+    for a, b in zip(runs, runs[1:]):
+        begins += range(a, b, cap)
+    return np.array(begins, np.int64)
+
+
+class FlowTable(StatefulProcessor):
+    """Of each key the packets that the watermark has not passed yet, and the counters of the open flow.  Packets are released by
+    the watermark, in order of time and arrival, whatever the micro-batch in which they came."""
+
+    def __init__(self, idle: float, cap: int):
+        self.idle, self.cap = idle, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", _HELD)
+        self.open = handle.getValueState("open", _OPEN)
+
+    def _wake(self, at: float) -> None:
+        """A timer at a time in seconds, unless one is set for then or before."""
+        ms = math.floor(at * 1000) + 1
+        timers = list(self.handle.listTimers())
+        if not timers or min(timers) > ms:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = float("inf")
+        for some in rows:
+            self.held.appendList(list(zip(some["ts"].astype(float), some["seq"].astype(int), some["frame_len"].astype(int), some["is_fwd"].astype(bool), strict=True)))
+            first = min(first, float(some["ts"].min()))
+        self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs() / 1000
+        held = pd.DataFrame(list(self.held.get()), columns=["ts", "seq", "frame_len", "is_fwd"])
+        late = held["ts"] >= watermark  # their place is not settled yet
+        ready, rest = held[~late].sort_values(["ts", "seq"]), held[late]
+        n, size, begin, end, fwd, first_fwd = self.open.get() if self.open.exists() else (0, 0, 0.0, 0.0, 0, True)
+        done = []
+
+        def close() -> None:
+            done.append((*key, n, size, begin, end, fwd if first_fwd else n - fwd))
+
+        if len(ready):
+            ts, sizes, ahead = (ready[c].to_numpy() for c in ("ts", "frame_len", "is_fwd"))
+            begins = cut_flows(ts, self.idle, self.cap, n, end if n else None)
+            cuts = [0, *(b for b in begins.tolist() if b), len(ts)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a in begins:
+                    if n:
+                        close()
+                    n, size, begin, fwd, first_fwd = 0, 0, float(ts[a]), 0, bool(ahead[a])
+                n, size, fwd, end = n + b - a, size + int(sizes[a:b].sum()), fwd + int(ahead[a:b].sum()), float(ts[b - 1])
+        if n and end + self.idle < watermark and (rest.empty or rest["ts"].min() - end >= self.idle):
+            close()
+            n = 0
+        self.held.clear()
+        if len(rest):
+            self.held.appendList([(float(a), int(b), int(c), bool(d)) for a, b, c, d in rest.itertuples(index=False)])
+        if n:
+            self.open.update((int(n), int(size), float(begin), float(end), int(fwd), bool(first_fwd)))
+        else:
+            self.open.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(rest) or n:
+            self._wake(max(watermark, min([*rest["ts"].tolist(), *([end + self.idle] if n else [])])))
+        yield pd.DataFrame(done, columns=[x.split()[0] for x in _FLOW.split(", ")])
+
+    def close(self) -> None:
+        pass
 
 
 def capped_flows(packets: DataFrame, idle: float = flow_ops.IDLE_SECONDS, cap: int = flow_ops.MAX_PACKETS) -> DataFrame:
-    """Live flow table: state is one open flow's counters for each key, flushed by event time.  Micro-batches are expected in
-    order of time, as from a sensor; within one, packets are sorted."""
+    """Live flow table, as the batch twin has it, from packets in any order within the watermark.  Its state needs Spark's RocksDB
+    store, which is chosen for the session."""
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = flow_ops.with_flow_key(packets.where(F.col("proto") != flow_ops.ARP))
-    rows = keyed.select(*flow_ops.KEY, *_PACKET, "event_time")
-    advance = lambda key, batches, state: _advance(key, batches, state, idle, cap)
-    return rows.groupBy(*flow_ops.KEY).applyInPandasWithState(advance, _FLOW, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = keyed.select(*flow_ops.KEY, "ts", F.col("seq").cast("long").alias("seq"), F.col("frame_len").cast("long").alias("frame_len"), "is_fwd", "event_time")
+    return rows.groupBy(*flow_ops.KEY).transformWithStateInPandas(FlowTable(idle, cap), _FLOW, "append", "eventTime")
 
 
 def arp_events(packets: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import struct
 
 import pytest
@@ -94,12 +95,51 @@ def test_rules(spark):
     found = {(r["sid"], r["address"]) for r in rules.rate_alerts(burst).collect()}
     assert {(9000010, "T"), (9000050, "S"), (9000103, "S")} <= found and (9000020, "S") not in found
     odd = packets(spark, [(0.0, "S", "S", 1, 4444, 6, 60, 41), (1.0, "127.0.0.1", "T", 1, 2, 6, 60, 0)])
-    assert {r["sid"] for r in rules.match_packets(odd).collect()} == {9000080, 9000081, 9000041, 9000100, 9000101}
+    assert {r["sid"] for r in rules.match_packets(odd).collect()} == {9000080, 9000081, 9000100, 9000101}
+    assert 9000041 in {r["sid"] for r in rules.match_packets(odd.withColumn("established", F.lit(True))).collect()}
     content = odd.withColumns({"payload": F.lit("x MIRAI y"), "http_uri": F.lit("/?q=union select"), "dst_port": F.lit(23)})
     assert {9000031, 9000060} <= {r["sid"] for r in rules.match_packets(content).collect()}
     assert rules.rule_lines(spark.createDataFrame([("# c",), ("",), ("alert x",)], "value string")).first()["n_rules"] == 1
 
 
+def intervals(times, count, seconds):
+    """Start, alert and hits of the intervals of one address that reach the count, one after the other."""
+    out, left = [], sorted(times)
+    while left:
+        inside = [x for x in left if x < left[0] + seconds]
+        if len(inside) >= count:
+            out.append((inside[0], inside[count - 1], len(inside)))
+        left = left[len(inside) :]
+    return out
+
+
+def test_one_alert_for_each_interval(spark):
+    rng = random.Random(2)
+    times = {a: [round(rng.uniform(0, 900) ** rng.choice([1, 0.7]), 1) for _ in range(n)] for a, n in (("A", 2000), ("B", 300), ("C", 40), ("D", 1))}
+    df = packets(spark, [(t, "S", a, 1, 80, 6, 60, 2) for a, ts in times.items() for t in ts])
+    for count, seconds in ((3, 1), (10, 5), (2, 60)):
+        found = rules.alert_once(df, sids=(9000010,), scale=(count, seconds)).collect()
+        got = sorted((r["address"], r["interval_start"], r["alert_at"], r["hits"]) for r in found)
+        assert got == sorted((a, *x) for a, ts in times.items() for x in intervals(ts, count, seconds))
+    assert rules.alert_once(df.limit(0)).count() == 0
+
+
+def test_sliding_counts_do_not_depend_on_buckets(spark):
+    rng = random.Random(3)
+    rows = [(round(rng.uniform(0, 500), 1), rng.choice("AB"), "T", 1, 80, 6, 60, 2) for _ in range(800)]
+    found = rules.sliding_rate(packets(spark, rows), F.col("tcp_flags") == 2, "src_ip", 4, 5).collect()
+    counts = {i: sum(a == b and s - 5 <= t <= s for t, b, *_ in rows) for i, (s, a, *_) in enumerate(rows)}
+    assert {r["seq"]: r["hits"] for r in found} == {i: n for i, n in counts.items() if n >= 4}
+
+
+def test_handshakes(spark):
+    a, b = ("A", "B", 5, 80), ("B", "A", 80, 5)
+    rows = [(1.0, *a, 6, 60, 2), (2.0, *a, 6, 60, 16), (3.0, *b, 6, 60, 0x12), (3.0, *b, 6, 60, 16), (4.0, *a, 6, 60, 16), (5.0, *b, 6, 60, 24), (6.0, *a, 17, 60, 0)]
+    never = [(1.0, "C", "D", 1, 2, 6, 60, 2), (2.0, "C", "D", 1, 2, 6, 60, 0x12), (3.0, "C", "D", 1, 2, 6, 60, 16), (1.0, "E", "F", 1, 2, 6, 60, 0x12), (2.0, "F", "E", 2, 1, 6, 60, 2), (3.0, "F", "E", 2, 1, 6, 60, 16)]
+    found = {r["seq"] for r in rules.with_established(packets(spark, rows + never)).where("established").collect()}
+    assert found == {4, 5}
+
+
 def test_capture_file(spark, tmp_path):
     dns = struct.pack("!HHHHHH", 1, 256, 1, 0, 0, 0) + b"\x03www\x06google\x03com\x00" + struct.pack("!HH", 1, 1)
     udp = struct.pack("!HHHH", 5353, 53, 8 + len(dns), 0) + dns

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import random
+import time
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from packetloom import streaming
@@ -36,6 +41,42 @@ def test_capped_flows_match_batch(spark, tmp_path):
     assert found <= batch and len(found) >= 2, (found, batch)
 
 
+def test_packets_out_of_order_match_batch(spark, tmp_path):
+    """Micro-batches of shuffled packets, within the watermark's delay, give the flows of the batch twin."""
+    rng = random.Random(1)
+    times = []
+    at = 1000.0
+    for i in range(700):
+        at += rng.choice([0.0, 0.01, 0.01, 0.02, 0.4]) if i % 60 else rng.choice([4.9, 5.0, 7.0])
+        times.append(round(at, 2))
+    ends = lambda i: (("A", "B", 1, 22), ("B", "A", 22, 1), ("C", "B", 5, 80))[i % 5 % 3]
+    rows = [(t, i, *ends(i), 6, 60 + i % 7, 2, 5, None, None) for i, t in enumerate(times)] + [(t + 500, 9000 + k, "Z", "Y", 1, 1, 6, 60, 2, 5, None, None) for k, t in enumerate([at, at])]
+    arrival = sorted(rows[:-2], key=lambda r: r[0] + rng.random() * 8) + rows[-2:]  # up to 8 of 10 seconds late
+    for k in range(0, len(arrival), 90):
+        spark.createDataFrame(arrival[k : k + 90], PACKET).coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+        time.sleep(0.05)  # files are read in the order of their times
+    df = spark.createDataFrame(rows[:-2], PACKET)
+    stream = streaming.packet_stream(spark, f"{tmp_path}/p", df.schema, files_per_trigger=1)
+    found = sorted((r["packet_count"], r["byte_count"], r["start_time"], r["end_time"]) for r in _run(streaming.capped_flows(stream), "disordered").collect())
+    batch = sorted((r["packet_count"], r["byte_count"], r["start_time"], r["end_time"]) for r in flows.live_flows(df).collect())
+    assert found == batch and max(f[0] for f in found) == flows.MAX_PACKETS
+
+
+@pytest.mark.parametrize("cap", [3, 100])
+def test_flows_are_cut_as_row_by_row(cap):
+    rng = np.random.default_rng(cap)
+    for _ in range(50):
+        ts = np.sort(rng.integers(0, 60, rng.integers(1, 40)).astype(float))
+        n, last = (0, None) if rng.random() < 0.3 else (int(rng.integers(1, cap + 1)), float(ts[0] - rng.integers(0, 8)))
+        want, end, count = [], last, n
+        for i, t in enumerate(ts):
+            if not count or t - end >= 5 or count >= cap:
+                want.append(i)
+                count = 0
+            end, count = t, count + 1
+        assert streaming.cut_flows(ts, 5, cap, n, last).tolist() == want
+
+
 def test_rates(spark, tmp_path):
     df = _packets(spark, f"{tmp_path}/p")
     rule = rules.Rule(1, 5, F.col("tcp_flags") == 2, by="dst_ip", count=1, seconds=5)
