@@ -115,5 +115,6 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def row_digest(*columns: str) -> Column:
-    """SHA-256 of a row's features, for collision checks."""
-    return F.sha2(F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\\N")) for c in columns]), 256)
+    """SHA-256 of a row's features, for collision checks.  Each value goes with its length, so that no two rows read the same."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns]), 256)

@@ -54,16 +54,12 @@ def label_pairs(a: DataFrame, b: DataFrame, features: Sequence[str], label: str)
     return x.join(y, list(features))
 
 
-def overlap_report(splits: dict[str, DataFrame], features: Sequence[str], label: str) -> DataFrame:
-    """For each pair of splits: shared vectors, their share of either side in percent, and pairs of equal and of
-    different labels.  One shuffle of all splits by their vectors."""
-    parts = [df.select(*_cols(features), F.col(label).alias("_label"), F.lit(name).alias("_split")) for name, df in splits.items()]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    by_vector = every.groupBy(*_cols(features)).agg(*[F.collect_set(F.when(F.col("_split") == name, F.col("_label"))).alias(f"_{name}") for name in splits])
+def overlap_report(df: DataFrame, split: str, names: Sequence[str], features: Sequence[str], label: str) -> DataFrame:
+    """For each pair of splits (values of a column): shared vectors, their share of either side in percent, and pairs of
+    equal and of different labels.  One pass over the table, one shuffle by vectors."""
+    by_vector = df.groupBy(*_cols(features)).agg(*[F.collect_set(F.when(F.col(split) == name, F.col(label))).alias(f"_{name}") for name in names])
     size = lambda name: F.size(f"_{name}")
-    names, rows = list(splits), []
+    rows = []
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             shared = F.coalesce((size(a) > 0) & (size(b) > 0), F.lit(False))

@@ -45,13 +45,16 @@ UNSUPPORTED_IDS = (9,)
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Records of JSON lines (column value): is_corrupt and the record r.  Blank lines are no records."""
+    """Records of JSON lines (column value): is_corrupt and the record r.  Blank lines are no records.
+
+    The two parsers run in a generator of one row, over which the optimizer doesn't copy them into every use of a field."""
     text = lines.where(F.trim("value") != "")
     record = F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"})
     # in brackets, as the parser would stop after a first value and not see what follows it
     value = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))
     sound = value.isNotNull() & F.try_variant_get(value, "$[1]", "string").isNull() & F.trim("value").startswith("{")
-    return text.select((~sound).alias("is_corrupt"), F.when(sound, record).alias("r"))
+    both = text.select(F.inline(F.array(F.struct(record.alias("r"), sound.alias("sound")))))
+    return both.select((~F.col("sound")).alias("is_corrupt"), F.when(F.col("sound"), F.col("r")).alias("r"))
 
 
 def summary(parsed: DataFrame) -> DataFrame:
@@ -105,10 +108,12 @@ def map_alerts(alerts: DataFrame, sid: str = "sid", signature: str = "signature"
     return out.select(*alerts.columns, F.col("_m.canonical_id"), class_name(F.col("_m.canonical_id")).alias("canonical_class"), F.col("_m.mapping_confidence"), F.col("_m.mapping_method"))
 
 
-def rule_coverage(spark) -> DataFrame:
-    """class_id, class_name, supported, n_rules."""
+def rule_coverage(mapped: DataFrame) -> DataFrame:
+    """class_id, class_name, supported, n_rules, and n_alerts: mapped alerts that a rule of the class has raised."""
     rows = [(i, c, i not in UNSUPPORTED_IDS, len(SIDS.get(i, ()))) for i, c in enumerate(CLASSES)]
-    return spark.createDataFrame(rows, "class_id int, class_name string, supported boolean, n_rules int")
+    classes = mapped.sparkSession.createDataFrame(rows, "class_id int, class_name string, supported boolean, n_rules int")
+    raised = mapped.where("mapping_method = 'EXPLICIT_SID'").groupBy(F.col("canonical_id").alias("class_id")).agg(F.count(F.lit(1)).alias("n_alerts"))
+    return classes.join(raised, "class_id", "left").withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0)))
 
 
 def full_distribution(df: DataFrame, class_id: str = "canonical_id") -> DataFrame:
@@ -127,8 +132,9 @@ def protocol_number(proto: Column) -> Column:
 def correlate(flows: DataFrame, alerts: DataFrame) -> DataFrame:
     """flows(src_ip, dst_ip, src_port, dst_port, proto, canonical_id) with has_alert and bucket; an alert meets a flow of
     its 5-tuple in either direction, protocols compared by number."""
-    key = lambda a, b, c, d: alerts.select(F.col(a).alias("src_ip"), F.col(b).alias("dst_ip"), F.col(c).cast("int").alias("src_port"), F.col(d).cast("int").alias("dst_port"), protocol_number(F.col("proto")).alias("_proto"))
-    both = key("src_ip", "dest_ip", "src_port", "dest_port").unionByName(key("dest_ip", "src_ip", "dest_port", "src_port")).distinct().withColumn("has_alert", F.lit(True))
+    end = lambda a, b: [F.col(f"{a}_ip").alias("src_ip"), F.col(f"{b}_ip").alias("dst_ip"), F.col(f"{a}_port").cast("int").alias("src_port"), F.col(f"{b}_port").cast("int").alias("dst_port")]
+    ways = alerts.select(protocol_number(F.col("proto")).alias("_proto"), F.inline(F.array(F.struct(*end("src", "dest")), F.struct(*end("dest", "src")))))
+    both = ways.distinct().withColumn("has_alert", F.lit(True))
     numbered = flows.withColumns({"_proto": protocol_number(F.col("proto")), "src_port": F.col("src_port").cast("int"), "dst_port": F.col("dst_port").cast("int")})
     met = numbered.join(both, ["src_ip", "dst_ip", "src_port", "dst_port", "_proto"], "left").drop("_proto").withColumn("has_alert", F.coalesce("has_alert", F.lit(False)))
     threat = F.coalesce(F.col("canonical_id") != 0, F.lit(True))

@@ -176,9 +176,20 @@ def tune_thresholds(df: DataFrame, p: str, true: str, n_classes: int, benign: in
 
 
 # --- batches -------------------------------------------------------------------------------------
-def score_mixed(records: DataFrame, scorers: Mapping[str, Callable[[DataFrame], DataFrame]], features: str = "features") -> DataFrame:
+#: What a batch is called whose records went to several specialists.
+MULTI = "Multi-Specialist"
+
+
+def batch_label(scored: DataFrame, batch: str) -> DataFrame:
+    """batch, specialist: the specialist of all scored records of a batch, MULTI if there are several, null if there is none."""
+    known = scored.groupBy(batch).agg(F.min("specialist").alias("_a"), F.max("specialist").alias("_b"))
+    return known.select(batch, F.when(F.col("_a") == F.col("_b"), F.col("_a")).when(F.col("_a").isNotNull(), MULTI).alias("specialist"))
+
+
+def score_mixed(records: DataFrame, scorers: Mapping[str, Callable[[DataFrame], DataFrame]], features: str = "features", order: str | None = None) -> DataFrame:
     """Records of several schemas (a map column): each is routed by its feature names and scored by its specialist;
-    others come back with status UNROUTED.  scorers return their input with canonical_id and confidence."""
+    others come back with status UNROUTED.  scorers return their input with canonical_id and confidence.  With order, a
+    column, the records come back in that order."""
     reject_mac(records.columns)
     routed = records.withColumn("specialist", route_row(F.map_keys(features)))
     out = None
@@ -186,4 +197,5 @@ def score_mixed(records: DataFrame, scorers: Mapping[str, Callable[[DataFrame],
         part = scorer(routed.where(F.col("specialist") == name)).select(*records.columns, "specialist", "canonical_id", "confidence", F.lit("OK").alias("status"))
         out = part if out is None else out.unionByName(part)
     rest = routed.where(F.col("specialist").isNull() | ~F.col("specialist").isin(*scorers)).select(*records.columns, "specialist", F.lit(None).cast("int").alias("canonical_id"), F.lit(None).cast("double").alias("confidence"), F.lit("UNROUTED").alias("status"))
-    return rest if out is None else out.unionByName(rest)
+    every = rest if out is None else out.unionByName(rest)
+    return every.orderBy(order) if order else every

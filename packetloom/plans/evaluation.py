@@ -202,3 +202,10 @@ def mixed_batch(spark, d):
         "DNS_Tunneling": lambda df: df.withColumns({"canonical_id": F.lit(12), "confidence": F.lit(0.9)}),
     }
     return score.score_mixed(records, scorers).select("event_id", "specialist", "canonical_id", "status")
+
+
+@R.add("SELECT batch, CASE WHEN count(DISTINCT specialist) > 1 THEN 'Multi-Specialist' ELSE min(specialist) END AS specialist FROM (SELECT event_id // 2 AS batch, CASE event_id % 3 WHEN 0 THEN 'CICIoT2023' WHEN 1 THEN 'DNS_Tunneling' END AS specialist FROM events) GROUP BY batch")
+def mixed_batch_labels(spark, d):
+    """What each batch of two records is called."""
+    scored = mixed_batch(spark, d).withColumn("batch", F.floor(F.col("event_id") / 2))
+    return score.batch_label(scored, "batch")

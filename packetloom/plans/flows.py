@@ -226,9 +226,12 @@ def alert_flow_correlation(spark, d):
     return eve.correlation_counts(eve.correlate(_flows_with_class(spark, d), eve.events(_parsed(spark, d), "alert")))
 
 
-@R.add("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', {i not in eve.UNSUPPORTED_IDS}, {len(eve.SIDS.get(i, ()))})" for i, c in enumerate(eve.CLASSES)) + ") t(class_id, class_name, supported, n_rules)")
+_COVERED = ", ".join(f"({i}, '{c}', {i not in eve.UNSUPPORTED_IDS}, {len(eve.SIDS.get(i, ()))})" for i, c in enumerate(eve.CLASSES))
+
+
+@R.add(sql(f"SELECT t.*, coalesce(n, 0) AS n_alerts FROM (VALUES {_COVERED}) t(class_id, class_name, supported, n_rules) LEFT JOIN (SELECT by_sid, count(*) AS n FROM ({_MAPPED}) GROUP BY ALL) ON by_sid = class_id", *EVE))
 def rule_coverage(spark, d):
-    return eve.rule_coverage(spark)
+    return eve.rule_coverage(eve.map_alerts(eve.events(_parsed(spark, d), "alert")))
 
 
 @R.add(sql("SELECT CAST(floor(ts / 3600) AS BIGINT) AS hour, round(count(*) / greatest(0.001, max(ts) - min(ts)), 1) AS packets_per_second FROM packets GROUP BY ALL", "packets"))

@@ -35,9 +35,14 @@ def label_mapping(spark, d):
     return mapped.groupBy(F.coalesce("final_label", F.lit("unmapped")).alias("final_label"), "raw_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("SELECT * FROM (VALUES " + ", ".join(f"('{ds}', '{raw}', '{c}')" for ds in taxonomy.LABELS for raw, c in taxonomy.label_map(ds).items()) + ") t(dataset, raw_label, class_name)")
+_LABELS = ", ".join(f"('{ds}', '{raw}', '{c}')" for ds in taxonomy.LABELS for raw, c in taxonomy.label_map(ds).items())
+
+
+@R.add(sql(f"SELECT l.*, coalesce(n, 0) AS n FROM (VALUES {_LABELS}) l(dataset, raw_label, class_name) LEFT JOIN (SELECT 'IDS2018' AS dataset, trim(raw_label) AS raw_label, count(*) AS n FROM labelled GROUP BY ALL) USING (dataset, raw_label)", "labelled"))
 def label_dimension(spark, d):
-    return taxonomy.label_dim(spark)
+    """All raw labels, with the rows that have them."""
+    rows = labelled(spark, d).groupBy(F.lit("IDS2018").alias("dataset"), F.trim("raw_label").alias("raw_label")).agg(F.count(F.lit(1)).alias("n"))
+    return taxonomy.label_dim(spark).join(rows, ["dataset", "raw_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @R.add(sql("""SELECT count(*) AS initial_rows, count(*) FILTER (ok) AS mapped_rows, count(*) FILTER (ok AND bad) AS invalid_rows, count(*) FILTER (ok AND NOT bad) AS clean_rows
@@ -110,7 +115,7 @@ _PAIR = """SELECT '{a}-{b}' AS pair, count(*) FILTER (len({a}) > 0 AND len({b})
 @R.add(sql(f"""SELECT *, round(shared * 100.0::DOUBLE / left_vectors, 4) AS left_percent, round(shared * 100.0::DOUBLE / right_vectors, 4) AS right_percent FROM (
   WITH v AS (SELECT {VECTOR}, {_OVERLAP} FROM ({SPLIT_SQL}) GROUP BY {VECTOR}) """ + " UNION ALL ".join(_PAIR.format(a=a, b=b) for a, b in (("train", "val"), ("train", "test"), ("val", "test"))) + ")", *CLEAN))
 def cross_split_overlap(spark, d):
-    return dedup.overlap_report(_parts(spark, d), FEATURES, "final_label")
+    return dedup.overlap_report(_split(spark, d), "split", ("train", "val", "test"), FEATURES, "final_label")
 
 
 @R.add(sql(f"SELECT key FROM s WHERE split = 'test' AND NOT EXISTS (SELECT 1 FROM s t WHERE t.split = 'train' AND " + " AND ".join(f"t.{c} = s.{c}" for c in FEATURES) + ")", *CLEAN).replace(" SELECT key FROM s", f", s AS ({SPLIT_SQL}) SELECT key FROM s", 1))
@@ -160,16 +165,35 @@ _RULES = {
 }
 
 
-@R.add("SELECT * FROM (VALUES " + ", ".join(f"('{rule}', {i}, '{c}')" for rule, (_, left) in _RULES.items() for i, c in enumerate(left)) + ") t(rule, place, \"column\")")
+#: Columns of line items that stand under the raw names, in turn.
+_HELD = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _held(rule: str, c: str) -> str:
+    return _HELD[_RULES[rule][0].index(c) % len(_HELD)]
+
+
+@R.add(" UNION ALL ".join(f"SELECT '{rule}' AS rule, {i} AS place, '{c}' AS \"column\", round(sum({_held(rule, c)}), 2) AS total FROM lineitem" for rule, (_, left) in _RULES.items() for i, c in enumerate(left)))
 def selected_columns(spark, d):
-    """What the rules of column selection leave of raw tables."""
-    raw = lambda rule: table(spark, d, "region").select(*[F.lit(1.0).alias(c) for c in _RULES[rule][0]])
+    """What the rules of column selection leave of raw tables, and the sums of what is left."""
+    raw = lambda rule: table(spark, d, "lineitem").select(*[F.col(_held(rule, c)).alias(c) for c in _RULES[rule][0]])
     left = {rule: [taxonomy.label_column(raw(rule).columns)] for rule in _RULES if rule.startswith("label")}
     left |= {
         "ARP": clean_ops.arp_columns(raw("ARP")).columns, "5G": clean_ops.fiveg_columns(raw("5G")).columns, "features": clean_ops.feature_columns(raw("features")),
         "suspicious": clean_ops.suspicious_columns(_RULES["suspicious"][0], "Target"), "original labels": clean_ops.drop_labels(raw("original labels")).columns,
     }
-    return spark.createDataFrame([(rule, i, c) for rule, columns in left.items() for i, c in enumerate(columns)], "rule string, place int, column string")
+    sums = table(spark, d, "lineitem").agg(*[F.round(F.sum(c), 2).alias(c) for c in _HELD])  # one scan for all rules
+    rows = [F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(_held(rule, c)).alias("total")) for rule, columns in left.items() for i, c in enumerate(columns)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+@R.add("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '10.0.' || (event_id // 254 + 1) || '.' || (event_id % 254 + 1) ELSE '10.9.0.' || (user_id % 20) END AS src_ip, '192.168.1.100' AS dst_ip,
+  CASE WHEN event_id % 5 = 0 THEN 40000 + event_id % 20000 ELSE user_id END::INT AS src_port, CASE WHEN event_id % 2 = 0 THEN 80 ELSE 443 END::INT AS dst_port, CASE WHEN event_type = 'view' THEN 17 ELSE 6 END::INT AS proto FROM events""")
+def connection_columns(spark, d):
+    """Who talks to whom, in an upload of other names with gaps."""
+    n = F.col("event_id")
+    upload = table(spark, d, "events").select(n, F.when(n % 7 != 0, F.concat(F.lit("10.9.0."), (F.col("user_id") % 20).cast("string"))).alias("Source_IP"), F.when(n % 5 != 0, F.col("user_id")).alias("SPORT"), F.when(F.col("event_type") == "view", "17").when(F.col("event_type") == "click", "tcp").alias("Protocol Type"))
+    return taxonomy.connection_columns(upload, "event_id").select("event_id", *taxonomy.CONNECTION)
 
 
 @R.add(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9]'))::INT AS digit_count, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]'))::INT AS alpha_count, len(regexp_extract_all(coalesce(text, ''), '[^a-zA-Z0-9.]'))::INT AS special_character_count FROM documents")
@@ -294,7 +318,10 @@ def dataset_profile(spark, d):
     return profile.dataset_profile(table(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
 
 
-@R.add("SELECT o_orderkey, sha256(concat_ws(',', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)) AS digest FROM orders")
+_SIZED = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("o_orderkey", "o_custkey", "o_orderstatus"))
+
+
+@R.add(f"SELECT o_orderkey, sha256({_SIZED}) AS digest FROM orders")
 def row_digests(spark, d):
     return table(spark, d, "orders").select("o_orderkey", row_digest("o_orderkey", "o_custkey", "o_orderstatus").alias("digest"))
 

@@ -82,27 +82,28 @@ def export_json(df: DataFrame) -> DataFrame:
 
 # --- fixed values: places below the project and below the data ---------------------------------------
 PROJECT_PLACES = ("config", "utils", "tests", "notebooks", "README.md", "app.py", "requirements.txt")
-RAW_PLACES = {
-    "raw/IDS2018/ids2018_combined_7attacks_benign.parquet": ("Datasets/ids2018_combined_7attacks_benign.parquet", "IDS2018/ids2018_combined_7attacks_benign.parquet", "ids2018_combined_7attacks_benign.parquet"),
-    "raw/CICIoT2023": ("Datasets/CICIOT23", "Datasets/CICIoT2023", "raw/CICIOT23"),
-}
+#: A file that is known by its name, and a folder by several.
+IDS2018_FILE, IDS2018_PLACE = "ids2018_combined_7attacks_benign.parquet", "raw/IDS2018"
+CICIOT2023_PLACE, CICIOT2023_NAMES = "raw/CICIoT2023", ("Datasets/CICIOT23", "raw/CICIoT2023", "Datasets/CICIoT2023", "raw/CICIOT23")
 
 
 def resolve_path(path: str, data_root: str | None = None, project_root: str = ".") -> str:
     """Where a relative path of the configuration lies: project files below project_root, all others below data_root (if
-    there is one), data/processed and data/samples without their first part, raw data sets in their own folders.
-    Paths with a scheme and absolute ones stay."""
+    there is one), data/processed and data/samples without their first part, raw data sets in their own folders whatever names
+    lead there.  Paths with a scheme and absolute ones stay."""
     if "://" in path or path.startswith("/"):
         return path
     clean = lambda root: root.strip().strip("\"'").rstrip("/")
-    rel = path.replace("\\", "/").removeprefix("./").rstrip("/")
-    if not data_root or rel.split("/", 1)[0] in PROJECT_PLACES:
+    parts = [p for p in path.replace("\\", "/").split("/") if p not in ("", ".")]
+    rel = "/".join(parts)
+    if not data_root or parts[:1] and parts[0] in PROJECT_PLACES:
         return f"{clean(project_root) or '.'}/{rel}"
-    for place, others in RAW_PLACES.items():
-        if rel in (place, *others) or place.endswith(".parquet") and rel.endswith("/" + place.rsplit("/", 1)[1]) and not rel.startswith("data/"):
-            return f"{clean(data_root)}/{place}"
-    if rel.startswith(("data/processed", "data/samples")):
-        rel = rel.removeprefix("data/")
+    if parts[:2] in (["data", "processed"], ["data", "samples"]):
+        rel = "/".join(parts[1:])
+    elif parts[:1] != ["processed"] and parts[-1:] == [IDS2018_FILE]:
+        rel = f"{IDS2018_PLACE}/{IDS2018_FILE}"
+    elif rel in CICIOT2023_NAMES:
+        rel = CICIOT2023_PLACE
     return f"{clean(data_root)}/{rel}"
 
 

@@ -65,7 +65,7 @@ def test_float32_conflicts(spark):
 def test_overlaps(spark):
     a = spark.createDataFrame([(1.0, "x"), (2.0, "x"), (2.0, "y")], "v double, label string")
     b = spark.createDataFrame([(2.0, "x"), (3.0, "x")], "v double, label string")
-    row = dedup.overlap_report({"a": a, "b": b}, ["v"], "label").first()
+    row = dedup.overlap_report(a.withColumn("split", F.lit("a")).unionByName(b.withColumn("split", F.lit("b"))), "split", ("a", "b"), ["v"], "label").first()
     assert (row["shared"], row["same_label_pairs"], row["conflicting_pairs"], row["left_percent"]) == (1, 1, 1, 50.0)
     assert dedup.without(b, a, ["v"]).count() == 1 and dedup.within(a, b, ["v"]).count() == 2
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom import streaming
+from packetloom.functions import row_digest
 from packetloom.operators import clean, rules, score, splits, taxonomy, train
 from packetloom.sources import files
 
@@ -95,6 +96,9 @@ def test_configuration(spark, tmp_path):
     at = lambda p: files.resolve_path(p, "/d/", "/p")
     assert at("config/a.json") == "/p/config/a.json" and at("data/processed/IDS2018") == "/d/processed/IDS2018" and at("data/samples") == "/d/samples"
     assert at("Datasets/CICIOT23") == "/d/raw/CICIoT2023" and at("x/ids2018_combined_7attacks_benign.parquet") == "/d/raw/IDS2018/ids2018_combined_7attacks_benign.parquet"
+    assert at("data/raw/ids2018_combined_7attacks_benign.parquet") == "/d/raw/IDS2018/ids2018_combined_7attacks_benign.parquet" and at("data/processed_old/x") == "/d/data/processed_old/x"
+    assert at("data/processed/IDS2018/ids2018_combined_7attacks_benign.parquet") == "/d/processed/IDS2018/ids2018_combined_7attacks_benign.parquet" and at("./processed/IDS2018/train.parquet") == "/d/processed/IDS2018/train.parquet"
+    assert at("checkpoints/progress.json") == "/d/checkpoints/progress.json" and at("data/processed/additional/ARP_Spoofing") == "/d/processed/additional/ARP_Spoofing" and at("raw/CICIOT23") == "/d/raw/CICIoT2023"
     assert at("raw/additional/x") == "/d/raw/additional/x" and at("reports") == "/d/reports" and at("s3a://b/k") == "s3a://b/k" and files.resolve_path("reports", None, "/p") == "/p/reports"
 
 
@@ -144,3 +148,14 @@ def test_rules_look_at_places(spark):
     assert [r["hits"] for r in rules.rate_alerts(dns, sids=(9000071,), scale=(1, 1)).collect()] == [1]
     replies = spark.sql(f"SELECT *, 53 AS src_port, 0 AS dns_rcode FROM (SELECT {base}), VALUES (0), (0), (5) t(dns_opcode)")
     assert [r["hits"] for r in rules.rate_alerts(replies, sids=(9000070,), scale=(1, 1)).collect()] == [2]
+
+
+def test_connection_columns(spark):
+    df = spark.createDataFrame([(0, "1.2.3.4", "17", None), (255, None, "tcp", "99"), (1, "x", None, "7.0")], "n long, Source_IP string, Protocol string, DPort string")
+    rows = {r["n"]: tuple(r[c] for c in taxonomy.CONNECTION) for r in taxonomy.connection_columns(df, "n").collect()}
+    assert rows == {0: ("1.2.3.4", "192.168.1.100", 40000, 80, 17), 255: ("10.0.2.2", "192.168.1.100", 40255, 99, 6), 1: ("x", "192.168.1.100", 40001, 7, 6)}
+
+
+def test_digests_tell_values_apart(spark):
+    df = spark.createDataFrame([("a,b", "c"), ("a", "b,c"), (None, "c"), ("-", "c"), ("", "c")], "x string, y string")
+    assert df.select(row_digest("x", "y").alias("d")).distinct().count() == 5
