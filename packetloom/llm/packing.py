@@ -27,6 +27,8 @@ from ._common import materialize
 CAPACITY = 2048
 #: Items of one group of the first round; groups that merge into one; bins that a group hands up at most.
 GROUP_ITEMS, FAN_IN, CARRY = 50_000, 8, 4_096
+#: Documents whose ids a tokenizing task holds at once.
+SLICE = 500
 #: A bin with at most this many places left is nearly full.
 SLACK = 4
 #: Characters on which the two tokenizer libraries' patterns agree by construction.
@@ -89,16 +91,17 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what other tasks of this worker have left
         encode = encoder(tokenizer_path)
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
+            out: list[list] = [[] for _ in range(6 if with_ids else 5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(0)).astype("<u4", copy=False)
                 n = len(ids)
                 first = n if n <= capacity else (n % capacity or capacity)
                 for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], [*range(first, n, capacity), n], strict=True)):
                     part = ids[a:b]
-                    for column, value in zip(out, (doc_id, piece, a, b - a, zlib.crc32(part.tobytes()), part), strict=True):
+                    for column, value in zip(out, (doc_id, piece, a, b - a, zlib.crc32(part.tobytes()), part), strict=False):
                         column.append(value)
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
