@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import exists
-from . import boosting, metrics, profile
+from . import boosting, extra_trees, metrics, profile
 from .boosting import Boosted, Settings
+from .extra_trees import Forest
 from .score import Preprocessor, argmax, rescaled, tune_thresholds
 from .taxonomy import SPECIALISTS, specialist
 
@@ -25,9 +26,8 @@ FORESTS = {
     "RandomForest": {"trees": 30, "depth": 12, "leaf": 10, "share": 0.25, "subset": "sqrt"},
     "RandomForest_Baseline": {"trees": 30, "depth": 12, "leaf": 10, "share": 0.25, "subset": "sqrt"},
     "RandomForest_Tuned": {"trees": 40, "depth": 18, "leaf": 5, "share": 0.4, "subset": "sqrt"},
-    "ExtraTrees": {"trees": 60, "depth": 20, "leaf": 3, "share": 1.0, "subset": "sqrt"},
-    "ExtraTrees_Candidate": {"trees": 40, "depth": 18, "leaf": 5, "share": 1.0, "subset": "sqrt"},
 }
+RANDOMISED = {"ExtraTrees": extra_trees.Settings(trees=60, depth=20, leaf=3), "ExtraTrees_Candidate": extra_trees.Settings(trees=40, depth=18, leaf=5)}
 SINGLE_TREES = {"DecisionTree": {"depth": 15, "leaf": 1}, "DecisionTree_Baseline": {"depth": 15, "leaf": 5}, "DecisionTree_Tuned": {"depth": 18, "leaf": 5}}
 _DEEP = {"step": 0.1, "share": 0.8, "features": 0.8}
 _LEAFWISE = {"depth": None, "weight": 1e-3, "penalty": 0.0, "curvature": 1.0, "prior": True, "bins": 255}
@@ -54,8 +54,7 @@ TUNED_GATES, TUNED_CALIBRATED_F1 = {"CICIoT2023": (0.985, 0.75)}, 0.78
 #: Models that are looked for where no metadata name one, and after those.
 DEFAULT_MODELS = {"IDS2018": ("DecisionTree_Tuned", "DecisionTree"), "CICIoT2023": ("XGBoost_Tuned", "XGBoost"), "DNS_Tunneling": ("RandomForest", "DecisionTree")}
 OTHER_MODELS = ("DecisionTree", "RandomForest", "XGBoost")
-#: Models.  Extra trees are forests without bootstrap whose thresholds are searched, not drawn.
-MODELS = (*SINGLE_TREES, *FORESTS, *BOOSTED)
+MODELS = (*SINGLE_TREES, *FORESTS, *RANDOMISED, *BOOSTED)
 _BY_NAME = {m.lower(): m for m in MODELS} | ALIASES
 
 
@@ -75,8 +74,9 @@ def classifier(name: str, seed: int = 42, smoke: bool = False):
         return DecisionTreeClassifier(maxDepth=tree["depth"], minInstancesPerNode=tree["leaf"], **weighted)
     if own in FORESTS:
         forest = FORESTS[own] | ({"trees": 3, "depth": 3} if smoke else {})
-        bootstrap = not own.startswith("ExtraTrees")
-        return RandomForestClassifier(numTrees=forest["trees"], maxDepth=forest["depth"], minInstancesPerNode=forest["leaf"], featureSubsetStrategy=forest["subset"], subsamplingRate=forest["share"], bootstrap=bootstrap, **weighted)
+        return RandomForestClassifier(numTrees=forest["trees"], maxDepth=forest["depth"], minInstancesPerNode=forest["leaf"], featureSubsetStrategy=forest["subset"], subsamplingRate=forest["share"], **weighted)
+    if own in RANDOMISED:
+        return replace(RANDOMISED[own], seed=seed, **({"trees": 3, "depth": 3} if smoke else {}))
     if own in BOOSTED:
         return replace(BOOSTED[own], seed=seed, **({"rounds": 3, "depth": 3, "leaf": 2, "patience": None} if smoke else {}))
     raise ValueError(f"unknown model: {name}")
@@ -100,13 +100,13 @@ def is_stale(cached_rows: int, rows: int | None) -> bool:
     return cached_rows <= 10 < rows or cached_rows < 1000 <= rows or rows > 100 and cached_rows < rows * 0.5
 
 
-def fit(train: DataFrame, pre: Preprocessor, label: str, name: str, weights: str = "sqrt_balanced", seed: int = 42, smoke: bool = False) -> PipelineModel | Boosted:
+def fit(train: DataFrame, pre: Preprocessor, label: str, name: str, weights: str = "sqrt_balanced", seed: int = 42, smoke: bool = False) -> PipelineModel | Boosted | Forest:
     """Model on preprocessed, encoded and weighted rows."""
     ready = pre.encode(pre.transform(profile.with_sample_weights(train, label, weights)), label)
     ready = ready.withColumns({"label_id": F.col("label_id").cast("double"), "sample_weight": F.col("sample_weight").cast("double")})
     safe = _safe_names(pre.features)
-    if model_name(name) in BOOSTED:
-        return boosting.fit(_renamed(ready, safe), list(safe.values()), "label_id", len(pre.classes), classifier(name, seed, smoke), "sample_weight")
+    if own := next((m for names, m in ((BOOSTED, boosting), (RANDOMISED, extra_trees)) if model_name(name) in names), None):
+        return own.fit(_renamed(ready, safe), list(safe.values()), "label_id", len(pre.classes), classifier(name, seed, smoke), "sample_weight")
     return Pipeline(stages=[VectorAssembler(inputCols=list(safe.values()), outputCol="vector"), classifier(name, seed, smoke)]).fit(_renamed(ready, safe))
 
 
@@ -118,7 +118,7 @@ def _renamed(df: DataFrame, safe: Mapping[str, str]) -> DataFrame:
     return df.withColumns({new: F.col(f"`{old}`").cast("double") for old, new in safe.items()})
 
 
-def predict(df: DataFrame, pre: Preprocessor, model: PipelineModel | Boosted) -> DataFrame:
+def predict(df: DataFrame, pre: Preprocessor, model: PipelineModel | Boosted | Forest) -> DataFrame:
     """df with probabilities (local), predicted_local, confidence."""
     out = model.transform(_renamed(pre.transform(df), _safe_names(pre.features)))
     if "probability" in out.columns:
@@ -127,7 +127,7 @@ def predict(df: DataFrame, pre: Preprocessor, model: PipelineModel | Boosted) ->
     return out.select(*[f"`{c}`" for c in df.columns], "probabilities", "predicted_local", "confidence")
 
 
-def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel | Boosted, label: str, multipliers: Sequence[float] | None = None) -> dict[str, float]:
+def evaluate(df: DataFrame, pre: Preprocessor, model: PipelineModel | Boosted | Forest, label: str, multipliers: Sequence[float] | None = None) -> dict[str, float]:
     """Metrics of a model, with each class's probability times its multiplier if there are any."""
     scored = pre.encode(predict(df, pre, model), label, "true_id")
     found = F.col("predicted_local") if multipliers is None else argmax(rescaled(F.col("probabilities"), multipliers))
@@ -143,7 +143,7 @@ def train_specialist(name: str, train: DataFrame, val: DataFrame, test: DataFram
     pre.validate(classes)
     n_rows = train.count()
     results = {m: r for m, r in (done or {}).items() if not is_stale(r.get("train_rows", n_rows), n_rows)}
-    fitted: dict[str, PipelineModel | Boosted] = {}
+    fitted: dict[str, PipelineModel | Boosted | Forest] = {}
     candidates = [model_name(m) for m in models]
     by_value = lambda found: lambda m: (-found[m]["macro_f1"], -found[m]["accuracy"], m)
     how = lambda m: weights or WEIGHTS.get(m, "sqrt_balanced")
@@ -173,6 +173,8 @@ def save(found: dict, path: str) -> None:
     place = f"{path}/{found['best_model']}"
     if isinstance(found["model"], Boosted):
         boosting.save(found["model"], spark, f"{place}/boosted")
+    elif isinstance(found["model"], Forest):
+        extra_trees.save(found["model"], spark, f"{place}/extra_trees")
     else:
         found["model"].write().overwrite().save(place)
     meta = {k: found.get(k) for k in ("specialist", "best_model", "multipliers", "validation", "passed_gates", "test")} | {"preprocessor": vars(found["preprocessor"])}
@@ -197,7 +199,9 @@ def load(spark: SparkSession, path: str) -> dict:
         raise FileNotFoundError(f"no specialist in {path}")
     meta = json.loads(spark.read.text(places[0]).first()[0])
     best, place = find_model(spark, path, meta["specialist"], meta.get("best_model"))
-    model = boosting.load(spark, f"{place}/boosted") if exists(spark, f"{place}/boosted") else PipelineModel.load(place)
+    readers = {"boosted": boosting.load, "extra_trees": extra_trees.load}
+    kind = next((k for k in readers if exists(spark, f"{place}/{k}")), None)
+    model = readers[kind](spark, f"{place}/{kind}") if kind else PipelineModel.load(place)
     return meta | {"best_model": best, "model": model, "preprocessor": Preprocessor(**meta["preprocessor"])}
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import boosting
+from packetloom.operators import boosting, extra_trees
 from packetloom.operators.boosting import Settings
 from packetloom.plans import evaluation
 
@@ -125,3 +125,48 @@ def test_query(spark, sf_dir):
     assert np.allclose(probabilities(model, rows), want[-1], atol=1e-9)
     found = evaluation.boosted_predictions(spark, sf_dir)
     assert found.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() and found.where(F.col("confidence").isNull() | ~F.col("predicted_id").isin(0, 1, 2)).count() == 0
+
+
+# --- extra trees ---------------------------------------------------------------------------------------
+def forest_by_hand(x, y, w, edges, n_classes, some, s):
+    """Class shares of each row's leaf in each tree, each leaf split on its own."""
+    bins = np.array([[sum(e < v for e in edges[f]) for f, v in enumerate(row)] for row in x])
+    every = []
+    for tree in range(s.trees):
+        out, numbers, level = np.zeros((len(x), n_classes)), 1, [(0, np.arange(len(x)))]
+        for depth in range(s.depth + 1):
+            below = []
+            for node, rows in level:
+                out[rows] = np.bincount(y[rows], w[rows], n_classes) / w[rows].sum()
+                features, us = extra_trees.drawn(s.seed, tree, node, x.shape[1], some)
+                best = None
+                for f, u in zip(features, us, strict=True):
+                    own = bins[rows, f]
+                    if own.min() == own.max() or len(set(y[rows])) == 1:
+                        continue
+                    at = edges[f][own.min()] + u * (edges[f][own.max() - 1] - edges[f][own.min()])
+                    cut = max(b for b in range(own.min(), own.max()) if b == own.min() or edges[f][b] <= at)
+                    sides = [rows[own <= cut], rows[own > cut]]
+                    if min(map(len, sides)) < s.leaf:
+                        continue
+                    impurity = lambda r: w[r].sum() - (np.bincount(y[r], w[r]) ** 2).sum() / w[r].sum()
+                    gain = round(impurity(rows) - sum(map(impurity, sides)), 9)
+                    if gain > (best[0] if best else 0):
+                        best = (gain, sides)
+                if best and depth < s.depth:
+                    below += [(numbers, best[1][0]), (numbers + 1, best[1][1])]
+                    numbers += 2
+            level = below
+        every.append(out)
+    return np.mean(every, axis=0)
+
+
+def test_extra_trees_same_as_by_hand(rows):
+    data, df = rows
+    s = extra_trees.Settings(trees=5, depth=4, leaf=3, bins=16, group=3)
+    model = extra_trees.fit(df, FEATURES, "y", 3, s, weight="w")
+    want = forest_by_hand(data[FEATURES].to_numpy(), data["y"].to_numpy(), data["w"].to_numpy(), model.edges, 3, 2, s)
+    assert np.allclose(probabilities(model, df), want) and len({tuple(t.bin) for t in model.trees}) == 5
+    assert extra_trees.Forest.from_json(model.to_json()) == model
+    empty = extra_trees.fit(df.limit(0), FEATURES, "y", 3, s)
+    assert np.allclose(probabilities(empty, df), 1 / 3)

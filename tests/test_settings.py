@@ -45,7 +45,7 @@ def test_model_settings():
     tuned = train.classifier("rf_tuned")
     assert (tuned.getNumTrees(), tuned.getMaxDepth(), tuned.getSubsamplingRate()) == (40, 18, 0.4)
     extra = train.classifier("ExtraTrees")
-    assert (extra.getNumTrees(), extra.getMaxDepth(), extra.getBootstrap()) == (60, 20, False)
+    assert (extra.trees, extra.depth, extra.leaf, extra.features) == (60, 20, 3, None)
     boosted = train.classifier("XGBoost_Tuned")
     assert (boosted.rounds, boosted.depth, boosted.step, boosted.share, boosted.features, boosted.patience) == (80, 7, 0.1, 0.8, 0.8, None)
     hist = train.classifier("HistGradientBoosting")
