@@ -4,8 +4,8 @@ A known word scores by its log frequency in each language.  An unseen word backs
 positions the longest known character n-gram counts, from four characters down to one.
 
 Word and n-gram counts cover every training document; the model that travels to the executors holds about
-`n_words` words and `n_grams` n-grams, the most frequent ones of each language in equal shares, so its size is bounded and a
-small language keeps its own words beside a large one.
+`n_words` words and `n_grams` n-grams, the most frequent ones of each language in equal shares (what a language doesn't need
+goes to the others), so its size is bounded and a small language keeps its own words beside a large one.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any training
 text everything is `und`; ties go to the first language in alphabetical order; repeated rows count and are
@@ -111,14 +111,40 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _level(sizes: list[int], limit: int) -> int:
+    """Entries that each language may have, if together they have limit at most and what some don't need goes to the others."""
+    left, sizes = limit, sorted(sizes)
+    for i, size in enumerate(sizes):
+        if size * (len(sizes) - i) > left:
+            return max(1, left // (len(sizes) - i))
+        left -= size
+    return max(1, sizes[-1]) if sizes else 1
+
+
+#: Ranges of a hash by which entries of one count are told apart.
+RANGES = 1 << 16
+
+
 def _most_frequent(counts: DataFrame, column: str, limit: int, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """The most frequent entries of each language, limit of all languages together, and their counts by language; of entries
-    with one count, all or none are taken.  What is ordered are the counts that occur, not the entries."""
-    share = max(1, limit // len(langs))
-    upto = F.sum("entries").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    often = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries")).withColumn("upto", upto).where(F.col("upto") <= share)
-    least = often.groupBy("lang").agg(F.min("n").alias("least"))  # a row for each language
-    chosen = counts.join(F.broadcast(least), "lang").where("n >= least").select(column).distinct()
+    """The most frequent entries of each language, of entries with one count those with the smallest hashes, limit of all
+    languages together, and their counts by language.
+
+    What is ordered are the counts that occur, then the hash ranges of the entries whose count is the last to be taken, then
+    the entries of the one range that isn't taken whole."""
+    by_count = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries"))
+    sizes = [r["entries"] for r in by_count.groupBy("lang").agg(F.sum("entries").alias("entries")).collect()]  # a row for each language
+    level = _level(sizes, limit)
+    upto = lambda c, order: F.sum(c).over(Window.partitionBy("lang").orderBy(order))
+    over = by_count.withColumn("upto", upto("entries", F.desc("n"))).where(F.col("upto") > level)
+    edges = over.groupBy("lang").agg(F.max("n").alias("edge"), F.max_by(level - F.col("upto") + F.col("entries"), "n").alias("room"))  # a row for each language
+    marked = counts.withColumn("place", F.pmod(F.xxhash64(column), F.lit(RANGES))).join(F.broadcast(edges), "lang", "left")
+    ties = marked.where("n = edge")
+    places = ties.groupBy("lang", "place", "room").agg(F.count(F.lit(1)).alias("entries")).withColumn("upto", upto("entries", "place")).where("upto > room")
+    last = places.groupBy("lang").agg(F.min("place").alias("last"), F.min_by(F.col("room") - F.col("upto") + F.col("entries"), "place").alias("rest"))  # a row for each language
+    ties = ties.join(F.broadcast(last), "lang")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(column), column))
+    parts = [marked.where("edge is null or n > edge"), ties.where("place < last"), ties.where("place = last").withColumn("rank", rank).where("rank <= rest")]
+    chosen = parts[0].select(column).union(parts[1].select(column)).union(parts[2].select(column)).distinct()
     met = counts.join(F.broadcast(chosen), column)  # limit entries at most
     top = met.groupBy(column).agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]).orderBy(column).toPandas()
     return {w: i for i, w in enumerate(top[column])}, top[[f"n{i}" for i in range(len(langs))]].to_numpy(np.float64).reshape(len(top), len(langs))

@@ -637,3 +637,30 @@ def test_pipeline_keeps_other_texts_of_an_id(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup_documents(spark, docs, sf_dir).collect()}
     assert got == {(1, copy), (2, other), (None, "alone " + other[::-1]), (None, None)}
+
+
+def test_languages_share_the_model(spark):
+    """Words that occur once each, in a language that has nothing else: ties are broken, and unused shares go to the others."""
+    rows = [("a", f"a{i}", 1) for i in range(200)] + [("b", f"b{i}", 1 + i) for i in range(10)] + [("c", f"c{i}", 1 + i % 5) for i in range(500)]
+    counts = spark.createDataFrame(rows, "lang string, word string, n long")
+    known, n = lang_id._most_frequent(counts, "word", 300, ["a", "b", "c"])
+    of = {x: [w for w in known if w[0] == x] for x in "abc"}
+    assert {x: len(w) for x, w in of.items()} == {"a": 145, "b": 10, "c": 145} and n.shape == (300, 3)
+    assert sorted((n[known[w]].max() for w in of["c"]), reverse=True) == [5.0] * 100 + [4.0] * 45
+    many = spark.createDataFrame([(f"l{k}", f"w{k}-{i}", 1) for k in range(500) for i in range(20)], "lang string, word string, n long")
+    known, _ = lang_id._most_frequent(many, "word", 5000, [f"l{k}" for k in range(500)])
+    assert len(known) == 5000 and {sum(w.startswith(f"w{k}-") for w in known) for k in (0, 7, 499)} == {10}
+
+
+@pytest.mark.parametrize(("sizes", "limit", "level"), [([200, 10, 500], 300, 145), ([5, 5], 100, 5), ([5, 500], 100, 95), ([1, 1, 1], 2, 1), ([], 9, 1)])
+def test_shares_of_languages(sizes, limit, level):
+    assert lang_id._level(sizes, limit) == level
+
+
+def test_toxic_documents_are_found(spark):
+    """Recall and false alarms apart, on documents whose labels weren't learned."""
+    d = "/root/testdata/sf0.1"
+    scored = queries.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null"), "doc_id")
+    found = {(r["toxic"], r["predicted"]): r["n"] for r in scored.where("held_out").groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = found.get((1, 1), 0) + found.get((1, 0), 0), found.get((0, 0), 0) + found.get((0, 1), 0)
+    assert toxic > 30 and found.get((1, 1), 0) >= 0.9 * toxic and found.get((0, 1), 0) <= 0.01 * clean, found
