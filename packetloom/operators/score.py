@@ -176,6 +176,23 @@ def tune_thresholds(df: DataFrame, p: str, true: str, n_classes: int, benign: in
 
 
 # --- batches -------------------------------------------------------------------------------------
+#: Records of a scored batch, rows that an upload is evaluated on, and flows that an answer shows, at most.
+MAX_BATCH, MAX_UPLOAD, MAX_FLOWS = 10_000, 1_000, 100
+
+
+def checked_batch(records: DataFrame) -> DataFrame:
+    """records, if there are any and MAX_BATCH at most."""
+    n = records.limit(MAX_BATCH + 1).count()
+    if not n or n > MAX_BATCH:
+        raise ValueError("the batch is empty" if not n else f"the batch has more than {MAX_BATCH} records")
+    return records
+
+
+def first_rows(df: DataFrame, order: str, n: int = MAX_UPLOAD) -> DataFrame:
+    """The first n rows of an upload, or of flows to show, by their number."""
+    return df.orderBy(order).limit(n)
+
+
 #: What a batch is called whose records went to several specialists.
 MULTI = "Multi-Specialist"
 

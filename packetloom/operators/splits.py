@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -97,10 +97,24 @@ def minority_sample(df: DataFrame, label: str, key: str, max_samples: int, seed:
 STRATEGIES = ("train_val_test", "train_test", "train_val_as_test")
 
 
-def load_splits(train: DataFrame, val: DataFrame | None, test: DataFrame | None, strategy: str, label: str, key: str, seed: int = 42) -> dict[str, DataFrame]:
-    """Three lazy frames.  train_test carves val out of train; train_val_as_test tests on val."""
+def smoke_splits(spark: SparkSession, features: Sequence[str], classes: Sequence[str], label: str = "final_label", key: str = "key", rows: int = 300, seed: int = 42) -> dict[str, DataFrame]:
+    """Made up rows of the given columns for a trial run without data: numbers from 0 to 1 around a center of their class."""
+    n, k = F.col("id"), len(classes)
+    noise = lambda i: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1000)) / 1000.0
+    made = spark.range(rows).select(n.alias(key), *[((noise(i) + n % k) / k).alias(f) for i, f in enumerate(features)], F.get(F.array(*[F.lit(c) for c in classes]), (n % k).cast("int")).alias(label))
+    marked = stratified_split(made, label, key, seed)
+    return {s: marked.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
+
+
+def load_splits(train: DataFrame | None, val: DataFrame | None, test: DataFrame | None, strategy: str, label: str, key: str, seed: int = 42, smoke: Callable[[], dict[str, DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """Three lazy frames.  train_test carves val out of train; train_val_as_test tests on val.  smoke: what makes them up where there
+    are no training rows; without it that is an error."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
+    if train is None:
+        if smoke is None:
+            raise FileNotFoundError("no training rows: run the preparation first")
+        return smoke()
     if strategy == "train_val_test":
         return {"train": train, "val": val, "test": test}
     if strategy == "train_val_as_test":

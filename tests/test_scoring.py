@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import metrics, score, taxonomy, train
+from packetloom.operators import metrics, score, splits, taxonomy, train
 
 
 def test_taxonomy(spark):
@@ -98,3 +98,24 @@ def test_stale_results_are_fitted_again(spark):
     train_on = lambda rows: train.train_specialist("5g", df, df, df, ["x"], taxonomy.SPECIALISTS["IP_Spoofing"], models=("DecisionTree",), done={"DecisionTree": old | {"train_rows": rows}})["validation"]
     assert train_on(10)["DecisionTree"]["accuracy"] == 1.0 and train_on(100)["DecisionTree"]["train_rows"] == 300  # a stub, and less than half
     assert train_on(200)["DecisionTree"]["accuracy"] == 0.5
+
+
+def test_smoke_splits_and_caps(spark):
+    made = splits.load_splits(None, None, None, "train_test", "final_label", "key", smoke=lambda: splits.smoke_splits(spark, ["a", "b.c"], ["Benign", "DoS", "MITM"]))
+    assert {n: df.count() for n, df in made.items()} == {"train": 210, "val": 45, "test": 45} and made["train"].columns == ["key", "a", "b.c", "final_label"]
+    with pytest.raises(FileNotFoundError):
+        splits.load_splits(None, None, None, "train_test", "final_label", "key")
+    rows = spark.range(10_001)
+    assert score.checked_batch(rows.limit(10_000)).count() == 10_000 and score.first_rows(rows, "id").agg(F.max("id")).first()[0] == 999
+    for bad in (rows, rows.limit(0)):
+        with pytest.raises(ValueError):
+            score.checked_batch(bad)
+
+
+def test_mixed_batches_keep_their_order(spark):
+    records = spark.createDataFrame([(i, {name: 1.0}) for i, name in enumerate(["Rate", "query_length", "zzz", "query_length"])], "id int, features map<string,double>").repartition(3)
+    scorer = lambda i: lambda df: df.withColumns({"canonical_id": F.lit(i), "confidence": F.lit(0.5)})
+    scored = score.score_mixed(records, {"CICIoT2023": scorer(1), "DNS_Tunneling": scorer(12)}, order="id")
+    assert [r["canonical_id"] for r in scored.collect()] == [1, 12, None, 12]
+    label = lambda ids: score.batch_label(scored.where(F.col("id").isin(ids)).withColumn("batch", F.lit(1)), "batch").first()["specialist"]
+    assert (label([0, 1, 2]), label([1, 3]), label([2])) == (score.MULTI, "DNS_Tunneling", None)
