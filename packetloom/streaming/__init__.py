@@ -4,6 +4,7 @@ Times are event times with a watermark; what comes later than LATE is dropped.""
 
 from __future__ import annotations
 
+import json
 import math
 import time
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import flows as flow_ops
 from ..operators import rules as rule_ops
 from ..operators.score import score_mixed
+from ..sources.files import exists
 
 LATE, TRIGGER, MAX_EVENTS, RECENT_EVENTS = "10 seconds", "2 seconds", 20, 500
 ONLINE_SECONDS = 15
@@ -203,6 +205,27 @@ def transmit(send: Callable[[dict], int], sensor: str, events: list[dict], now:
     return False
 
 
+def post(events: DataFrame, send: Callable[[dict], int], sensor: str, requeue: str, checkpoint: str, size: int = MAX_EVENTS, once: bool = False):
+    """Sends each micro-batch's events (JSON text, column value) in batches of size, from as many tasks as it has partitions.  What
+    isn't accepted is written to requeue and sent again with the next micro-batch: every event arrives at least once."""
+
+    def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            for i in range(0, len(rows), size):
+                some = rows.iloc[i : i + size]
+                if not transmit(send, sensor, [json.loads(v) for v in some["value"]]):
+                    yield some
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        waiting, rows = f"{requeue}/batch={batch_id - 1}", batch.select("value")
+        if exists(batch.sparkSession, waiting):
+            rows = rows.unionByName(batch.sparkSession.read.schema("value string").parquet(waiting))
+        rows.mapInPandas(sent, "value string").write.mode("overwrite").parquet(f"{requeue}/batch={batch_id}")
+
+    writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGER)).start()
+
+
 def counters(events: DataFrame) -> DataFrame:
     """Running totals by event type, for complete mode."""
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

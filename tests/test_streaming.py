@@ -100,3 +100,25 @@ def test_ingest_and_delivery(spark, tmp_path):
 def test_dns_events(spark):
     df = spark.createDataFrame([(0.0, 0, "A", "B", 5, 53, 17, 60, 0, 5, None, "www.google.com")], PACKET)
     assert streaming.dns_events(df).first()["num_dots"] == 2
+
+
+def test_events_that_are_not_accepted_are_sent_again(spark, tmp_path):
+    log, up = tmp_path / "log", tmp_path / "up"
+
+    def send(payload):
+        with log.open("a") as f:
+            f.write("".join(f"{e['n']} {up.exists()}\n" for e in payload["events"]))
+        return 200 if up.exists() or payload["events"][0]["n"] % 2 else 503
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.text(f"{tmp_path}/in")
+    for k in range(2):
+        spark.range(k * 4, k * 4 + 4).selectExpr("to_json(struct(id AS n)) AS value").coalesce(1).write.mode("append").text(f"{tmp_path}/in")
+        query = streaming.post(stream, send, "s1", f"{tmp_path}/requeue", f"{tmp_path}/check", size=1, once=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        left = {r["value"] for r in spark.read.parquet(f"{tmp_path}/requeue/batch={k}").collect()}
+        assert left == ({'{"n":0}', '{"n":2}'} if k == 0 else set())
+        up.touch()
+    accepted = [line.split()[0] for line in log.read_text().splitlines() if line.endswith("True") or int(line.split()[0]) % 2]
+    assert sorted(map(int, accepted)) == list(range(8))
