@@ -1,6 +1,7 @@
 """Histogram gradient boosting for several classes, with softmax, on rows that stay distributed.
 
-Features become bin numbers once.  In each round one tree for each class grows at the same time: a job adds up the
+Features become bin numbers once, and equal rows one row with their number, unless samples tell rows apart by their keys: what a
+round reads then grows with the distinct rows.  In each round one tree for each class grows at the same time: a job adds up the
 gradients by class, leaf, feature and bin (in numpy within a task, then by a shuffled aggregation), and Spark picks each
 leaf's best split.  The driver holds trees, never rows.
 
@@ -107,9 +108,9 @@ class Boosted:
         """df with probabilities and prediction (the first most likely class).  columns: other names of the features."""
         edges, margins = self.edges, self.margins
 
-        @F.pandas_udf("array<double>")
-        def probabilities(*values: pd.Series) -> pd.Series:
-            return pd.Series(list(softmax(margins(binned([v.to_numpy(np.float64) for v in values], edges)))))
+        @F.arrow_udf("array<double>")
+        def probabilities(*values: pa.Array) -> pa.Array:
+            return lists(softmax(margins(binned([numbers(v) for v in values], edges))))
 
         named = df.withColumn("probabilities", probabilities(*[F.col(f"`{c}`").cast("double") for c in columns or self.features]))
         return named.withColumn("prediction", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("double"))
@@ -133,6 +134,30 @@ def binned(values: Sequence[np.ndarray], edges: Sequence[Sequence[float]]) -> np
     return np.stack([np.searchsorted(np.asarray(e), np.where(np.isfinite(v), v, -np.inf), "left") for v, e in zip(values, edges, strict=True)], axis=1).astype(np.uint8)
 
 
+def numbers(values: pa.Array) -> np.ndarray:
+    """A column as doubles, NaN where it is null."""
+    return values.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def lists(found: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+
+
+def blobs(found: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes, in one piece."""
+    width = found.shape[1] * found.itemsize
+    ends = np.arange(len(found) + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(found).tobytes())])
+
+
+def matrix(rows: pa.Array, kind: type, width: int) -> np.ndarray:
+    """What blobs made of a matrix of width columns; rows hold no null."""
+    rows = rows.cast(pa.binary())
+    at = np.frombuffer(rows.buffers()[1], np.int32, len(rows) + 1, rows.offset * 4) if len(rows) else np.zeros(1, np.int32)
+    return np.frombuffer(rows.buffers()[2], kind, len(rows) * width, int(at[0])).reshape(-1, width) if at[-1] > at[0] else np.zeros((len(rows), width), kind)
+
+
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
     """Upper edges of the bins but the last, from sketches of bounded size of all columns in one pass.  Where values are missing,
     the first edge lies below all others, so that a split can tell them apart."""
@@ -156,13 +181,13 @@ def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
 
 
 class _Rows:
-    """Batches as arrays: keys, classes, weights, bin numbers, margins without the trees that came since they were written."""
+    """Batches as arrays: keys, classes, weights, numbers of equal rows, bin numbers, margins without the trees that came since they
+    were written."""
 
     def __init__(self, batch: pa.RecordBatch, n_features: int, n_classes: int):
-        self.key, self.y, self.w = (batch.column(i).to_numpy() for i in range(3))
-        blob = lambda i: b"".join(batch.column(i).to_pylist())
-        self.x = np.frombuffer(blob(3), np.uint8).reshape(-1, n_features)
-        self.margins = np.frombuffer(blob(4), np.float64).reshape(-1, n_classes).copy()
+        self.key, self.y, self.w, self.n = (batch.column(i).to_numpy() for i in range(4))
+        self.x = matrix(batch.column(4), np.uint8, n_features)
+        self.margins = matrix(batch.column(5), np.float64, n_classes).copy()
 
     def add(self, rounds: Sequence[Sequence[Tree]]) -> None:
         for trees in rounds:
@@ -186,7 +211,8 @@ def _histogram(since: list[list[Tree]], trees: list[Tree], open_: list[dict[int,
             p = softmax(rows.margins)
             held = _uniform(rows.key, s.seed) < s.held_out if s.patience is not None else np.zeros(len(p), bool)
             if loss_too and held.any():
-                loss += (-(rows.w * np.log(np.maximum(p[np.arange(len(p)), rows.y], 1e-300)))[held].sum(), rows.w[held].sum())
+                w = rows.w * rows.n
+                loss += (-(w * np.log(np.maximum(p[np.arange(len(p)), rows.y], 1e-300)))[held].sum(), w[held].sum())
             used = ~held & (_uniform(rows.key, s.seed + 1 + round_) < s.share if s.share < 1 else True)
             for k in range(n_classes):
                 if not open_[k]:
@@ -195,11 +221,12 @@ def _histogram(since: list[list[Tree]], trees: list[Tree], open_: list[dict[int,
                 place[list(open_[k])] = list(open_[k].values())
                 at = np.where(used, place[trees[k].leaf_of(rows.x)], -1)
                 mine = np.flatnonzero(at >= 0)
-                g = rows.w[mine] * (p[mine, k] - (rows.y[mine] == k))
-                h = np.maximum(s.curvature * rows.w[mine] * p[mine, k] * (1 - p[mine, k]), 1e-16)
+                n = rows.n[mine]
+                g = n * rows.w[mine] * (p[mine, k] - (rows.y[mine] == k))
+                h = n * np.maximum(s.curvature * rows.w[mine] * p[mine, k] * (1 - p[mine, k]), 1e-16)
                 for j, f in enumerate(chosen[k]):
                     cell = at[mine] * s.bins + rows.x[mine, f]
-                    for i, weights in enumerate((g, h, None)):
+                    for i, weights in enumerate((g, h, n)):
                         sums[k][:, j, :, i] += np.bincount(cell, weights, len(open_[k]) * s.bins).reshape(-1, s.bins)
         for k, found in enumerate(sums):
             leaf, j, bin_ = np.nonzero(found[..., 2])
@@ -331,23 +358,28 @@ def fit(df: DataFrame, features: Sequence[str], label: str, n_classes: int, sett
         share = np.array([sums.get(k, 0.0) for k in range(n_classes)]) / max(sum(sums.values()), 1e-300)
         base = np.log(np.maximum(share, 1e-15))
         base -= base.mean()
-    schema = "key long, y int, w double, x binary, m binary"
+    schema = "key long, y int, w double, n long, x binary, m binary"
+    names = ["key", "y", "w", "n", "x", "m"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = binned([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[3:]], edges)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r.tobytes() for r in x], pa.binary()), pa.array([base.tobytes()] * len(x), pa.binary())], names=["key", "y", "w", "x", "m"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], blobs(binned([numbers(c) for c in b.columns[3:]], edges))], names=["key", "y", "w", "x"])
 
     def moved(since: list[list[Tree]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 r = _Rows(b, len(features), n_classes)
                 r.add(since)
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([m.tobytes() for m in r.margins], pa.binary())], names=["key", "y", "w", "x", "m"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], blobs(r.margins)], names=names)
 
         return run
 
-    table = written(rows.mapInArrow(packed, schema), "binned")
+    each = rows.mapInArrow(packed, "key long, y int, w double, x binary")
+    if s.share >= 1 and s.patience is None:  # no sample: equal rows stay together in all that follows
+        each = each.groupBy("y", "w", "x").agg(F.lit(0).cast("long").alias("key"), F.count(F.lit(1)).alias("n"))
+    else:
+        each = each.withColumn("n", F.lit(1).cast("long"))
+    table = written(each.withColumn("m", F.lit(base.tobytes())).select(*names), "binned")
     model, since = Boosted(features, edges, base.tolist(), []), []
     for round_ in range(s.rounds):
         trees, loss = _grow(table, since, n_classes, s, round_, len(features))

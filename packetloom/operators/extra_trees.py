@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .boosting import Tree, bin_edges, binned
+from .boosting import Tree, bin_edges, binned, blobs, lists, matrix, numbers
 
 
 @dataclass(frozen=True)
@@ -50,9 +50,9 @@ class Forest:
         """df with probabilities and prediction (the first most likely class)."""
         edges, found = self.edges, self.probabilities
 
-        @F.pandas_udf("array<double>")
-        def probabilities(*values: pd.Series) -> pd.Series:
-            return pd.Series(list(found(binned([v.to_numpy(np.float64) for v in values], edges))))
+        @F.arrow_udf("array<double>")
+        def probabilities(*values: pa.Array) -> pa.Array:
+            return lists(found(binned([numbers(v) for v in values], edges)))
 
         named = df.withColumn("probabilities", probabilities(*[F.col(f"`{c}`").cast("double") for c in columns or self.features]))
         return named.withColumn("prediction", (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("double"))
@@ -113,7 +113,7 @@ def _counter(trees: dict[int, Tree], open_: dict[int, list[int]], n_features: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y, w = (batch.column(i).to_numpy() for i in range(2))
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, n_features)
+            x = matrix(batch.column(2), np.uint8, n_features)
             for t, nodes in open_.items():
                 place = np.full(len(trees[t].feature), -1)
                 place[nodes] = np.arange(len(nodes))
@@ -143,8 +143,7 @@ def fit(df: DataFrame, features: Sequence[str], label: str, n_classes: int, sett
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = binned([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[2:]], edges)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "w", "x"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], blobs(binned([numbers(c) for c in b.columns[2:]], edges))], names=["y", "w", "x"])
 
     table = written(rows.mapInArrow(packed, "y int, w double, x binary"), "binned")
 

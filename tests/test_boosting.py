@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -107,6 +109,21 @@ def test_samples_of_rows_and_features(rows):
     assert 140 < used.sum() < 260
 
 
+def test_equal_rows_are_one_row(rows, monkeypatch):
+    _, df = rows
+    sizes, written = [], boosting.written
+    monkeypatch.setattr(boosting, "written", lambda df, name: sizes.append(written(df, name).count()) or written(df, name))
+    many = df.crossJoin(df.sparkSession.range(5).select(F.col("id").alias("copy"))).withColumn("key", F.xxhash64("key", "copy"))
+    s, edges = Settings(rounds=2, depth=2, bins=16, leaf=10), boosting.bin_edges(df, FEATURES, 16)
+    a, b = (boosting.fit(x, FEATURES, "y", 3, t, weight="w", key="key", edges=edges) for x, t in ((df, replace(s, leaf=2, weight=0.2, penalty=0.2)), (many, s)))
+    assert sizes[0] == sizes[1] <= df.count()  # copies are counted, with rows of a leaf and weights
+    assert [(t.feature, t.bin) for r in a.rounds for t in r] == [(t.feature, t.bin) for r in b.rounds for t in r]
+    assert np.allclose(probabilities(a, df), probabilities(b, df))
+    sizes.clear()
+    boosting.fit(many, FEATURES, "y", 3, Settings(rounds=1, depth=1, share=0.5), key="key")
+    assert sizes == [many.count()]  # samples tell rows apart
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 7.0, 0), (2, float("nan"), 7.0, 0), (3, 1.0, 7.0, 1), (4, 2.0, 7.0, 1)], "key long, a double, b double, y int")
     model = boosting.fit(df, ["a", "b"], "y", 2, Settings(rounds=3, depth=2, weight=0.0), key="key")
