@@ -30,17 +30,18 @@ def _magnitude(x: Column) -> Column:
     return F.when(x == 0, 0).when(x > 0, exponent).otherwise(-exponent).cast("long")
 
 
-def _ranges(df: DataFrame, entries: Sequence[Column]) -> DataFrame:
-    """id, part, n, low, high, and before, total: values of the ranges before it, and of all of its entry's."""
-    values = df.select(F.inline(F.filter(F.array(*entries), lambda e: e["x"].isNotNull())))
-    counted = values.groupBy("id", "part").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+def _ranges(values: DataFrame, part: Column) -> DataFrame:
+    """id, part, n, low, high of values(id, x), and before, total: values of the ranges before it, and of all of its entry's."""
+    counted = values.groupBy("id", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     of_entry = Window.partitionBy("id")  # a row for each range
     before = F.sum("n").over(of_entry.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return counted.withColumns({"before": F.coalesce(before, F.lit(0)), "total": F.sum("n").over(of_entry)})
 
 
-def _entry(number: int, part: Column, x: Column) -> Column:
-    return F.struct(F.lit(number).alias("id"), part.alias("part"), x.alias("x"))
+def _values(df: DataFrame, xs: Sequence[Column]) -> DataFrame:
+    """id, x: each column's values.  A value is computed once, and in compiled code: no function of a column stands in a lambda."""
+    wide = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)])
+    return wide.select(F.posexplode(F.array(*wide.columns)).alias("id", "x")).where(F.col("x").isNotNull())
 
 
 def _holding(ranges: DataFrame, wanted: Mapping[int, Sequence[int]]) -> list:
@@ -49,24 +50,33 @@ def _holding(ranges: DataFrame, wanted: Mapping[int, Sequence[int]]) -> list:
     return ranges.where(F.exists(F.get(ranks, F.col("id")), lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))).collect()
 
 
+def _refined(df: DataFrame, xs: Sequence[Column], parts: Sequence[tuple[int, float, float]]) -> DataFrame:
+    """The ranges of equal width from low to high of each of parts (column, low, high)."""
+    used = sorted({column for column, _, _ in parts})
+    wide = df.select(*[xs[i].alias(f"x{i}") for i in used])
+    entries = [F.struct(F.lit(i).alias("id"), F.col(f"x{c}").alias("x"), F.lit(low).alias("from"), F.lit(high).alias("to")) for i, (c, low, high) in enumerate(parts)]
+    values = wide.select(F.inline(F.array(*entries))).where("x >= from and x <= to")
+    x, low, high = (F.col(c) for c in ("x", "from", "to"))
+    return _ranges(values, F.least(F.floor((x - low) / (high - low) * SPLIT), F.lit(SPLIT - 1)).cast("long"))
+
+
 def _select(df: DataFrame, xs: Sequence[Column], held: Sequence, wanted: Mapping[int, Sequence[int]]) -> dict[tuple[int, int], float]:
     """The values at the wanted ranks (from 0) of each column, from the first ranges that hold them on."""
     found: dict[tuple[int, int], float] = {}
     column_of, skipped = {i: i for i in wanted}, dict.fromkeys(wanted, 0)  # of each entry: its column, and the values below it
     while held:
-        entries, of, below, left = [], {}, {}, {}
+        parts, of, below, left = [], {}, {}, {}
         for r in held:
             column, low, high = column_of[r["id"]], r["low"], r["high"]
             here = [k for k in wanted[r["id"]] if r["before"] <= k < r["before"] + r["n"]]
             if low == high:
                 found |= {(column, skipped[r["id"]] + k): low for k in here}
                 continue
-            number, x = len(entries), xs[column]
-            part = F.least(F.floor((x - low) / (high - low) * SPLIT), F.lit(SPLIT - 1)).cast("long")
-            entries.append(_entry(number, part, F.when((x >= low) & (x <= high), x)))
+            number = len(parts)
+            parts.append((column, low, high))
             of[number], below[number], left[number] = column, skipped[r["id"]] + r["before"], [k - r["before"] for k in here]
         column_of, skipped, wanted = of, below, left
-        held = _holding(_ranges(df, entries), wanted) if wanted else []
+        held = _holding(_refined(df, xs, parts), wanted) if wanted else []
     return found
 
 
@@ -77,7 +87,7 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[flo
     names, xs = list(columns), [finite(c) for c in columns.values()]
     if not names:
         return {}
-    ranges = _ranges(df, [_entry(i, _magnitude(x), x) for i, x in enumerate(xs)])
+    ranges = _ranges(_values(df, xs), _magnitude(F.col("x")))
     places = [F.lit(float(q)) * (F.col("total") - 1) for q in shares]
     near = F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)])
     held = ranges.where(F.exists(near, lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n")))).collect()
@@ -97,5 +107,5 @@ def smallest(df: DataFrame, columns: Mapping[str, Column], ranks: Mapping[str, i
     if not names:
         return {}
     wanted = {i: [ranks[n]] for i, n in enumerate(names)}
-    held = _holding(_ranges(df, [_entry(i, _magnitude(x), x) for i, x in enumerate(xs)]), wanted)
+    held = _holding(_ranges(_values(df, xs), _magnitude(F.col("x"))), wanted)
     return {names[i]: value for (i, _), value in _select(df, xs, held, wanted).items()}

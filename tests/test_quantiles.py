@@ -54,3 +54,27 @@ def test_samples_take_the_smallest_hashes(spark):
     ranked = df.where("label = 'often'").orderBy(splits.seeded("key", 42), "key").limit(40)
     assert {r["key"] for r in got if r["label"] == "often"} == {r["key"] for r in ranked.collect()}
     assert splits.minority_sample(df.limit(0), "label", "key", 10).count() == 0
+
+
+def test_samples_take_two_looks_at_the_rows(spark, monkeypatch):
+    """One counts by range of the hash, one takes the rows of the first ranges; hashes are compared in compiled code only."""
+    monkeypatch.setattr(splits, "DEALT", 1)  # several rows a range, ties of ranges
+    df = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") % 1000 == 0, None).when(F.col("id") % 7 == 0, "rare").otherwise("often").alias("label"))
+    looks = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            looks.add(batch.num_rows)
+            yield batch
+
+    got = {(r["label"], r["key"]) for r in splits.minority_sample(df.mapInArrow(counted, df.schema), "label", "key", 900).collect()}
+    want = {(v, r["key"]) for v in (None, "rare", "often") for r in df.where(F.col("label").eqNullSafe(F.lit(v))).orderBy(splits.seeded("key", 42), "key").limit(300).collect()}
+    assert got == want and looks.value == 2 * 3000
+
+
+def test_quantiles_compile(spark, data):
+    """No lambda stands between a column and its counts: those are interpreted, with the column's own expression, for every row."""
+    df = spark.createDataFrame(data)
+    seen = quantiles._values(df, [quantiles.finite(F.col("wide"))])
+    for ranges in (quantiles._ranges(seen, quantiles._magnitude(F.col("x"))), quantiles._refined(df, [F.col("wide"), F.col("few")], [(1, 0.0, 2.0), (0, 1.0, 5.0)])):
+        assert "lambda" not in ranges._jdf.queryExecution().executedPlan().toString()
