@@ -451,6 +451,28 @@ def test_fingerprints_hold_every_anchor(docs, odd):
             assert r["fingerprint"] == want[r["doc_id"]][0] == "".join(f"{x['position']:08x}{x['hash'] % 2**64:016x}" for x in r["anchors"])
 
 
+def test_fingerprints_run_no_python(docs):
+    """The operator is made of DataFrame functions; its plan has no node that starts Python."""
+    plan = fingerprints.edited_fingerprints(docs)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_repeated_passages_are_matched_by_number(spark):
+    """Hashes that come often in both texts, in one of them, or in none."""
+    line = "a passage of some length that is repeated, again and again; "
+    rows = [(0, line * 9), (1, line * 4 + "and then it goes on with something else, which was not there before"), (2, "x" * 90), (3, "x" * 40), (4, ""), (5, line * 2)]
+
+    def like(a, b):
+        a, b = (Counter(h for _, h in anchor_list(fingerprints.anchors([x])[0])) for x in (a, b))
+        return (a & b).total() / (a | b).total() if a or b else 1.0
+
+    texts = dict(rows)
+    for r in fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text, after = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % 6]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert (r["near_edited"], r["near_next"]) == pytest.approx((like(text, edited), like(text, after)), abs=1e-9)
+
+
 # --- lines -------------------------------------------------------------------------------------------
 def line_shingles(line):
     return frozenset(line[i : i + line_dedup.SHINGLE] for i in range(len(line) - line_dedup.SHINGLE + 1))
